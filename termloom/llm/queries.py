@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from termloom.llm import line_quality, line_spread, packing, sharding
+from termloom.llm import jaccard, line_quality, line_spread, packing, sharding
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
+    "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op6_line_spread": line_spread.op6_line_spread,
     "op8_best_fit": packing.op8_best_fit,
 }
