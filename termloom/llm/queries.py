@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import jaccard, line_quality, line_spread, packing, sharding
+from termloom.llm import jaccard, line_quality, line_spread, packing, sharding, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op6_line_spread": line_spread.op6_line_spread,
     "op8_best_fit": packing.op8_best_fit,
+    "op9_toxicity": toxicity.op9_toxicity,
 }
 SQL = {
     "op2_line_quality": line_quality.SQL_OP2,
