@@ -65,7 +65,10 @@ def first_copies(texts: list[str], coords: int = 32) -> np.ndarray:
 
 
 def induce(texts: list[str], toxic: np.ndarray, max_terms: int, min_df: int, seed_terms: int, min_weight: float) -> dict[str, float]:
-    """Polarity weights, log of the ratio of the two walks' probabilities, of terms at or above min_weight."""
+    """Polarity weights of terms at or above min_weight: log of the ratio of the probabilities of two walks.
+
+    One walk restarts at the seed terms, the other at all terms that toxic documents don't favour.
+    """
     first = first_copies(texts)
     docs, toxic = [_words(t) for t, f in zip(texts, first) if f], toxic[first]
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
@@ -99,10 +102,9 @@ def induce(texts: list[str], toxic: np.ndarray, max_terms: int, min_df: int, see
         graph = np.log(both / len(docs) / np.outer(p, p))
     graph[~np.isfinite(graph) | (graph < 0)] = 0
     np.fill_diagonal(graph, 0)
-    order = np.argsort(-z, kind="stable")
-    bad, good = order[:seed_terms], order[::-1][:seed_terms]
+    bad, good = np.argsort(-z, kind="stable")[:seed_terms], np.arange(len(terms))
     share = (with_toxic + 0.5) / n_toxic / ((with_toxic + 0.5) / n_toxic + (total - with_toxic + 0.5) / n_clean)
-    bad, good = bad[(z[bad] > 3) & (share[bad] > 0.9)], good[z[good] < 0]
+    bad, good = bad[(z[bad] > 3) & (share[bad] > 0.9)], good[share < 0.7]
     if not len(bad) or not len(good):
         return {}
     walks = []
@@ -140,7 +142,7 @@ def cut_for(scores: np.ndarray, toxic: np.ndarray) -> float:
 
 
 def toxic_lexicon(
-    docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_clean: int = 6000, max_terms: int = 3000, min_df: int = 5, seed_terms: int = 100, min_weight: float = 1.0
+    docs: DataFrame, labels: DataFrame, sample_toxic: int = 3000, sample_clean: int = 6000, max_terms: int = 3000, min_df: int = 5, seed_terms: int = 100, min_weight: float = 0.5
 ) -> DataFrame:
     """(term, weight, cut): polarity weights from labelled documents, and the score from which one is toxic.
 
