@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import jaccard, line_quality, line_spread, packing, sharding, toxicity
+from termloom.llm import jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_line_spread": line_spread.op6_line_spread,
     "op8_best_fit": packing.op8_best_fit,
     "op9_toxicity": toxicity.op9_toxicity,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL = {
     "op2_line_quality": line_quality.SQL_OP2,
