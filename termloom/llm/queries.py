@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from termloom.llm import jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
+from termloom.llm import chat, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op5_chat_turns": chat.op5_chat_turns,
     "op6_line_spread": line_spread.op6_line_spread,
     "op8_best_fit": packing.op8_best_fit,
     "op9_toxicity": toxicity.op9_toxicity,
@@ -15,5 +16,6 @@ QUERIES = {
 }
 SQL = {
     "op2_line_quality": line_quality.SQL_OP2,
+    "op5_chat_turns": chat.SQL_OP5,
     "op6_line_spread": line_spread.SQL_OP6,
 }
