@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from termloom.llm import chat, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
+from termloom.llm import bpe, chat, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
+    "op4_bpe": bpe.op4_bpe,
+    "bpe_roundtrip": bpe.bpe_roundtrip,
     "op5_chat_turns": chat.op5_chat_turns,
     "op6_line_spread": line_spread.op6_line_spread,
     "op8_best_fit": packing.op8_best_fit,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 SQL = {
+    "bpe_roundtrip": bpe.SQL_ROUNDTRIP,
     "op2_line_quality": line_quality.SQL_OP2,
     "op5_chat_turns": chat.SQL_OP5,
     "op6_line_spread": line_spread.SQL_OP6,
