@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from termloom.llm import bpe, chat, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
+from termloom.llm import audio, bpe, chat, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
@@ -12,6 +12,7 @@ QUERIES = {
     "bpe_roundtrip": bpe.bpe_roundtrip,
     "op5_chat_turns": chat.op5_chat_turns,
     "op6_line_spread": line_spread.op6_line_spread,
+    "op7_chroma_prints": audio.op7_chroma_prints,
     "op8_best_fit": packing.op8_best_fit,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_substring_dedup": substrings.op10_substring_dedup,
