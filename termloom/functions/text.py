@@ -113,14 +113,22 @@ def tokens_typed(text: Column) -> Column:
 
 
 #: Markup that has no text of its own.
-_DROPPED = r"(?is)<(script|style|noscript)\b[^>]*>.*?</\1\s*>|<!--.*?-->|<(?:meta|link)\b[^>]*>"
+_DROPPED = "(?is)" + "|".join([rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in ("script", "style", "noscript")] + [r"<!--.*?-->", r"<(?:meta|link)\b[^>]*>"])
+
+
+def without_scripts(html: Column) -> Column:
+    return F.regexp_replace(html, _DROPPED, " ")
+
+
+def decoded(text: Column) -> Column:
+    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+        text = F.replace(text, F.lit(entity), F.lit(char))
+    return text
 
 
 def html_text(html: Column) -> Column:
     """Text of a page without scripts, styles and tags, five entities decoded, white space collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(html, _DROPPED, " "), r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
-        bare = F.replace(bare, F.lit(entity), F.lit(char))
+    bare = decoded(F.regexp_replace(without_scripts(html), r"(?s)<[^>]*>", " "))
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
 

@@ -154,7 +154,7 @@ def toxic_lexicon(
     n = {r["t"]: r["count"] for r in marks.groupBy("t").count().collect()}
     odds = F.when(F.col("t"), min(1.0, sample_toxic / max(1, n.get(True, 0)))).otherwise(min(1.0, sample_clean / max(1, n.get(False, 0))))
     marks = marks.filter(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1 << 30)) < odds * (1 << 30))
-    sample = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(marks, "doc_id")
+    sample = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(marks), "doc_id")  # bounded by the sample sizes
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
