@@ -73,7 +73,6 @@ def is_valid_term(term: Column, stop: tuple[str, ...], low: int = 2, high: int =
     return F.length(term).between(low, high) & ~term.isin(*stop)
 
 
-
 _UP, _LOW = "A-ZÁÉÍÓÚÜÑ", "a-záéíóúüñ"
 _LETTER, _GAP = f"[{_UP}{_LOW}]", r"[\t ]{1,3}"
 _NAME = f"[{_UP}][{_LOW}]+"
@@ -103,13 +102,17 @@ def tokens_typed(text: Column) -> Column:
         found = F.regexp_extract_all(rest, F.lit(wrapped), F.lit(1))
         if ty in ("abbrev", "proper"):
             found = F.transform(found, lambda x: F.trim(ascii_fold(x)))
-        parts.append(F.transform(found, lambda x, ty=ty: F.struct(F.lit(ty).alias("ty"), x.alias("tok"))))
+        parts.append(_of_type(found, ty))
         rest = F.regexp_replace(rest, wrapped, "\x01$1\x02")
         for width in (1, 2, 3):
             rest = F.regexp_replace(rest, f"(?s)\x01.{{{width}}}\x02", " " * width)
         rest = F.regexp_replace(rest, "(?s)\x01[^\x02]*\x02", "    ")
     words = F.regexp_extract_all(ascii_fold(F.lower(rest)), F.lit(rf"\b{WORD}\b"), F.lit(0))
-    return F.concat(*parts, F.transform(words, lambda x: F.struct(F.lit("word").alias("ty"), x.alias("tok"))))
+    return F.concat(*parts, _of_type(words, "word"))
+
+
+def _of_type(tokens: Column, ty: str) -> Column:
+    return F.transform(tokens, lambda x: F.struct(F.lit(ty).alias("ty"), x.alias("tok")))
 
 
 #: Markup that has no text of its own.

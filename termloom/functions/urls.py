@@ -8,6 +8,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Extensions of generated pages.
 SCRIPTS = ("asp", "aspx", "cgi", "do", "jsp", "jspx", "php", "pl")
@@ -42,7 +43,7 @@ def kind(url: Column) -> Column:
     return F.when((F.regexp_extract(url, QUERY, 1) != "") | script, "dynamic").otherwise("static")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _urljoin(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     def one(base, ref):
         try:

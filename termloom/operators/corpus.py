@@ -120,13 +120,20 @@ def heaps_grid(curve: DataFrame) -> DataFrame:
 # Language identification
 
 
-def language_texts(docs: DataFrame, odd: int) -> DataFrame:
-    """Even documents train, odd ones test."""
-    return docs.filter(F.pmod("doc_id", F.lit(2)) == odd).select("doc_id", "lang", tx.letters_only(F.col("text")).alias("s"))
+def language_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, lang, s): all documents, as runs of the alphabet's letters."""
+    return docs.select("doc_id", "lang", tx.letters_only(F.col("text")).alias("s"))
 
 
-def _letters(s: Column, width: int) -> Column:
-    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - width + 1, F.lit(1))), lambda i: s.substr(i, F.lit(width))), lambda x: F.length(x) == width)
+def _letters(s: Column) -> Column:
+    return F.filter(F.split(s, ""), lambda x: x != "")
+
+
+def _pairs(s: Column) -> Column:
+    """Neighbouring letters, in one pass over the letters' array."""
+    letters = _letters(s)
+    n = F.greatest(F.size(letters) - 1, F.lit(0))
+    return F.zip_with(F.slice(letters, 1, n), F.slice(letters, 2, n), lambda a, b: F.concat(a, b))
 
 
 def _alphabet(df: DataFrame) -> DataFrame:
@@ -135,7 +142,7 @@ def _alphabet(df: DataFrame) -> DataFrame:
 
 def unigram_model(train: DataFrame) -> DataFrame:
     """(lang, c, p): Laplace-smoothed probabilities of all letters of the alphabet."""
-    got = train.select("lang", F.explode(_letters(F.col("s"), 1)).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("n"))
+    got = train.select("lang", F.explode(_letters(F.col("s"))).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("n"))
     grid = train.select("lang").distinct().crossJoin(F.broadcast(_alphabet(train)))
     total = got.groupBy("lang").agg(F.sum("n").alias("t"))
     size = len(tx.ALPHABET)
@@ -144,7 +151,7 @@ def unigram_model(train: DataFrame) -> DataFrame:
 
 def bigram_model(train: DataFrame) -> DataFrame:
     """(lang, x, y, p): probabilities of y after x; the last letter of a text precedes nothing."""
-    got = train.select("lang", F.explode(_letters(F.col("s"), 2)).alias("b")).groupBy("lang", F.substring("b", 1, 1).alias("x"), F.substring("b", 2, 1).alias("y")).agg(F.count("*").alias("n"))
+    got = train.select("lang", F.explode(_pairs(F.col("s"))).alias("b")).groupBy("lang", F.substring("b", 1, 1).alias("x"), F.substring("b", 2, 1).alias("y")).agg(F.count("*").alias("n"))
     letters = _alphabet(train)
     grid = train.select("lang").distinct().crossJoin(F.broadcast(letters.withColumnRenamed("c", "x"))).crossJoin(F.broadcast(letters.withColumnRenamed("c", "y")))
     rows = got.groupBy("lang", "x").agg(F.sum("n").alias("t"))
@@ -160,7 +167,7 @@ def predict_language(test: DataFrame, model: DataFrame) -> DataFrame:
 
     Counts of a document's bigrams meet the model, which has a fixed number of rows, in a broadcast join.
     """
-    pairs = test.select("doc_id", "lang", F.explode(_letters(F.col("s"), 2)).alias("b")).groupBy("doc_id", "lang", "b").agg(F.count("*").alias("n"))
+    pairs = test.select("doc_id", "lang", F.explode(_pairs(F.col("s"))).alias("b")).groupBy("doc_id", "lang", "b").agg(F.count("*").alias("n"))
     logs = model.select(F.col("lang").alias("guess"), F.concat("x", "y").alias("b"), F.log("p").alias("lp"))
     scored = pairs.join(F.broadcast(logs), "b").groupBy("doc_id", "lang", "guess").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
     order = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("guess"))

@@ -48,7 +48,7 @@ def means(measured: DataFrame) -> DataFrame:
 
 def experiment(measured: DataFrame, topics: DataFrame) -> DataFrame:
     """Means over all topics, where a missing query or value counts as 0."""
-    every = measured.select("model").distinct().crossJoin(F.broadcast(topics.select("qid").distinct()))
+    every = measured.select("model").distinct().crossJoin(topics.select("qid").distinct())
     full = every.join(measured, ["model", "qid"], "left").select("model", "qid", *[F.coalesce(m, F.lit(0.0)).alias(m) for m in MEASURES])
     return means(full)
 

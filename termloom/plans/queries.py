@@ -1,4 +1,4 @@
-"""The named queries over the reference tables."""
+"""The named queries over the reference tables, and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from termloom.plans import corpus_queries, retrieval_queries, web_queries  # noqa: F401
+from termloom.plans.registry import QUERIES, SQL  # noqa: F401
