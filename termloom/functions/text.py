@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zipfile
 from functools import cache
@@ -19,7 +20,8 @@ ALPHABET = "".join(map(chr, range(97, 123))) + "àâäçèéêëìíîïòóôö
 @cache
 def stop_words(language: str = "english") -> tuple[str, ...]:
     """Spark ML's default list, read from its jar, so that no session is needed."""
-    jar = next(Path(pyspark.__path__[0], "jars").glob("spark-mllib_*.jar"))
+    homes = (pyspark.__path__[0], os.environ.get("SPARK_HOME", ""))
+    jar = next(j for home in homes for j in Path(home, "jars").glob("spark-mllib_*.jar"))
     with zipfile.ZipFile(jar) as z:
         text = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode()
     return tuple(sorted({w.strip().lower() for w in text.splitlines() if w.strip()}))
