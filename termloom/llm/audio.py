@@ -36,8 +36,9 @@ def chroma(pcm: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP
     """Frames by pitch classes, smoothed over time, each of unit length; silent frames are 0."""
     if len(pcm) < frame:
         return np.zeros((0, 12))
-    frames = np.lib.stride_tricks.sliding_window_view(pcm, frame)[::hop]
-    energy = np.abs(np.fft.rfft(frames * np.hamming(frame), axis=1)) ** 2 @ pitch_classes(rate, frame)
+    frames, window, classes = np.lib.stride_tricks.sliding_window_view(pcm, frame)[::hop], np.hamming(frame), pitch_classes(rate, frame)
+    # some hundred frames at once: a recording may last hours
+    energy = np.concatenate([np.abs(np.fft.rfft(frames[k : k + 256] * window, axis=1)) ** 2 @ classes for k in range(0, len(frames), 256)])
     if len(energy) < len(SMOOTH):
         return np.zeros((0, 12))
     smooth = np.stack([np.convolve(energy[:, c], SMOOTH, mode="valid") for c in range(12)], axis=1)

@@ -331,8 +331,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3, runs: int = 6,
     """
     sets, pairs = similar_sets(docs, threshold, n, runs, limit, task_rows)
     same = sets.select(F.col("rep").alias("a"), F.explode("members").alias("b")).filter("a <> b")
-    gone = components(materialize(pairs.select("a", "b").union(same), "similar")).filter("id <> label").select(F.col("id").alias("__gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    gone = components(materialize(pairs.select("a", "b").union(same), "similar")).filter("id <> label").select(F.col("id").alias("doc_id"))
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -20,19 +20,19 @@ def line_frequency_rule(docs: DataFrame, max_docs: int = 20, min_kept: float = 0
     Repeated rows count as one document, and each stays. An empty table gives an empty table.
     Only line hashes are shuffled, and the documents once, by doc_id.
     """
-    lines = docs.select(
-        F.col("doc_id").alias("__d"), F.col(host_col).alias("__h"), F.explode(line_hashes(F.col("text"))).alias("__l")
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))  # no name of docs can clash
+    row = F.col("__row")
+    lines = rows.select(row["doc_id"].alias("__d"), row[host_col].alias("__h"), F.explode(line_hashes(row["text"])).alias("__l"))
     # coalesced: a null document counts as one
     key = F.coalesce(F.col("__d").cast("string"), F.lit(""))
     common = lines.groupBy("__h", "__l").agg(F.count_distinct(key).alias("__n")).filter(F.col("__n") > max_docs).select(F.col("__h").alias("__ch"), F.col("__l").alias("__cl"))
     hits = lines.join(common, F.col("__h").eqNullSafe(F.col("__ch")) & (F.col("__l") == F.col("__cl")))
     # repeated rows of a document may name several hosts: the host is part of the key
     dropped = hits.groupBy(F.col("__d").alias("__dd"), F.col("__h").alias("__dh")).agg(F.collect_set("__l").alias("__dropped"))
-    out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dd")) & F.col(host_col).eqNullSafe(F.col("__dh")), "left")
-    out = out.withColumn("__text", keep_lines(F.col("text"), F.col("__dropped")))
-    enough = (F.length("__text") >= min_kept * F.length("text")) & F.col("__text").rlike(r"\S")
-    cols = [F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c != "n_removed"]
+    out = rows.join(dropped, row["doc_id"].eqNullSafe(F.col("__dd")) & row[host_col].eqNullSafe(F.col("__dh")), "left")
+    out = out.withColumn("__text", keep_lines(row["text"], F.col("__dropped")))
+    enough = (F.length("__text") >= min_kept * F.length(row["text"])) & F.col("__text").rlike(r"\S")
+    cols = [F.col("__text").alias("text") if c == "text" else row[c].alias(c) for c in docs.columns if c != "n_removed"]
     return out.filter(enough).select(*cols, F.coalesce(F.size("__dropped"), F.lit(0)).cast("bigint").alias("n_removed"))
 
 

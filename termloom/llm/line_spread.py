@@ -22,9 +22,9 @@ def site_spread_dedup(docs: DataFrame, min_sites: int = 10, site_col: str = "sou
     and empty texts, and those of white space. A null site isn't counted. Null doc_id: one document, never the first
     if a line has another. Repeated rows: each is treated alike. An empty table gives an empty table.
     """
-    lines = docs.select(
-        F.col("doc_id").alias("__d"), F.col(site_col).cast("string").alias("__s"), F.explode(line_hashes(F.col("text"))).alias("__l")
-    )
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))  # no name of docs can clash
+    row = F.col("__row")
+    lines = rows.select(row["doc_id"].alias("__d"), row[site_col].cast("string").alias("__s"), F.explode(line_hashes(row["text"])).alias("__l"))
     spread = lines.groupBy("__l").agg(F.hll_sketch_estimate(F.hll_sketch_agg("__s", 12)).alias("__e"), F.min("__d").alias("__first"))
     margin = max(1.0, BAND * min_sites)
     maybe = spread.filter(F.col("__e") >= min_sites - margin)
@@ -39,8 +39,8 @@ def site_spread_dedup(docs: DataFrame, min_sites: int = 10, site_col: str = "sou
         lines.join(boiler, "__l").filter(~F.col("__d").eqNullSafe(F.col("__first")))
         .groupBy(F.col("__d").alias("__dd")).agg(F.collect_set("__l").alias("__dropped"))
     )
-    out = docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("__dd")), "left").withColumn("__text", keep_lines(F.col("text"), F.col("__dropped")))
-    return out.filter(F.col("__text").rlike(r"\S")).select(*[F.col("__text").alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    out = rows.join(dropped, row["doc_id"].eqNullSafe(F.col("__dd")), "left").withColumn("__text", keep_lines(row["text"], F.col("__dropped")))
+    return out.filter(F.col("__text").rlike(r"\S")).select(*[F.col("__text").alias("text") if c == "text" else row[c].alias(c) for c in docs.columns])
 
 
 def op6_line_spread(spark, sf_dir: str) -> DataFrame:

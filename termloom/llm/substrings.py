@@ -244,8 +244,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_chars: int = 8_000_0
     All columns stay. A document of which nothing is left is dropped; null, empty and blank texts stay as they are.
     Of a removed span, the white space after it goes too. Rows that repeat a doc_id are one document.
     """
-    if {"__at", "__chunk"} & set(docs.columns):
-        raise ValueError("__at and __chunk are reserved names")
+    named = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash
+    inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
 
     def emit(left: pa.Table, twice: np.ndarray, later: np.ndarray) -> pa.Table:
         plain = left.drop_columns(["__at", "__chunk"])
@@ -274,8 +274,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_chars: int = 8_000_0
         at = plain.schema.get_field_index("text")
         return plain.set_column(at, plain.schema.field(at), text.cast(plain.schema.field(at).type)).filter(pa.array(keep))
 
-    out = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema)
-    return find_repeats(docs, length, chunk_chars, part_words, emit, out)
+    out = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in inner.schema)
+    done = find_repeats(inner, length, chunk_chars, part_words, emit, out)
+    return done.select(*[F.col(n).alias(c) for c, n in named.items()])
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -163,7 +163,7 @@ def toxic_lexicon(
         scorer = Scorer(lexicon)
         held = pdf[~half] if (~half).any() else pdf
         cut = cut_for(np.array([scorer(t) for t in held["text"]]), held["t"].to_numpy(dtype=bool)) if lexicon else 0.0
-        return pd.DataFrame({"term": list(lexicon), "weight": list(lexicon.values()), "cut": cut})
+        return pd.DataFrame({"term": pd.Series(list(lexicon), dtype=object), "weight": pd.Series(list(lexicon.values()), dtype=float), "cut": cut})
 
     return sample.groupBy(F.lit("all")).applyInPandas(fit, LEXICON)
 
@@ -183,7 +183,7 @@ def score_toxicity(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
         for t in texts:
             yield t.map(scorer, na_action=None).astype(float)
 
-    kept = [F.col(c) for c in docs.columns if c not in ("toxicity", "is_toxic")]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("toxicity", "is_toxic")]
     scored = docs.select(*kept, toxicity("text").alias("toxicity"))
     return scored.withColumn("is_toxic", (F.col("toxicity") >= cut) & (F.col("toxicity") > 0))
 
@@ -195,7 +195,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     An empty table gives an empty table.
     """
     lexicon = toxic_lexicon(docs, labels)
-    scored = score_toxicity(docs.select(F.struct(*docs.columns).alias("__row"), "text"), lexicon)
+    scored = score_toxicity(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text"), lexicon)
     return scored.filter(~F.col("is_toxic")).select("__row.*")
 
 
