@@ -197,7 +197,8 @@ def rank_overlap(t):
 
 # Crawls of the snapshot from all its pages
 
-FIRST = f"""{LINKS}, {SEEDS}, fetched AS (SELECT {at(_NORMAL)} AS url, min(page_id) AS page_id FROM pages GROUP BY 1)"""
+ONE_EACH = f"FROM (SELECT {at(_NORMAL)} AS url, arg_min(html, page_id) AS html FROM pages GROUP BY 1))"
+FIRST = f"""{LINKS.replace("FROM pages)", ONE_EACH)}, {SEEDS}, fetched AS (SELECT {at(_NORMAL)} AS url, min(page_id) AS page_id FROM pages GROUP BY 1)"""
 
 
 def ordered_seeds(t):

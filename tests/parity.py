@@ -10,7 +10,7 @@ DATA = "/root/testdata/sf0.001"
 
 def plain(x):
     if isinstance(x, float):
-        return None if x != x else round(x, 5) + 0.0
+        return None if x != x else round(x, 6) + 0.0
     if isinstance(x, (list, tuple)):
         return tuple(plain(v) for v in x)
     return x
