@@ -14,12 +14,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import materialize
-
 #: The pattern that splits text into words before any merge.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-SPLIT = "kind int, chunk long, part int, n long, ids array<long>, sizes array<long>, data binary"
+#: key: a chunk for its documents' rows, -1 - part for words.
+SPLIT = "key long, chunk long, part int, ids array<long>, sizes array<long>, data binary"
 
 
 def read_pieces(path: str) -> dict[bytes, int]:
@@ -86,20 +85,23 @@ def _split_rows(chunk: int, words: dict[str, int], ids: list, sizes: list, numbe
     place = np.empty(len(order), dtype=np.uint32)
     place[order] = np.arange(len(order))
     flat = np.concatenate([np.empty(0, np.uint32), *numbers])
-    rows = [(0, chunk, -1, len(coded), ids, sizes, squeeze(flat)), (0, chunk, -2, 0, None, None, squeeze(place))]
+    rows = [(chunk, chunk, -1, ids, sizes, squeeze(flat)), (chunk, chunk, -2, None, None, squeeze(place))]
     edges = np.searchsorted(part[order], np.arange(parts + 1))
     for p in range(parts):
         if edges[p] < edges[p + 1]:
             own = [coded[i] for i in order[edges[p] : edges[p + 1]]]
-            rows.append((1, chunk, p, len(own), None, None, word_blob(own)))
-    types = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["kind", "chunk", "part", "n", "ids", "sizes", "data"])
+            rows.append((-1 - p, chunk, p, None, None, word_blob(own)))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(zip(*rows), types)], names=["key", "chunk", "part", "ids", "sizes", "data"])
 
 
 def encode_part(pattern: str, vocabulary: str):
-    """An applyInArrow function over a part's words of all chunks: each distinct word is encoded once."""
+    """An applyInArrow function over a part's words of all chunks: each distinct word is encoded once. Chunks give nothing."""
+    codes = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("codes", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        if table.column("key")[0].as_py() >= 0:
+            return codes.empty_table()
         import tiktoken
 
         encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=read_pieces(vocabulary), special_tokens={}).encode_ordinary
@@ -115,7 +117,7 @@ def encode_part(pattern: str, vocabulary: str):
                 sizes.append(len(code))
             a, b = squeeze(np.array(ids, dtype=np.int64)), squeeze(np.array(sizes, dtype=np.int64))
             out.append(len(a).to_bytes(4, "little") + a + b)
-        return pa.table({"chunk": table.column("chunk"), "part": table.column("part"), "codes": pa.array(out, type=pa.binary())})
+        return pa.table([table.column("chunk"), table.column("part"), pa.array(out, type=pa.binary())], schema=codes)
 
     return run
 
@@ -129,7 +131,7 @@ def gather(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndar
 def place_codes(left: pa.Table, right: pa.Table) -> pa.Table:
     """A chunk's documents with ids, from its word numbers and the codes of its words."""
     schema = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-    if not len(left):
+    if not len(left) or left.column("key")[0].as_py() < 0:
         return schema.empty_table()
     rows = {r["part"]: r for r in left.to_pylist()}
     docs, place = rows[-1], unsqueeze(rows[-2]["data"]).astype(np.int64)
@@ -162,12 +164,11 @@ def encode_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pattern: str
     known = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     chars = known.agg(F.sum(F.length("text"))).first()[0] or 0
     parts = max(1, math.ceil(chars / part_chars))
-    cut = materialize(known.mapInArrow(split_batches(pattern, parts, chunk_chars), SPLIT), "words")
-    words = cut.filter("kind = 1").select("chunk", "part", "data")
-    codes = words.groupBy("part").applyInArrow(encode_part(pattern, vocabulary), "chunk long, part int, codes binary")
-    numbers = cut.filter("kind = 0").select("chunk", "part", "ids", "sizes", "data")
+    cut = known.mapInArrow(split_batches(pattern, parts, chunk_chars), SPLIT).groupBy("key")
+    # both sides group the same rows by the same key, so that Spark splits texts once and reuses the exchange
+    codes = cut.applyInArrow(encode_part(pattern, vocabulary), "chunk long, part int, codes binary")
     codes = codes.select(F.col("chunk").alias("c"), "part", "codes")
-    return numbers.groupBy("chunk").cogroup(codes.groupBy("c")).applyInArrow(place_codes, "doc_id long, ids array<int>")
+    return cut.cogroup(codes.groupBy("c")).applyInArrow(place_codes, "doc_id long, ids array<int>")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
