@@ -187,8 +187,11 @@ def decode_documents(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFr
         sizes = np.array([len(p) for p in table], dtype=np.int64)
         starts, data = np.cumsum(sizes) - sizes, np.frombuffer(b"".join(table), dtype=np.uint8)
         for batch in batches:
-            for at in range(0, len(batch), 512):
-                part = batch.slice(at, 512)
+            total = np.cumsum(np.nan_to_num(batch.column(1).value_lengths().to_numpy(zero_copy_only=False)))
+            # runs of rows with about 2^18 ids: indices of bytes take many times the text's memory
+            edges = [0, *np.flatnonzero(np.diff(total // (1 << 18))) + 1, len(batch)]
+            for at, to in zip(edges, edges[1:]):
+                part = batch.slice(int(at), int(to - at))
                 lists = part.column(1)
                 ids = lists.flatten().to_numpy()
                 counts = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
