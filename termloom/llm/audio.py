@@ -148,7 +148,8 @@ def sonify(embeddings: DataFrame, seconds: float = 6.0, rate: int = RATE) -> Dat
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tones = np.sin(2 * np.pi * notes[:, None] * t)
-        for pdf in batches:
+        # a batch of vectors makes a thousand times its bytes of sound: it goes on in small ones
+        for pdf in (whole.iloc[k : k + 64] for whole in batches for k in range(0, len(whole), 64)):
             out = []
             for v in pdf["embedding"]:
                 if v is None:
