@@ -20,6 +20,8 @@ _SEEDS = _rng.integers(0, 2**63, COORDS, dtype=U)
 _ODD32 = (_rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
 _XOR32 = _rng.integers(0, 2**32, COORDS, dtype=np.uint32)
 _ODD64 = _rng.integers(0, 2**63, COORDS, dtype=U) * U(2) + U(1)
+#: Columns of candidates: a pair (a, b), or a row (a) of a bucket that goes on, with the coordinates used so far as bits.
+FOUND = ["a", "b", "path", "inst", "sig", "used"]
 
 
 def grams(texts, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Rolling]]:
@@ -106,9 +108,9 @@ class Paths:
                 part = at[k : k + step]
                 self.compare(sig, (part[:, None] + x).ravel(), (part[:, None] + y).ravel(), np.repeat(inst[part], len(x)))
 
-    def large(self, sig: np.ndarray, rows: np.ndarray, inst: int) -> None:
-        """Split recursively on sampled coordinates; a row that is like its whole bucket is compared with it."""
-        stack = [(rows, int(inst), (int(inst),))]
+    def large(self, sig: np.ndarray, rows: np.ndarray, inst: int, seed: int, used: tuple[int, ...]) -> None:
+        """Split recursively on sampled coordinates beyond those used; a row that is like its whole bucket is compared with it."""
+        stack = [(rows, seed, used)]
         while stack:
             rows, seed, used = stack.pop()
             if len(rows) > self.limit and len(used) < COORDS:
@@ -151,7 +153,13 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths(threshold, limit, firsts)
 
-        def rows_of(path, ids, sig, inst):
+        def coords_of(used) -> tuple[int, ...]:
+            return tuple(c for c in range(COORDS) if int(used) >> c & 1)
+
+        def further(used) -> np.ndarray:
+            return np.setdiff1d(np.arange(firsts, COORDS), coords_of(used))
+
+        def rows_of(path, ids, sig, inst, used):
             """Output for whole buckets."""
             cut = np.flatnonzero(np.diff(path)) + 1
             starts = np.concatenate(([0], cut))
@@ -159,24 +167,28 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             low = (sizes > 1) & (sizes <= limit)
             paths.small(sig, starts[low], sizes[low], inst)
             for s, n in zip(starts[sizes > limit], sizes[sizes > limit]):
-                paths.large(sig, np.arange(s, s + n), int(inst[s]))
+                # the parts of a bucket that was sent on draw their own coordinates
+                again = used[s] != 1 << int(inst[s])
+                paths.large(sig, np.arange(s, s + n), int(inst[s]), int(path[s]) if again else int(inst[s]), coords_of(used[s]))
             i, j = paths.take()
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
             empty = pa.nulls(len(both))
             return pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0]), pa.array(both[:, 1]), empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary())], names=["a", "b", "path", "inst", "sig"]
+                [pa.array(both[:, 0]), pa.array(both[:, 1]), empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary()), empty.cast(pa.int64())], names=FOUND
             )
 
-        def split(path, ids, sig, inst):
-            """A bucket beyond task_rows goes on by two further coordinates to new tasks."""
-            out = []
+        def split(path, ids, sig, inst, used):
+            """A bucket beyond task_rows goes on to new tasks, by each of some further coordinates alone: pairs are lost as seldom as in large."""
             rng = np.random.default_rng(int(path[0]) & 0x7FFFFFFFFFFFFFFF)
-            for c in rng.choice(np.arange(firsts, COORDS), 2 * paths.branches, replace=False).reshape(-1, 2):
-                new = mix(path.view(U) ^ mix(sig[:, c[0]].astype(U) * U(256) + sig[:, c[1]] + U(int(c[0]) << 32)))
+            free = further(used[0])
+            for c in rng.choice(free, min(paths.branches, len(free)), replace=False):
+                new = mix(path.view(U) ^ mix(sig[:, c] + U(int(c) << 32)))
                 none = pa.nulls(len(ids)).cast(pa.int64())
-                out.append(pa.RecordBatch.from_arrays([pa.array(ids), none, pa.array(new.view(np.int64)), pa.array(inst.astype(np.int32)), pa.array([x.tobytes() for x in sig], type=pa.binary())], names=["a", "b", "path", "inst", "sig"]))
-            return out
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(ids), none, pa.array(new.view(np.int64)), pa.array(inst.astype(np.int32)), pa.array([x.tobytes() for x in sig], type=pa.binary()), pa.array(used | np.int64(1) << np.int64(c))],
+                    names=FOUND,
+                )
 
         held, over = None, None
         for batch in batches:
@@ -185,7 +197,7 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             raw = batch.column(3).cast(pa.large_binary())
             at = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset]
             sig = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at : at + len(raw) * COORDS].reshape(-1, COORDS)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig, batch.column(2).to_numpy()]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig, batch.column(2).to_numpy(), batch.column(4).to_numpy()]
             if over is not None:
                 n = int(np.searchsorted(new[0] != over, True))
                 if n:
@@ -198,7 +210,7 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             if tail:
                 yield rows_of(*[x[:tail] for x in cols])
             held = [x[tail:] for x in cols]
-            if len(held[0]) > task_rows:
+            if len(held[0]) > task_rows and len(further(held[4][0])):
                 yield from split(*held)
                 over, held = held[0][-1], None
         if held is not None:
@@ -245,14 +257,14 @@ def similar_sets(docs: DataFrame, threshold: float, n: int, runs: int, limit: in
         F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("members"), F.first("paths").alias("paths"), F.first("sig").alias("sig")
     )
     reps = materialize(reps.select("rep", "members", "paths", "sig"), "signatures")
-    todo = reps.select(F.posexplode("paths").alias("inst", "path"), F.col("rep").alias("a"), "sig")
+    todo = reps.select(F.posexplode("paths").alias("inst", "path"), F.col("rep").alias("a"), "sig").withColumn("used", F.expr("shiftleft(1L, inst)"))
     found, find = None, bucket_batches(threshold, limit, firsts, task_rows)
     while True:
-        rows = todo.select("path", "a", "inst", "sig").repartition("path").sortWithinPartitions("path")
-        out = materialize(rows.mapInArrow(find, "a long, b long, path long, inst int, sig binary"), "candidates")
+        rows = todo.select("path", "a", "inst", "sig", "used").repartition("path").sortWithinPartitions("path")
+        out = materialize(rows.mapInArrow(find, "a long, b long, path long, inst int, sig binary, used long"), "candidates")
         pairs = out.filter("b is not null").select("a", "b")
         found = pairs if found is None else found.union(pairs)
-        todo = out.filter("path is not null").select("path", "a", "inst", "sig")
+        todo = out.filter("path is not null").select("path", "a", "inst", "sig", "used")
         if not todo.limit(1).count():
             break
     cand = found.distinct()

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -83,6 +84,34 @@ def test_jaccard_join_of_one_large_group(spark):
     assert got <= set(want) and len(got) >= 0.9 * len(want)
 
 
+def template_group(pairs, seed, template, pair, own):
+    """Rows 2p and 2p + 1 share a template and words of their own pair; all others share the template only."""
+    rng = random.Random(seed)
+    some = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common, rows = some(template), []
+    for p in range(pairs):
+        both = common + some(pair)
+        rows += [(2 * p + k, " ".join(both + some(own)), "en", "s", 1) for k in range(2)]
+    return rows
+
+
+def recall_of_template_group(spark, rows, **how):
+    want = fx.jaccard_pairs([r for r in rows if r[0] < 10], 0.5)
+    assert set(want) == {(k, k + 1) for k in range(0, 10, 2)} and max(want.values()) < 0.55
+    got = {(a, b) for r in jaccard.jaccard_join(fx.frame(spark, rows), **how).collect() for a in r["docs_a"] for b in r["docs_b"]}
+    assert got <= {(k, k + 1) for k in range(0, len(rows), 2)}
+    return 2 * len(got) / len(rows)
+
+
+def test_jaccard_join_keeps_pairs_of_a_bucket_that_is_sent_on(spark):
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
+    try:
+        assert recall_of_template_group(spark, template_group(300, 1, 58, 9, 32), limit=16, task_rows=60) >= 0.9
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
 def test_keep_one_keeps_the_least_of_each_group(spark):
     rows = fx.awkward()
     parent = {}
