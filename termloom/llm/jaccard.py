@@ -81,34 +81,31 @@ def signature_batches(n: int, firsts: int):
 class Paths:
     """Candidates within buckets: small ones are compared pair by pair, large ones are split on."""
 
-    def __init__(self, threshold: float, limit: int, firsts: int):
+    def __init__(self, threshold: float, limit: int):
         self.least = int(np.ceil((threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / COORDS)) * COORDS))
-        self.dense, self.limit, self.firsts = 0.9 * threshold, limit, firsts
+        self.dense, self.limit = 0.9 * threshold, limit
         self.branches = max(1, round(1 / threshold))
         self.left: list[np.ndarray] = []
         self.right: list[np.ndarray] = []
 
-    def compare(self, sig: np.ndarray, i: np.ndarray, j: np.ndarray, inst: np.ndarray) -> None:
-        """A pair is kept in the first three buckets that it shares, not in all."""
+    def compare(self, sig: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
+        """A pair is kept in each bucket that it shares: whether an earlier one was small enough to compare all isn't known here."""
         for at in range(0, len(i), 1 << 16):
-            a, b, q = i[at : at + (1 << 16)], j[at : at + (1 << 16)], inst[at : at + (1 << 16)]
-            same = sig[a] == sig[b]
-            ok = same.sum(axis=1) >= self.least
-            a, b, q, same = a[ok], b[ok], q[ok], same[ok]
-            earlier = (same[:, : self.firsts] & (np.arange(self.firsts) < q[:, None])).sum(axis=1)
-            self.left.append(a[earlier <= 2])
-            self.right.append(b[earlier <= 2])
-
-    def small(self, sig: np.ndarray, starts: np.ndarray, sizes: np.ndarray, inst: np.ndarray) -> None:
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            ok = (sig[a] == sig[b]).sum(axis=1) >= self.least
+            self.left.append(a[ok])
+            self.right.append(b[ok])
+
+    def small(self, sig: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """All pairs of each of many small buckets, which are runs of rows."""
         for size in np.unique(sizes):
             at = starts[sizes == size]
             x, y = np.triu_indices(size, 1)
             for k in range(0, len(at), step := max(1, (1 << 18) // len(x))):
                 part = at[k : k + step]
-                self.compare(sig, (part[:, None] + x).ravel(), (part[:, None] + y).ravel(), np.repeat(inst[part], len(x)))
+                self.compare(sig, (part[:, None] + x).ravel(), (part[:, None] + y).ravel())
 
-    def large(self, sig: np.ndarray, rows: np.ndarray, inst: int, seed: int, used: tuple[int, ...]) -> None:
+    def large(self, sig: np.ndarray, rows: np.ndarray, seed: int, used: tuple[int, ...]) -> None:
         """Split recursively on sampled coordinates beyond those used; a row that is like its whole bucket is compared with it."""
         stack = [(rows, seed, used)]
         while stack:
@@ -127,7 +124,7 @@ class Paths:
             for k in range(0, len(mine), step := max(1, (1 << 19) // max(1, len(rows)))):
                 part = mine[k : k + step]
                 x, y = np.nonzero(rank[None, :] > rank[part][:, None])
-                self.compare(sig, rows[part[x]], rows[y], np.full(len(x), inst))
+                self.compare(sig, rows[part[x]], rows[y])
             rest = rows[~thick]
             if len(rest) < 2:
                 continue
@@ -151,7 +148,7 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
     """A mapInArrow function over rows sorted by bucket; ends with (a, b), or a bucket too large for a task again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(threshold, limit, firsts)
+        paths = Paths(threshold, limit)
 
         def coords_of(used) -> tuple[int, ...]:
             return tuple(c for c in range(COORDS) if int(used) >> c & 1)
@@ -165,11 +162,11 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             starts = np.concatenate(([0], cut))
             sizes = np.diff(np.concatenate((starts, [len(path)])))
             low = (sizes > 1) & (sizes <= limit)
-            paths.small(sig, starts[low], sizes[low], inst)
+            paths.small(sig, starts[low], sizes[low])
             for s, n in zip(starts[sizes > limit], sizes[sizes > limit]):
                 # the parts of a bucket that was sent on draw their own coordinates
                 again = used[s] != 1 << int(inst[s])
-                paths.large(sig, np.arange(s, s + n), int(inst[s]), int(path[s]) if again else int(inst[s]), coords_of(used[s]))
+                paths.large(sig, np.arange(s, s + n), int(path[s]) if again else int(inst[s]), coords_of(used[s]))
             i, j = paths.take()
             a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
             both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)

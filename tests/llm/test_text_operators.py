@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from termloom.llm import bpe, jaccard, line_quality, line_spread, packing, sharding, substrings, toxicity
@@ -112,6 +113,18 @@ def test_jaccard_join_keeps_pairs_of_a_bucket_that_is_sent_on(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
 
 
+def test_large_buckets_keep_pairs_that_earlier_ones_may_have_split():
+    rows = template_group(1000, 1, 52, 16, 34)
+    texts = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.large_string())], names=["doc_id", "text"])
+    signed = pa.Table.from_batches(list(jaccard.signature_batches(3, 12)(iter([texts]))))
+    keys = sorted((path, a, inst, sig, 1 << inst) for a, ps, sig in zip(*(signed.column(c).to_pylist() for c in ("doc_id", "paths", "sig"))) for inst, path in enumerate(ps))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*keys), types)], names=["path", "a", "inst", "sig", "used"])
+    out = [o.to_pydict() for o in jaccard.bucket_batches(0.5, 8, 12, 200_000)(iter([batch]))]
+    got = {p for o in out for p in zip(o["a"], o["b"])}
+    assert sum((k, k + 1) in got for k in range(0, len(rows), 2)) >= 0.975 * len(rows) / 2
+
+
 def test_keep_one_keeps_the_least_of_each_group(spark):
     rows = fx.awkward()
     parent = {}
