@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from termloom.functions import codecs, stem, urls
 from termloom.functions import text as tx
 from termloom.operators import boolean, corpus, evaluate, graph, index, rank, ranks
+from termloom.plans.queries import QUERIES
 from termloom.sources import collections as src
 from termloom.sources import sinks
 from termloom.streaming import index_stream
@@ -172,6 +173,22 @@ def test_pagerank_and_hits(spark):
     assert {r["authority"] for r in graph.hits(nodes, edges.limit(0)).collect()} == {0}
 
 
+def test_supply_ranks_have_converged(spark, tmp_path):
+    rows = [(p, s) for p in range(12) for s in range(3) if (p + s) % 3 < 2 and (p, s) != (1, 0)]
+    spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"file://{tmp_path}/lineitem.parquet")
+    got = {r["url"]: r["pagerank"] for r in QUERIES["q_pagerank_supply_converged"](spark, f"file://{tmp_path}").collect()}
+    edges = [(f"p{p}", f"s{s}") for p, s in rows]
+    edges += [(b, a) for a, b in edges]
+    deg = Counter(a for a, _ in edges)
+    r = dict.fromkeys(deg, 1 / len(deg))
+    for _ in range(500):
+        new = dict.fromkeys(deg, 0.15 / len(deg))
+        for a, b in edges:
+            new[b] += 0.85 * r[a] / deg[a]
+        r = new
+    assert got.keys() == r.keys() and all(abs(got[x] - r[x]) < 2e-8 for x in r)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "c" / "sub").mkdir(parents=True)
     (tmp_path / "c" / "b.txt").write_bytes(b"two \xff words")
