@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,13 +17,22 @@ from termloom.llm.hashing import ALNUM, Rolling, U, blocks, mix
 from termloom.session import materialize
 
 COORDS = 64
-_rng = np.random.default_rng(20177)
-_SEEDS = _rng.integers(0, 2**63, COORDS, dtype=U)
-_ODD32 = (_rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32)
-_XOR32 = _rng.integers(0, 2**32, COORDS, dtype=np.uint32)
-_ODD64 = _rng.integers(0, 2**63, COORDS, dtype=U) * U(2) + U(1)
-#: Columns of candidates: a pair (a, b), or a row (a) of a bucket that goes on, with the coordinates used so far as bits.
-FOUND = ["a", "b", "path", "inst", "sig", "used"]
+#: Columns of candidates: a pair (a, b) found in a run, or a row (a) of a bucket that goes on, with the coordinates used so far as bits.
+FOUND = ["a", "b", "run", "path", "inst", "sig", "used"]
+FOUND_TYPES = "a long, b long, run int, path long, inst int, sig binary, used long"
+#: inst of the rows of a bucket that further coordinates didn't make small.
+TILED = -1
+
+
+def seeds(batch: int) -> tuple[np.ndarray, ...]:
+    """Independent hash functions for the coordinates of each batch of runs."""
+    rng = np.random.default_rng(20177 + batch)
+    return (
+        rng.integers(0, 2**63, COORDS, dtype=U),
+        (rng.integers(0, 2**32, COORDS, dtype=np.uint32) | np.uint32(1)).astype(np.uint32),
+        rng.integers(0, 2**32, COORDS, dtype=np.uint32),
+        rng.integers(0, 2**63, COORDS, dtype=U) * U(2) + U(1),
+    )
 
 
 def grams(texts, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Rolling]]:
@@ -42,8 +53,9 @@ def grams(texts, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, Rolling]
         yield block.first, np.concatenate(([0], np.cumsum(per_row))), hashes, roll
 
 
-def signature_batches(n: int, firsts: int):
+def signature_batches(n: int, firsts: int, batch: int = 0):
     """A mapInArrow function: MinHash values of the first coordinates, and one byte of each of all 64."""
+    add, odd32, xor32, odd64 = seeds(batch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,10 +69,10 @@ def signature_batches(n: int, firsts: int):
                 low = (g >> U(32)).astype(np.uint32)
                 for c in range(COORDS):
                     if c < firsts:
-                        paths[:, c] = mix(np.minimum.reduceat(g * _ODD64[c] ^ _SEEDS[c], at) + _SEEDS[c])
+                        paths[:, c] = mix(np.minimum.reduceat(g * odd64[c] ^ add[c], at) + add[c])
                         sig[:, c] = (paths[:, c] >> U(56)).astype(np.uint8)
                     else:
-                        least = np.minimum.reduceat((low ^ _XOR32[c]) * _ODD32[c], at)
+                        least = np.minimum.reduceat((low ^ xor32[c]) * odd32[c], at)
                         sig[:, c] = (mix(least.astype(U) + U(c)) >> U(56)).astype(np.uint8)
                 words = roll.bounds
                 whole = roll.spans(words[rows], words[rows + 1])
@@ -78,11 +90,19 @@ def signature_batches(n: int, firsts: int):
     return run
 
 
+def least_equal(threshold: float, miss: float) -> int:
+    """The most equal coordinates to ask for so that a pair at the threshold fails with probability miss at most."""
+    below, k = 0.0, 0
+    while (below := below + math.comb(COORDS, k) * threshold**k * (1 - threshold) ** (COORDS - k)) <= miss:
+        k += 1
+    return k
+
+
 class Paths:
     """Candidates within buckets: small ones are compared pair by pair, large ones are split on."""
 
-    def __init__(self, threshold: float, limit: int):
-        self.least = int(np.ceil((threshold - 2.5 * np.sqrt(threshold * (1 - threshold) / COORDS)) * COORDS))
+    def __init__(self, threshold: float, limit: int, sketch_miss: float = 0.001):
+        self.least = least_equal(threshold, sketch_miss)
         self.dense, self.limit = 0.9 * threshold, limit
         self.branches = max(1, round(1 / threshold))
         self.left: list[np.ndarray] = []
@@ -144,8 +164,30 @@ class Paths:
         return i, j
 
 
-def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
-    """A mapInArrow function over rows sorted by bucket; ends with (a, b), or a bucket too large for a task again."""
+def as_batch(**columns) -> pa.RecordBatch:
+    """A batch of FOUND, null where nothing is given."""
+    n = len(next(iter(columns.values())))
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(columns[c], type=t) if c in columns else pa.nulls(n, t) for c, t in zip(FOUND, types)], names=FOUND)
+
+
+def sig_matrix(column: pa.Array) -> np.ndarray:
+    raw = column.cast(pa.large_binary())
+    at = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset]
+    return np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at : at + len(raw) * COORDS].reshape(-1, COORDS)
+
+
+def distinct_pairs(x: np.ndarray, y: np.ndarray, run: np.ndarray) -> pa.RecordBatch:
+    both = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y), run], axis=1)[x != y], axis=0)
+    return as_batch(a=both[:, 0], b=both[:, 1], run=both[:, 2].astype(np.int32))
+
+
+def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int, levels: int = 3):
+    """A mapInArrow function over rows sorted by bucket; gives pairs (a, b, run), and the rows of buckets above task_rows again.
+
+    Such a bucket goes on by each of 1 / threshold further coordinates, as large ones within a task do; one that levels
+    of these didn't make small goes to tiles, where all its pairs are compared.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         paths = Paths(threshold, limit)
@@ -153,10 +195,7 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
         def coords_of(used) -> tuple[int, ...]:
             return tuple(c for c in range(COORDS) if int(used) >> c & 1)
 
-        def further(used) -> np.ndarray:
-            return np.setdiff1d(np.arange(firsts, COORDS), coords_of(used))
-
-        def rows_of(path, ids, sig, inst, used):
+        def whole(path, ids, sig, inst, used):
             """Output for whole buckets."""
             cut = np.flatnonzero(np.diff(path)) + 1
             starts = np.concatenate(([0], cut))
@@ -164,37 +203,31 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             low = (sizes > 1) & (sizes <= limit)
             paths.small(sig, starts[low], sizes[low])
             for s, n in zip(starts[sizes > limit], sizes[sizes > limit]):
+                if n > task_rows:
+                    yield from split(*[x[s : s + n] for x in (path, ids, sig, inst, used)])
+                    continue
                 # the parts of a bucket that was sent on draw their own coordinates
                 again = used[s] != 1 << int(inst[s])
                 paths.large(sig, np.arange(s, s + n), int(path[s]) if again else int(inst[s]), coords_of(used[s]))
             i, j = paths.take()
-            a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
-            both = np.unique(np.stack([a, b], axis=1)[a != b], axis=0)
-            empty = pa.nulls(len(both))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(both[:, 0]), pa.array(both[:, 1]), empty.cast(pa.int64()), empty.cast(pa.int32()), empty.cast(pa.binary()), empty.cast(pa.int64())], names=FOUND
-            )
+            yield distinct_pairs(ids[i], ids[j], inst[i] // paths.branches)
 
         def split(path, ids, sig, inst, used):
-            """A bucket beyond task_rows goes on to new tasks, by each of some further coordinates alone: pairs are lost as seldom as in large."""
+            sigs = [x.tobytes() for x in sig]
+            if len(coords_of(used[0])) > levels:
+                yield as_batch(a=ids, run=(inst // paths.branches).astype(np.int32), path=path, inst=np.full(len(ids), TILED, dtype=np.int32), sig=sigs, used=used)
+                return
             rng = np.random.default_rng(int(path[0]) & 0x7FFFFFFFFFFFFFFF)
-            free = further(used[0])
+            free = np.setdiff1d(np.arange(firsts, COORDS), coords_of(used[0]))
             for c in rng.choice(free, min(paths.branches, len(free)), replace=False):
                 new = mix(path.view(U) ^ mix(sig[:, c] + U(int(c) << 32)))
-                none = pa.nulls(len(ids)).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids), none, pa.array(new.view(np.int64)), pa.array(inst.astype(np.int32)), pa.array([x.tobytes() for x in sig], type=pa.binary()), pa.array(used | np.int64(1) << np.int64(c))],
-                    names=FOUND,
-                )
+                yield as_batch(a=ids, path=new.view(np.int64), inst=inst.astype(np.int32), sig=sigs, used=used | np.int64(1) << np.int64(c))
 
         held, over = None, None
         for batch in batches:
             if not len(batch):
                 continue
-            raw = batch.column(3).cast(pa.large_binary())
-            at = np.frombuffer(raw.buffers()[1], dtype=np.int64)[raw.offset]
-            sig = np.frombuffer(raw.buffers()[2], dtype=np.uint8)[at : at + len(raw) * COORDS].reshape(-1, COORDS)
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig, batch.column(2).to_numpy(), batch.column(4).to_numpy()]
+            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), sig_matrix(batch.column(3)), batch.column(2).to_numpy(), batch.column(4).to_numpy()]
             if over is not None:
                 n = int(np.searchsorted(new[0] != over, True))
                 if n:
@@ -205,13 +238,32 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int):
             cols = new if held is None else [np.concatenate(p) for p in zip(held, new)]
             tail = len(cols[0]) - int(np.searchsorted(cols[0][::-1] != cols[0][-1], True))
             if tail:
-                yield rows_of(*[x[:tail] for x in cols])
+                yield from whole(*[x[:tail] for x in cols])
             held = [x[tail:] for x in cols]
-            if len(held[0]) > task_rows and len(further(held[4][0])):
+            if len(held[0]) > task_rows:
                 yield from split(*held)
                 over, held = held[0][-1], None
         if held is not None:
-            yield rows_of(*held)
+            yield from whole(*held)
+
+    return run
+
+
+def tile_pairs(threshold: float):
+    """An applyInArrow function over one tile of a bucket: rows of side i with those of side j."""
+
+    def run(table: pa.Table) -> pa.Table:
+        paths = Paths(threshold, 0)
+        ids, block = table.column("a").to_numpy(), table.column("block").to_numpy()
+        sig = sig_matrix(table.column("sig").combine_chunks())
+        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        for at in range(0, len(left), step := max(1, (1 << 19) // max(1, len(right)))):
+            x, y = (z.ravel() for z in np.meshgrid(left[at : at + step], right, indexing="ij"))
+            ok = x < y if i == j else slice(None)
+            paths.compare(sig, x[ok], y[ok])
+        i, j = paths.take()
+        return pa.Table.from_batches([distinct_pairs(ids[i], ids[j], np.full(len(i), table.column("run")[0].as_py()))])
 
     return run
 
@@ -245,104 +297,202 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def similar_sets(docs: DataFrame, threshold: float, n: int, runs: int, limit: int, task_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(sets, pairs): sets(rep, members) of identical texts, pairs(a, b, jaccard) of their least ids."""
-    firsts = runs * max(1, round(1 / threshold))
-    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
-    signed = known.mapInArrow(signature_batches(n, firsts), "doc_id long, h1 long, h2 long, words long, paths array<long>, sig binary")
-    reps = signed.groupBy("h1", "h2", "words").agg(
-        F.min("doc_id").alias("rep"), F.sort_array(F.collect_set("doc_id")).alias("members"), F.first("paths").alias("paths"), F.first("sig").alias("sig")
-    )
-    reps = materialize(reps.select("rep", "members", "paths", "sig"), "signatures")
-    todo = reps.select(F.posexplode("paths").alias("inst", "path"), F.col("rep").alias("a"), "sig").withColumn("used", F.expr("shiftleft(1L, inst)"))
-    found, find = None, bucket_batches(threshold, limit, firsts, task_rows)
-    while True:
+class Texts(NamedTuple):
+    """known(doc_id, text): all documents; members(doc_id, rep, weight): the class of each text, by its least doc_id, and its size."""
+
+    known: DataFrame
+    members: DataFrame
+
+
+def signed_texts(known: DataFrame, n: int, firsts: int, batch: int) -> DataFrame:
+    return known.mapInArrow(signature_batches(n, firsts, batch), "doc_id long, h1 long, h2 long, words long, paths array<long>, sig binary")
+
+
+def text_classes(signed: DataFrame) -> DataFrame:
+    """(h1, h2, words, rep, weight, paths, sig) of each distinct text; repeated rows count once, and copies are combined before each shuffle."""
+    first = [F.first("paths").alias("paths"), F.first("sig").alias("sig")]
+    once = signed.groupBy("h1", "h2", "words", "doc_id").agg(*first)
+    return once.groupBy("h1", "h2", "words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), *first)
+
+
+def candidates(classes: DataFrame, threshold: float, firsts: int, limit: int, task_rows: int, block: int) -> DataFrame:
+    """(a, b, hits): pairs of texts that met in a bucket, and in how many runs."""
+    todo = classes.select(F.posexplode("paths").alias("inst", "path"), F.col("rep").alias("a"), "sig").withColumn("used", F.expr("shiftleft(1L, inst)"))
+    found, tiled, find = [], [], bucket_batches(threshold, limit, firsts, task_rows)
+    while True:  # as often as buckets are sent on, that is levels times
         rows = todo.select("path", "a", "inst", "sig", "used").repartition("path").sortWithinPartitions("path")
-        out = materialize(rows.mapInArrow(find, "a long, b long, path long, inst int, sig binary, used long"), "candidates")
-        pairs = out.filter("b is not null").select("a", "b")
-        found = pairs if found is None else found.union(pairs)
-        todo = out.filter("path is not null").select("path", "a", "inst", "sig", "used")
+        out = materialize(rows.mapInArrow(find, FOUND_TYPES), "candidates")
+        found.append(out.filter("b is not null").select("a", "b", "run"))
+        tiled.append(out.filter(F.col("inst") == TILED).select("path", "a", "run", "sig"))
+        todo = out.filter(F.col("inst") != TILED).select("path", "a", "inst", "sig", "used")
         if not todo.limit(1).count():
             break
-    cand = found.distinct()
-    return reps.select("rep", "members"), verified(known, cand, threshold, n)
+    tiles = reduce(DataFrame.union, tiled)
+    sides = tiles.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    mine = tiles.join(sides, "path").withColumn("block", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
+    both = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("path", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "a", "run", "sig")
+    found.append(both.groupBy("path", "i", "j").applyInArrow(tile_pairs(threshold), FOUND_TYPES).select("a", "b", "run"))
+    met = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("runs"))
+    return materialize(met.select("a", "b", F.bit_count("runs").cast("int").alias("hits")), "pairs")
+
+
+def missed(near: int, once: int, twice: int, runs: int) -> float:
+    """The share of pairs that no run found, by Chao's estimate from those that one run and two runs found."""
+    unseen = (runs - 1) / runs * once * max(0, once - 1) / (2 * (twice + 1))
+    return unseen / max(1.0, near + unseen)
+
+
+def similar_texts(
+    docs: DataFrame, threshold: float, n: int, target_recall: float, runs: int, limit: int, task_rows: int, block: int = 4096, pairs: bool = False
+) -> tuple[Texts, DataFrame]:
+    """Classes of texts, and what tiles of verified pairs report (see verified). Batches of runs follow until the target is reached."""
+    branches = max(1, round(1 / threshold))
+    firsts = runs * branches
+    if firsts > COORDS // 2:
+        raise ValueError("runs of one batch take at most half of the coordinates")
+    known = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lower("text").alias("text"))
+    signed = materialize(signed_texts(known, n, firsts, 0), "signatures")
+    classes = materialize(text_classes(signed), "classes")
+    key = ["h1", "h2", "words"]
+    members = signed.select("doc_id", *key).distinct().join(classes.select(*key, "rep", "weight"), key).select("doc_id", "rep", "weight")
+    members = materialize(members, "members")
+    met, batch = None, 0
+    while True:
+        new = candidates(classes, threshold, firsts, limit, task_rows, block)
+        met = new if met is None else met.union(new).groupBy("a", "b").agg(F.sum("hits").cast("int").alias("hits"))
+        out = materialize(verified(known, members, met, threshold, n, pairs), "verified")
+        batch += 1
+        near, once, twice = out.filter("near is not null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("near", "once", "twice")]).first()
+        if missed(near, once, twice, runs * batch) <= 1 - target_recall:
+            return Texts(known, members), out
+        classes = materialize(text_classes(signed_texts(known, n, firsts, batch)), "classes")
+
+
+#: What a tile reports: a document's links, an edge of a spanning forest, how often runs met pairs near the threshold, a pair.
+REPORT = pa.schema([(c, pa.int64()) for c in ("a", "links", "p", "q", "near", "once", "twice", "x", "y")] + [("jaccard", pa.float64())])
+
 
+def report(**columns) -> pa.Table:
+    n = len(next(iter(columns.values())))
+    return pa.table([pa.array(columns[f.name], type=f.type) if f.name in columns else pa.nulls(n, f.type) for f in REPORT], schema=REPORT)
 
-def verified(known: DataFrame, cand: DataFrame, threshold: float, n: int, side: int = 192) -> DataFrame:
-    """Exact similarities of candidate pairs (a, b).
+
+def forest(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least number connected to each of n."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, x, label[y])
+        np.minimum.at(new, y, label[x])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def verified(known: DataFrame, members: DataFrame, cand: DataFrame, threshold: float, n: int, pairs: bool, side: int = 192) -> DataFrame:
+    """Exact similarities of candidate pairs (a, b, hits), as rows of REPORT: each tile sums up its own pairs.
 
     Pairs go to cells by their documents' least neighbour, which copies of one text have in common, and a large
-    cell is cut into blocks of about side by side documents; so a text is sent few times, not once a pair.
+    cell is cut into blocks of about side by side documents; so a text is sent few times, not once a pair, and a tile
+    gives as many rows as it has documents. With pairs, each similar pair is a row (x, y, jaccard) besides.
     """
-    cand = materialize(cand, "pairs")
-    both = cand.union(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = cand.select("a", "b").union(cand.select(F.col("b").alias("a"), F.col("a").alias("b")))
     near = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("cell"))
     celled = cand.join(near, "a")
     sides = celled.groupBy("cell").agg(F.ceil(F.sqrt(2.0 * F.count("*")) / side).alias("s"))
     i, j = F.pmod(F.xxhash64("a"), F.col("s")), F.pmod(F.xxhash64("b"), F.col("s"))
-    tiled = materialize(celled.join(sides, "cell").select("cell", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b"), "tiles")
+    tiled = materialize(celled.join(sides, "cell").select("cell", F.least(i, j).alias("i"), F.greatest(i, j).alias("j"), "a", "b", "hits"), "tiles")
     wanted = tiled.select(F.col("cell").alias("c"), F.col("i").alias("ci"), F.col("j").alias("cj"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = wanted.hint("merge").join(known, "doc_id")  # the same plan at every size
+    weight = members.filter("doc_id = rep").groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    texts = wanted.hint("merge").join(weight.hint("merge"), "doc_id").join(known, "doc_id")  # the same plan at every size
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = left.column("a").to_numpy(), left.column("b").to_numpy()
-        ids = right.column("doc_id").to_numpy()
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("jaccard", pa.float64())])
+        a, b, hits = (left.column(c).to_numpy() for c in ("a", "b", "hits"))
+        ids, weights = right.column("doc_id").to_numpy(), right.column("weight").to_numpy()
         if not len(a) or not len(ids):
-            return schema.empty_table()
+            return REPORT.empty_table()
         sets = gram_sets(right.column("text"), n)
-        uniq, inverse = np.unique(ids, return_inverse=True)
+        uniq, first, inverse = np.unique(ids, return_index=True, return_inverse=True)
         both = overlaps(sets)
         size = np.array([len(s) for s in sets], dtype=float)
+        x, y = np.searchsorted(uniq, a), np.searchsorted(uniq, b)
         if len(uniq) == len(ids):
-            where = np.empty(len(ids), dtype=np.int64)
-            where[inverse] = np.arange(len(ids))
-            x, y = where[np.searchsorted(uniq, a)], where[np.searchsorted(uniq, b)]
-            inter = both[x, y]
-            score = inter / (size[x] + size[y] - inter)
+            p, q = first[x], first[y]
+            score = both[p, q] / (size[p] + size[q] - both[p, q])
         else:  # rows that repeat an id: the most similar texts count
-            rows = {int(u): np.flatnonzero(ids == u) for u in uniq}
-            score = np.array([max(both[p, q] / max(1.0, size[p] + size[q] - both[p, q]) for p in rows[int(u)] for q in rows[int(v)]) for u, v in zip(a, b)])
+            rows = [np.flatnonzero(inverse == k) for k in range(len(uniq))]
+            score = np.array([max(both[p, q] / max(1.0, size[p] + size[q] - both[p, q]) for p in rows[u] for q in rows[v]) for u, v in zip(x, y)])
         ok = score >= threshold
-        return pa.table([pa.array(a[ok]), pa.array(b[ok]), pa.array(score[ok])], schema=schema)
-
-    return tiled.groupBy("cell", "i", "j").cogroup(texts.groupBy("c", "ci", "cj")).applyInArrow(check, "a long, b long, jaccard double")
-
-
-def jaccard_join(docs: DataFrame, threshold: float = 0.5, n: int = 3, runs: int = 6, limit: int = 64, task_rows: int = 200_000) -> DataFrame:
-    """All pairs of documents whose sets of word n-grams have a Jaccard similarity of at least threshold.
+        if not ok.any():
+            return REPORT.empty_table()
+        x, y, hits, score = x[ok], y[ok], hits[ok], score[ok]
+        weights = weights[first]
+        links = np.bincount(x, weights[y], len(uniq)) + np.bincount(y, weights[x], len(uniq))
+        label = forest(len(uniq), x, y)
+        some, child = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(uniq)))
+        edge = hits[score < threshold + 0.1]
+        parts = [report(a=uniq[some], links=links[some].astype(np.int64)), report(p=uniq[label[child]], q=uniq[child]), report(near=[len(edge)], once=[int((edge == 1).sum())], twice=[int((edge == 2).sum())])]
+        if pairs:
+            parts.append(report(x=a[ok], y=b[ok], jaccard=score))
+        return pa.concat_tables(parts)
+
+    types = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in REPORT)
+    return tiled.groupBy("cell", "i", "j").cogroup(texts.groupBy("c", "ci", "cj")).applyInArrow(check, types)
+
+
+def linked(texts: Texts, out: DataFrame) -> DataFrame:
+    """(doc_id, class_id, n_links) of the documents that have a copy or are similar to another one."""
+    reps = texts.members.select("doc_id", "rep")
+    several = reps.groupBy("doc_id").agg(F.min("rep").alias("p"), F.max("rep").alias("q")).filter("p <> q")  # texts of one id
+    edges = out.filter("p is not null").select(F.col("p").alias("a"), F.col("q").alias("b")).union(reps.join(several.select("doc_id", "p"), "doc_id").filter("p <> rep").select("p", "rep"))
+    labels = components(materialize(edges, "similar")).select(F.col("id").alias("rep"), "label")
+    links = out.filter("a is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
+    each = texts.members.join(links, "rep", "left").join(labels, "rep", "left").filter("weight > 1 or links is not null or label is not null")
+    each = each.select("doc_id", F.coalesce("label", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"))
+    return each.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("n_links").alias("n_links"))
+
+
+def jaccard_join(docs: DataFrame, threshold: float = 0.5, n: int = 3, target_recall: float = 0.98, runs: int = 6, limit: int = 64, task_rows: int = 20_000) -> DataFrame:
+    """Documents whose sets of word n-grams have a Jaccard similarity of at least threshold with another's.
 
     Sets are embedded by MinHash in 64 coordinates. Each run splits all sets on 1/threshold of them, in a
     shuffle; a bucket of up to limit sets is compared pair by pair, a larger one splits on by further sampled
-    coordinates, and a set that is like its whole bucket is compared with all of it. A pair at the threshold
-    shares a bucket of one run with probability 0.75, so runs=6 misses one in 4,000 there in small buckets; above 0.9 recall holds
-    in large ones. Candidates are verified on the full sets, so each reported similarity is exact.
-
-    Returns docs_a, docs_b (sorted lists of doc_id), jaccard: each document of docs_a is similar to each of
-    docs_b. Documents with the same words in the same order share a list; a list of two or more is also paired with itself, with
-    jaccard 1. Words are runs of ASCII letters, digits, underscores and non-ASCII characters, in lower case.
-    A text of fewer than n words is one gram; one without words, a null text or a null doc_id is in no pair.
-    Rows that repeat a doc_id are one document, with the most similar of its texts; it isn't paired with itself.
+    coordinates, within its task or, above task_rows, over the cluster, and a set that is like its whole bucket is compared with all of it.
+    Buckets that don't get smaller are compared in tiles. Candidates are verified on the full sets, so each link is exact.
+
+    Runs come in batches with hash functions of their own, until the pairs just above the threshold (up to 0.1) that no run found are at most
+    1 - target_recall by Chao's estimate, which takes how many pairs were found by one run and by two. Pairs that
+    are more similar are missed less. A sketch of one byte a coordinate loses another 0.1 % at the threshold.
+
+    Returns one row for each document that has a link: doc_id, class_id (the least doc_id of all that links connect it with),
+    n_links (documents that are similar to it; those with the same words in the same order count too). A document without a row has no link.
+    jaccard_pairs gives the pairs. Words are runs of ASCII letters, digits, underscores and non-ASCII characters, in lower case.
+    A text of fewer than n words is one gram; one without words, a null text or a null doc_id has no link.
+    Repeated rows count once; rows that repeat a doc_id with other texts are one document, which has the links of each.
     An empty table gives no rows. Other columns are ignored.
     """
-    sets, pairs = similar_sets(docs, threshold, n, runs, limit, task_rows)
-    sets = sets.groupBy("rep").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("members")))).alias("members"))
-    a, b = sets.select(F.col("rep").alias("a"), F.col("members").alias("docs_a")), sets.select(F.col("rep").alias("b"), F.col("members").alias("docs_b"))
-    near = pairs.join(a, "a").join(b, "b").select("docs_a", "docs_b", "jaccard")
-    same = sets.filter(F.size("members") > 1).select(F.col("members").alias("docs_a"), F.col("members").alias("docs_b"), F.lit(1.0).alias("jaccard"))
-    return near.unionByName(same)
+    return linked(*similar_texts(docs, threshold, n, target_recall, runs, limit, task_rows))
+
+
+def jaccard_pairs(docs: DataFrame, threshold: float = 0.5, n: int = 3, target_recall: float = 0.98, runs: int = 6, limit: int = 64, task_rows: int = 20_000) -> tuple[DataFrame, DataFrame]:
+    """The links of jaccard_join as pairs(doc_a, doc_b, jaccard) of different texts' least ids, doc_a < doc_b, and members(doc_id, rep).
+
+    Of an id that has several texts the most similar count, and none with itself.
+    """
+    texts, out = similar_texts(docs, threshold, n, target_recall, runs, limit, task_rows, pairs=True)
+    return out.filter("x is not null").select(F.col("x").alias("doc_a"), F.col("y").alias("doc_b"), "jaccard"), texts.members.select("doc_id", "rep")
 
 
-def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3, runs: int = 6, limit: int = 64, task_rows: int = 200_000) -> DataFrame:
+def keep_one(docs: DataFrame, threshold: float = 0.5, n: int = 3, target_recall: float = 0.98, runs: int = 6, limit: int = 64, task_rows: int = 20_000) -> DataFrame:
     """The rows of docs without near copies: of each group that similarity connects, the least doc_id stays.
 
-    Columns as in docs. What jaccard_join doesn't pair stays, nulls included; rows that repeat a doc_id stay or go together.
+    Columns as in docs. What jaccard_join doesn't link stays, nulls included; rows that repeat a doc_id stay or go together.
     """
-    sets, pairs = similar_sets(docs, threshold, n, runs, limit, task_rows)
-    same = sets.select(F.col("rep").alias("a"), F.explode("members").alias("b")).filter("a <> b")
-    gone = components(materialize(pairs.select("a", "b").union(same), "similar")).filter("id <> label").select(F.col("id").alias("doc_id"))
+    gone = jaccard_join(docs, threshold, n, target_recall, runs, limit, task_rows).filter("doc_id <> class_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """doc_id, class_id and n_links of the documents that are similar to others."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet"))

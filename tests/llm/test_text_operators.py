@@ -63,26 +63,101 @@ def test_line_quality(spark, max_docs):
     same([tuple(r) for r in got], want)
 
 
-@pytest.mark.parametrize("task_rows,limit", [(200_000, 64), (10, 4)])
-def test_jaccard_join_recall_and_precision(spark, task_rows, limit):
-    rows = fx.awkward() + [(1000 + r[0], r[1] + " tail", *r[2:]) for r in fx.documents(seed=8, n=50)] + [(2000 + r[0], "head " + r[1], *r[2:]) for r in fx.documents(seed=8, n=50)]
+def pairs_of(spark, rows, **how):
+    """{(a, b): jaccard} of all documents, from the pairs of texts and their members."""
+    pairs, members = jaccard.jaccard_pairs(fx.frame(spark, rows), **how)
+    of, got = defaultdict(set), {}
+    for r in members.collect():
+        of[r["rep"]].add(r["doc_id"])
+    found = [(r["doc_a"], r["doc_b"], r["jaccard"]) for r in pairs.collect()]
+    assert all(a < b for a, b, _ in found) and len({(a, b) for a, b, _ in found}) == len(found)
+    for a, b, j in found + [(r, r, 1.0) for r in of]:
+        got |= {(min(x, y), max(x, y)): j for x in of[a] for y in of[b] if x != y}
+    return got
+
+
+def links_by_hand(pairs):
+    """{doc: (class, links)} of pairs."""
+    parent, links = {}, Counter(x for p in pairs for x in p)
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in pairs:
+        a, b = root(a), root(b)
+        parent[max(a, b)] = min(a, b)
+    return {d: (root(d), n) for d, n in links.items()}
+
+
+def similar_rows():
+    more = fx.documents(seed=8, n=50)
+    return fx.awkward() + [(1000 + r[0], r[1] + " tail", *r[2:]) for r in more] + [(2000 + r[0], "head " + r[1], *r[2:]) for r in more]
+
+
+@pytest.mark.parametrize("how", [{}, {"task_rows": 10, "limit": 4}])
+def test_jaccard_join_equals_brute_force(spark, how):
+    rows = similar_rows()
     want = fx.jaccard_pairs(rows, 0.5)
-    got = {}
-    for r in jaccard.jaccard_join(fx.frame(spark, rows), task_rows=task_rows, limit=limit).collect():
-        for a in r["docs_a"]:
-            for b in r["docs_b"]:
-                if a != b:
-                    got[min(a, b), max(a, b)] = r["jaccard"]
-    assert set(got) <= set(want)
+    got = pairs_of(spark, rows, **how)
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want) and len(want) > 60
     assert all(abs(got[p] - want[p]) < 1e-9 for p in got)
-    assert len(got) >= 0.9 * len(want) and len(want) > 60
+    rows_out = jaccard.jaccard_join(fx.frame(spark, rows), **how).collect()
+    assert len({r["doc_id"] for r in rows_out}) == len(rows_out)
+    assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in rows_out} == links_by_hand(got)
+
+
+def test_texts_of_one_id_are_one_document(spark):
+    a, b = " ".join(fx.words(60, 1)), " ".join(fx.words(60, 2))
+    rows = [(1, a, "en", "s", 1), (2, a + " x", "en", "s", 1), (3, a, "en", "s", 1), (3, b, "en", "s", 1), (4, b + " y", "en", "s", 1), (5, "other words here", "en", "s", 1)]
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(fx.frame(spark, rows)).collect()}
+    assert got == {1: (1, 2), 2: (1, 2), 3: (1, 3), 4: (1, 1)}
 
 
 def test_jaccard_join_of_one_large_group(spark):
     rows = [(i, " ".join(fx.words(200, 1)[: 150 + i % 50]), "en", "s", 1) for i in range(400)]
     want = fx.jaccard_pairs(rows, 0.5)
-    got = {(min(a, b), max(a, b)) for r in jaccard.jaccard_join(fx.frame(spark, rows), limit=16, task_rows=90).collect() for a in r["docs_a"] for b in r["docs_b"] if a != b}
-    assert got <= set(want) and len(got) >= 0.9 * len(want)
+    got = pairs_of(spark, rows, limit=16, task_rows=90)
+    assert set(got) == set(want)
+
+
+def test_a_bucket_of_equal_signatures_goes_to_tiles(spark):
+    """Splits can't make it smaller: it must end, and keep each pair."""
+    same_start = fx.words(3_000, 1, 10**6)
+    rows = [(i, " ".join(same_start + [f"own{i}"]), "en", "s", 1) for i in range(60)]
+    texts = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.large_string())], names=["doc_id", "text"])
+    signed = pa.Table.from_batches(list(jaccard.signature_batches(3, 12)(iter([texts]))))
+    assert len(set(signed.column("sig").to_pylist())) < 5
+    classes = spark.createDataFrame(signed.select(["doc_id", "paths", "sig"]).to_pandas()).withColumnRenamed("doc_id", "rep")
+    got = {(r["a"], r["b"]) for r in jaccard.candidates(classes, 0.5, 12, 4, 10, 7).collect()}
+    assert got == {(i, j) for i in range(60) for j in range(i + 1, 60)}
+
+
+def test_runs_repeat_until_the_target_recall(spark, monkeypatch):
+    """One run an attempt finds too little; batches follow until the estimate is met."""
+    rows = template_group(60, 5, 58, 9, 32)
+    batches = []
+    plain = jaccard.candidates
+    monkeypatch.setattr(jaccard, "candidates", lambda *a, **k: batches.append(1) or plain(*a, **k))
+    want = {(k, k + 1) for k in range(0, len(rows), 2)}
+    found = set(pairs_of(spark, rows, runs=2, limit=8, target_recall=0.97))
+    assert found <= want and len(found) >= 0.95 * len(want) and len(batches) > 1
+
+
+def test_estimate_of_missed_pairs():
+    assert jaccard.missed(0, 0, 0, 6) == 0 and jaccard.missed(100, 0, 5, 6) == 0
+    rng = random.Random(3)
+    hits = [h for h in (sum(rng.random() < 0.35 for _ in range(6)) for _ in range(20_000)) if h]
+    assert abs(jaccard.missed(len(hits), hits.count(1), hits.count(2), 6) - 0.65**6) < 0.02
+
+
+def test_sketch_loses_one_in_a_thousand():
+    from math import comb
+
+    for t in (0.3, 0.5, 0.8):
+        k = jaccard.least_equal(t, 0.001)
+        assert sum(comb(64, i) * t**i * (1 - t) ** (64 - i) for i in range(k)) <= 0.001 < sum(comb(64, i) * t**i * (1 - t) ** (64 - i) for i in range(k + 1))
 
 
 def template_group(pairs, seed, template, pair, own):
@@ -96,21 +171,17 @@ def template_group(pairs, seed, template, pair, own):
     return rows
 
 
-def recall_of_template_group(spark, rows, **how):
+def test_jaccard_join_keeps_pairs_of_a_bucket_that_is_sent_on(spark):
+    rows = template_group(300, 1, 58, 9, 32)
     want = fx.jaccard_pairs([r for r in rows if r[0] < 10], 0.5)
     assert set(want) == {(k, k + 1) for k in range(0, 10, 2)} and max(want.values()) < 0.55
-    got = {(a, b) for r in jaccard.jaccard_join(fx.frame(spark, rows), **how).collect() for a in r["docs_a"] for b in r["docs_b"]}
-    assert got <= {(k, k + 1) for k in range(0, len(rows), 2)}
-    return 2 * len(got) / len(rows)
-
-
-def test_jaccard_join_keeps_pairs_of_a_bucket_that_is_sent_on(spark):
     batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 40)
     try:
-        assert recall_of_template_group(spark, template_group(300, 1, 58, 9, 32), limit=16, task_rows=60) >= 0.9
+        got = set(pairs_of(spark, rows, limit=16, task_rows=60))
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert got <= {(k, k + 1) for k in range(0, len(rows), 2)} and 2 * len(got) / len(rows) >= 0.97
 
 
 def test_large_buckets_keep_pairs_that_earlier_ones_may_have_split():
@@ -127,17 +198,8 @@ def test_large_buckets_keep_pairs_that_earlier_ones_may_have_split():
 
 def test_keep_one_keeps_the_least_of_each_group(spark):
     rows = fx.awkward()
-    parent = {}
-
-    def root(x):
-        while parent.setdefault(x, x) != x:
-            x = parent[x]
-        return x
-
-    for a, b in fx.jaccard_pairs(rows, 0.5):
-        a, b = root(a), root(b)
-        parent[max(a, b)] = min(a, b)
-    want = [r for r in rows if r[0] is None or root(r[0]) == r[0]]
+    label = links_by_hand(fx.jaccard_pairs(rows, 0.5))
+    want = [r for r in rows if label.get(r[0], (r[0], 0))[0] == r[0]]
     same([tuple(r) for r in jaccard.keep_one(fx.frame(spark, rows)).collect()], want)
 
 
@@ -284,6 +346,7 @@ OPERATORS = {
     "sharding": lambda s, d: sharding.shard_documents(d),
     "line_quality": lambda s, d: line_quality.line_frequency_rule(d),
     "jaccard": lambda s, d: jaccard.jaccard_join(d),
+    "pairs": lambda s, d: jaccard.jaccard_pairs(d)[0],
     "keep_one": lambda s, d: jaccard.keep_one(d),
     "encode": lambda s, d: bpe.encode_documents(d),
     "spread": lambda s, d: line_spread.site_spread_dedup(d, 2),
