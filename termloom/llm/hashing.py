@@ -94,6 +94,18 @@ def _block(first: int, data: np.ndarray, offsets: np.ndarray, letters: np.ndarra
     return Block(first, data, offsets, starts, ends, np.searchsorted(starts, offsets), hashes)
 
 
+def span_hashes(block: Block, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans of bytes; that of a whole word is block.hashes."""
+    up, down = powers("bytes", len(block.data))
+    total = np.zeros(len(block.data) + 1, dtype=U)
+    np.cumsum(_VALUE[block.data] * up, out=total[1:])
+    return mix((total[ends] - total[starts]) * down[starts])
+
+
+def bytes_of(block: Block, start: int, end: int) -> bytes:
+    return block.data[start:end].tobytes()
+
+
 class Rolling:
     """Hashes of word windows of any length in a block."""
 

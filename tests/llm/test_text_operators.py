@@ -332,6 +332,130 @@ def test_toxicity_on_unlabelled_documents(spark):
     assert all(r["toxicity"] == 0 and not r["is_toxic"] for r in out if not (r["text"] or "").strip())
 
 
+def words_by_hand(text):
+    """[(word, (word before, word after))] of the words of three letters or more, once each, where they come first."""
+    found = re.findall(r"[a-z\x80-\U0010ffff]+", text.lower())
+    out = {}
+    for i, w in enumerate(found):
+        if len(w) >= 3:
+            out.setdefault(w, (found[i - 1] if i else None, found[i + 1] if i + 1 < len(found) else None))
+    return out
+
+
+def test_words_and_their_contexts():
+    texts = ["An idiot, IDIOTS and fools9fools; an idiot", "", None, "ünïcödé ünï 漢字漢字漢字漢 ab abc", "one idiot and", "an idiot, idiots"]
+    hashed, contexts, names = {}, defaultdict(set), set()
+    base = 0
+    for ws in toxicity.words_of(pa.array(texts, pa.large_string())):
+        for k in range(len(ws.row)):
+            text, word = texts[base + ws.row[k]], ws.name(k, 0)
+            assert word in words_by_hand(text)
+            names.add((base + ws.row[k], word))
+            contexts[words_by_hand(text)[word]].add(int(ws.context[k]))
+            for c, f in enumerate(toxicity.features(word)):
+                column = 0 if not c else 1 + toxicity.STEMS.index(len(f) - 1)
+                assert ws.name(k, column) == f and hashed.setdefault(f, int(ws.keys[k, column])) == int(ws.keys[k, column]) != 0
+            assert (ws.keys[k] != 0).sum() == len(toxicity.features(word))
+        base += len(ws.block.bounds) - 1
+    assert names == {(i, w) for i, t in enumerate(texts) if t for w in words_by_hand(t)}
+    assert all(len(c) == 1 for c in contexts.values()) and len({next(iter(c)) for c in contexts.values()}) == len(contexts)
+    assert len(set(hashed.values())) == len(hashed)
+
+
+def test_walk_weights_equal_those_of_dense_matrices():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    docs = rng.random((400, 12)) < np.linspace(0.1, 0.5, 12)
+    docs[:60, :4] = True
+    both = docs.T.astype(float) @ docs
+    kinds = np.array([1, 1, 0, 0, 0, 0, 0, 0, 2, 2, 2, 2])
+    graph = np.maximum(0, np.log(both * 400 / np.outer(np.diag(both), np.diag(both))))
+    graph[8:, 8:] = 0
+    np.fill_diagonal(graph, 0)
+    root = np.sqrt(graph.sum(axis=1))
+    want = []
+    for k in (1, 2):
+        start = np.where(kinds == k, np.diag(both), 0) / np.diag(both)[kinds == k].sum()
+        p = start
+        for _ in range(60):
+            p = 0.85 * (graph / np.outer(root, root)) @ p + 0.15 * start
+        want.append(p + 1e-9 / 12)
+    i, j = np.array([(i, j) for i in range(12) for j in range(i, 12) if i == j or i < 8]).T
+    got = toxicity.polarity(i, j, both[i, j], 400, kinds)
+    assert np.allclose(got, np.log(want[0] / want[1])) and got[2] > got[5]
+
+
+def test_counts_of_the_word_graph(spark):
+    """Terms near seeds, and meetings of nodes, against plain sets; copies of a document count once."""
+    import numpy as np
+
+    docs, _ = toxic_corpus(200)
+    docs += [(1000 + k, docs[5][1], "en", "s", 1) for k in range(40)]
+    texts = pa.array([d[1] for d in docs], pa.large_string())
+    key = {}
+    for ws in toxicity.words_of(texts):
+        for k in range(len(ws.row)):
+            for c, f in enumerate(toxicity.features(ws.name(k, 0))):
+                key[f] = ws.keys[k, 0 if not c else 1 + toxicity.STEMS.index(len(f) - 1)]
+    seeds = np.sort(np.array([key["foulword"], key["slurry"]]))
+    batch = pa.RecordBatch.from_arrays([texts], names=["text"])
+    got = defaultdict(set)
+    for b in toxicity.near_seeds(seeds, np.zeros(0, np.uint64))(iter([batch])):
+        for k, _, context, text in zip(*(c.to_numpy().view(np.uint64).tolist() for c in b.columns)):
+            got[k].add((context, text))
+    seeded = [d[1] for d in docs if {"foulword", "slurry"} & set(d[1].split())]
+    want = defaultdict(set)
+    for t in seeded:
+        for w, around in words_by_hand(t).items():
+            if w not in ("foulword", "slurry"):
+                want[w].add((around, t))
+    assert {int(key[w]): len(x) for w, x in want.items()} == {k: len(x) for k, x in got.items() if k in {int(key[w]) for w in want}}
+    assert len(got[0]) == len(set(seeded)) and len(got[1]) == len({d[1] for d in docs})
+    names = sorted(["foulword", "slurry", "hateful", "plainaa", "plainab"], key=lambda w: int(key[w]))
+    nodes, clean = np.array([key[w] for w in names]), np.array([w.startswith("plain") for w in names])
+    met, plain_counts, named = defaultdict(set), Counter(), {}
+    for b in toxicity.meetings(nodes, clean)(iter([batch])):
+        for i, j, context, n, name in zip(*(c.to_pylist() for c in b.columns)):
+            met[names[i], names[j]].add(context)
+            plain_counts[names[i]] += n
+            if name:
+                named[names[i]] = name
+    assert named == {w: w for w in ("foulword", "slurry", "hateful")}
+    for i in range(5):
+        for j in range(i, 5):
+            a, b = names[i], names[j]
+            have = [words_by_hand(d[1]) for d in docs if a in d[1].split() and b in d[1].split()]
+            if a == b and clean[i]:
+                assert plain_counts[a] == len(have)
+            elif not (clean[i] and clean[j]):
+                assert len(met[a, b]) == len({(h[a], h[b]) for h in have}), (a, b)
+
+
+def test_a_word_without_labels_is_induced(spark):
+    docs, labels = toxic_corpus()
+    docs = [(d, t + " newinsult" if d % 15 == 0 else t, *r) for d, t, *r in docs]
+    assert not any(d % 15 == 0 for d, _, _ in labels)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    lexicon = toxicity.toxic_lexicon(fx.frame(spark, docs), marks)
+    terms = {r["term"]: r["weight"] for r in lexicon.collect()}
+    assert "newinsult" in terms and {"foulword", "scumbag"} <= set(terms) and not any(t.startswith("plain") for t in terms)
+    # one document copied a hundred times makes none of its words toxic
+    copied = docs + [(5000 + k, docs[5][1] + " harmlessa harmlessb", "en", "s", 1) for k in range(100)]
+    assert not any(t.startswith(("plain", "harm")) for t in (r["term"] for r in toxicity.toxic_lexicon(fx.frame(spark, copied), marks).collect()))
+
+
+def test_scores_by_hand(spark):
+    rows = [("bad*", 2.0), ("badly", 3.0), ("other", 1.0)]
+    texts = ["badly badness bad bad other", None, "", "nothing here", "badgers BADLY"]
+    ws = next(toxicity.words_of(pa.array(["badly badness bad other badgers"])))
+    key = {ws.name(k, 0 if c == 0 else c): int(ws.keys.view("int64")[k, c]) for k in range(len(ws.row)) for c in range(4) if ws.keys[k, c]}
+    lexicon = spark.createDataFrame([(t, key.get(t, key.get("badl*") if t == "bad*" else None), w, 3.0) for t, w in rows], toxicity.LEXICON)
+    out = toxicity.score_toxicity(fx.frame(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)]), lexicon).orderBy("doc_id").collect()
+    # badl* stands in for bad*: beginnings have four letters or more
+    assert [(r["toxicity"], r["is_toxic"]) for r in out] == [(4.0, True), (0.0, False), (0.0, False), (0.0, False), (3.0, True)]
+
+
 def test_toxicity_without_labels_keeps_all(spark):
     docs = fx.frame(spark, fx.awkward())
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
@@ -339,13 +463,14 @@ def test_toxicity_without_labels_keeps_all(spark):
 
 
 def labels_of(spark):
-    return spark.createDataFrame(toxic_corpus()[1], "doc_id long, quality int, toxic int")
+    return fx.with_clashes(spark.createDataFrame(toxic_corpus()[1], "doc_id long, quality int, toxic int"))
 
 
 OPERATORS = {
     "sharding": lambda s, d: sharding.shard_documents(d),
     "line_quality": lambda s, d: line_quality.line_frequency_rule(d),
     "jaccard": lambda s, d: jaccard.jaccard_join(d),
+    "lexicon": lambda s, d: toxicity.toxic_lexicon(d, labels_of(s)),
     "pairs": lambda s, d: jaccard.jaccard_pairs(d)[0],
     "keep_one": lambda s, d: jaccard.keep_one(d),
     "encode": lambda s, d: bpe.encode_documents(d),
