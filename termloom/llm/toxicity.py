@@ -86,7 +86,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -
 
 
 def binomial_tail(hits: np.ndarray, n: np.ndarray, p: float) -> np.ndarray:
-    """Chernoff's bound of the probability of so many hits or more among n: never too small."""
+    """Chernoff's bound of the probability of so many hits or more among n: never too small. Of so few: binomial_tail(n - hits, n, 1 - p)."""
     q = hits / np.maximum(1, n)
     with np.errstate(divide="ignore", invalid="ignore"):
         far = np.where(q > p, q * np.log(q / p), 0) + np.where((q > p) & (q < 1), (1 - q) * np.log((1 - q) / (1 - p)), 0)
@@ -129,15 +129,16 @@ def first_copies(texts: pa.Array | pa.ChunkedArray, coords: int = 32) -> np.ndar
     return first
 
 
-#: What the labelled sample says of a feature: a seed, toxic or clean, or nothing but that it doesn't lean to toxic documents.
+#: What the labelled sample says of a feature: a seed, toxic or clean, or nothing but that it can't be a candidate.
 TOXIC, CLEAN, PLAIN = 1, 2, 3
 
 
-def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, clean_share: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, prior: float, clean_share: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
     """(keys, kinds) of the features in min_df texts or more, copies aside.
 
     Toxic seeds are the discoveries, by the binomial tail, whose share of toxic documents is above 0.9, with other words around them in most
     documents, and for a beginning with documents that aren't mostly those of one word; clean seeds are words in clean_share of the texts that don't lean to toxic ones.
+    Plain features are those of which the labels show that less than half of their documents are toxic, where prior is the share of all labelled ones.
     """
     first = first_copies(texts)
     keys, rows, words, whole, around = [], [], [], [], []
@@ -169,7 +170,9 @@ def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, cle
         return np.empty(0, U), np.empty(0, np.int64)
     z = log_odds(df_toxic, df - df_toxic, n_toxic, n_clean)
     a, b = (df_toxic + 0.5) / n_toxic, (df - df_toxic + 0.5) / n_clean
-    kind = np.where(z < 1, PLAIN, 0)
+    odds = (1 - prior) / prior * n_toxic / n_clean
+    half = odds / (1 + odds)  # the share of toxic documents that a term of half toxic ones has in the sample
+    kind = np.where(binomial_tail(df - df_toxic, df, 1 - half) < 0.05, PLAIN, 0)
     kind[is_word & (z < 1) & (df >= clean_share * (n_toxic + n_clean))] = CLEAN
     p = binomial_tail(df_toxic, df, n_toxic / (n_toxic + n_clean))
     kind[discoveries(p, rate, len(p)) & (a / (a + b) > 0.9) & (contexts >= 0.5 * df) & (is_word | (most <= 0.5 * df_toxic))] = TOXIC
@@ -292,15 +295,16 @@ def cut_for(scores: np.ndarray, toxic: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k])
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int) -> DataFrame:
-    """(doc_id, text, t, held) of about sample_toxic and sample_clean labelled documents, taken by hash of doc_id; a quarter is held out."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, sample_toxic: int, sample_clean: int) -> tuple[DataFrame, float]:
+    """The share of toxic labels, and (doc_id, text, t, held) of about sample_toxic and sample_clean labelled documents, taken by hash of doc_id; a quarter is held out."""
     marks = labels.filter("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg((F.max("toxic") > 0).alias("t"))
     n = {r["t"]: r["count"] for r in marks.groupBy("t").count().collect()}
     odds = F.when(F.col("t"), min(1.0, sample_toxic / max(1, n.get(True, 0)))).otherwise(min(1.0, sample_clean / max(1, n.get(False, 0))))
     place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(1 << 30))
     marks = marks.filter(place(9) < odds * (1 << 30)).withColumn("held", place(10) < (1 << 28))
     known = docs.filter("text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialize(known.join(F.broadcast(marks), "doc_id"), "sample")  # bounded by the sample sizes
+    sample = materialize(known.join(F.broadcast(marks), "doc_id"), "sample")  # bounded by the sample sizes
+    return sample, min(0.5, max(1, n.get(True, 0)) / max(1, sum(n.values())))
 
 
 def signed(keys: np.ndarray) -> list[int]:
@@ -329,11 +333,11 @@ def toxic_lexicon(
     """
     spark = docs.sparkSession
     none = spark.createDataFrame([], LEXICON)
-    sample = labelled_sample(docs, labels, sample_toxic, sample_clean)
+    sample, prior = labelled_sample(docs, labels, sample_toxic, sample_clean)
 
     def fit(table: pa.Table) -> pa.Table:
         table = table.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        keys, kinds = find_seeds(table.column("text"), table.column("t").to_numpy().astype(bool), min_df, rate)
+        keys, kinds = find_seeds(table.column("text"), table.column("t").to_numpy().astype(bool), min_df, rate, prior)
         return pa.table({"key": keys.view(np.int64), "kind": kinds.astype(np.int64)})
 
     rows = sample.filter("not held").groupBy(F.lit("all")).applyInArrow(fit, "key long, kind long").toArrow()
