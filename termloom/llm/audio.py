@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,6 +23,7 @@ FILTERS = (
 )
 
 
+@cache
 def pitch_classes(rate: int, frame: int) -> np.ndarray:
     """A matrix that adds the energies of a spectrum's bins, 28 to 3520 Hz, into 12 pitch classes."""
     f = np.fft.rfftfreq(frame, 1 / rate)
@@ -36,7 +37,8 @@ def chroma(pcm: np.ndarray, rate: int = RATE, frame: int = FRAME, hop: int = HOP
     """Frames by pitch classes, smoothed over time, each of unit length; silent frames are 0."""
     if len(pcm) < frame:
         return np.zeros((0, 12))
-    frames, window, classes = np.lib.stride_tricks.sliding_window_view(pcm, frame)[::hop], np.hamming(frame), pitch_classes(rate, frame)
+    frames, window = np.lib.stride_tricks.sliding_window_view(pcm, frame)[::hop], np.hamming(frame).astype(pcm.dtype)
+    classes = pitch_classes(rate, frame)
     # some hundred frames at once: a recording may last hours
     energy = np.concatenate([np.abs(np.fft.rfft(frames[k : k + 256] * window, axis=1)) ** 2 @ classes for k in range(0, len(frames), 256)])
     if len(energy) < len(SMOOTH):
@@ -86,20 +88,29 @@ def fingerprint(image: np.ndarray) -> np.ndarray:
     return out
 
 
+def pcm_fingerprint(pcm: bytes | memoryview | None, rate: int = RATE) -> np.ndarray | None:
+    """The fingerprint of 16-bit little-endian mono samples; a last odd byte is ignored."""
+    if pcm is None:
+        return None
+    samples = np.frombuffer(pcm, dtype="<i2", count=len(pcm) // 2)
+    return fingerprint(chroma(samples / np.float32(32768), rate)).astype(np.int64)
+
+
+def _prints(ids: pa.Array, fps: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(fps, type=pa.list_(pa.int64()))], names=["id", "fp"])
+
+
 def fingerprint_media(media: DataFrame, id_col: str, pcm_col: str, rate: int = RATE) -> DataFrame:
     """(id, fp): chroma fingerprints of a binary column of 16-bit little-endian mono PCM at rate.
 
     fp is array<bigint>, one value for each of FRAME samples' hop. Null media: null. Recordings too short for one window, and empty ones,
-    have an empty fp; a last odd byte is ignored. Repeated rows are fingerprinted each. Other columns are ignored.
+    have an empty fp; a last odd byte is ignored. Repeated rows are fingerprinted each, null ids too. An empty table gives no rows.
+    Other columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = []
-            for raw in batch.column(1):
-                raw = raw.as_py()
-                fps.append(None if raw is None else fingerprint(chroma(np.frombuffer(raw[: len(raw) // 2 * 2], dtype="<i2").astype(float) / 32768, rate)).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps, type=pa.list_(pa.int64()))], names=["id", "fp"])
+            yield _prints(batch.column(0), [pcm_fingerprint(x.as_buffer() and memoryview(x.as_buffer()), rate) for x in batch.column(1)])
 
     return media.select(F.col(id_col).cast("bigint").alias("id"), F.col(pcm_col).alias("pcm")).mapInArrow(run, "id long, fp array<long>")
 
@@ -109,67 +120,100 @@ def bit_errors(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.bitwise_count((a ^ b).astype(np.uint32)).sum() / (32 * max(1, len(a))))
 
 
-def align_media(prints: DataFrame, key_bits: int = 28, min_votes: int = 3, max_error: float = 0.2, min_overlap: int = 10) -> DataFrame:
-    """Pairs of recordings that are the same at some offset: id_a < id_b, offset, overlap, votes, error.
+def bit_groups(groups: int, bits: int) -> list[int]:
+    """Masks of bits of a value; each filter's two bits stay together, and groups overlap as little as they can."""
+    rng, used, out = np.random.default_rng(7), np.zeros(16), []
+    for _ in range(groups):
+        chosen = np.lexsort((rng.random(16), used))[: bits // 2]
+        used[chosen] += 1
+        out.append(int(sum(3 << (2 * int(k)) for k in chosen)))
+    return out
+
+
+def align_media(queries: DataFrame, prints: DataFrame, groups: int = 8, bits: int = 14, min_votes: int = 2, max_error: float = 0.2, min_overlap: int = 10) -> DataFrame:
+    """Recordings of prints(id, fp) that are the same as one of queries(id, fp) at some offset: query_id, id, offset, overlap, votes, error.
+
+    A query's value and a recording's that agree in one of several groups of bits vote for the recording's offset against
+    the query; groups are short, so that values with errors still meet in one. Each offset with min_votes votes is checked by the share of
+    differing bits over the overlap. Of a recording the offset with the least error counts, then the one nearest 0, then the
+    lower; it is reported if that is at most max_error with min_overlap values in common. A recording isn't compared with itself.
+
+    No value is left out for being frequent; votes of a value are summed within a task before they are sent. Silence (the value of an all-zero image)
+    carries no tune and casts no vote. Null ids and null or empty fingerprints match nothing. Rows that repeat an id are one
+    recording with the first fingerprint in sort order. Empty tables give no rows. Other columns are ignored.
+    """
+    silent, masks = int(fingerprint(np.zeros((WIDTH, 12)))[0]), bit_groups(groups, bits)
+
+    def known(df: DataFrame, name: str) -> DataFrame:
+        return materialize(df.filter("id is not null and size(fp) > 0").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("fp").alias("fp")), name)
+
+    def keys(df: DataFrame, who: str, pos: str) -> DataFrame:
+        values = df.select(F.col("id").alias(who), F.posexplode("fp").alias(pos, "value")).filter(F.col("value") != silent)
+        grouped = F.array(*[F.struct(F.lit(k).alias("g"), F.col("value").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
+        return values.select(who, pos, F.explode(grouped).alias("k")).select(who, pos, "k.g", "k.key")
+
+    asked, held = known(queries, "queries"), known(prints, "prints")
+    met = keys(asked, "query_id", "pq").join(keys(held, "id", "pr"), ["g", "key"]).filter("query_id <> id")
+    votes = met.groupBy("query_id", "id", (F.col("pr") - F.col("pq")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_votes)
+    fq, fr = asked.select(F.col("id").alias("query_id"), F.col("fp").alias("fq")), held.select("id", F.col("fp").alias("fr"))
+    start_q, start_r = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
+    pairs = votes.join(fq, "query_id").join(fr, "id").withColumn("overlap", F.least(F.size("fq") - start_q, F.size("fr") - start_r)).filter(F.col("overlap") >= min_overlap)
+    differ = F.zip_with(F.slice("fq", start_q + 1, F.col("overlap")), F.slice("fr", start_r + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    error = F.aggregate(differ, F.lit(0).cast("bigint"), lambda s, x: s + x) / (32 * F.col("overlap"))
+    right = pairs.select("query_id", "id", "offset", F.col("overlap").cast("bigint").alias("overlap"), "votes", error.alias("error")).filter(F.col("error") <= max_error)
+    best = right.groupBy("query_id", "id").agg(F.min(F.struct("error", F.abs("offset").alias("far"), "offset", "overlap", "votes")).alias("m"))
+    return best.select("query_id", "id", *[f"m.{c}" for c in ("offset", "overlap", "votes", "error")])
 
-    Recordings that share a value (its key_bits high bits) vote for the offset of b against a; the offset with the
-    most votes, the one nearest 0 among equals and the lower of two as near, is checked by the share of differing bits over the overlap.
-    A pair is reported if that is at most max_error, with min_votes votes and min_overlap values in common.
 
-    All pairs that share values are compared: no value is left out for being frequent. Silence (value of an all-zero image) carries
-    no tune and casts no vote. Null ids and null or empty fingerprints are in no pair. Rows that repeat an id are one
-    recording with the first fingerprint in sort order. An empty table gives no rows.
+NOTES = 220.0 * 2 ** (np.arange(16) / 12)
+
+
+def recording(vector: np.ndarray | None, seconds: float = 6.0, rate: int = RATE) -> bytes | None:
+    """A vector as sound: 8 components at a time are the loudness of 8 notes for a quarter second, of 8 others where they are negative.
+
+    The components are repeated until the recording has its seconds; a vector with more of them lasts longer. NaN counts as 0.
     """
-    known = materialize(prints.filter("id is not null and size(fp) > 0").groupBy("id").agg(F.min("fp").alias("fp")), "prints")
-    silent = int(fingerprint(np.zeros((WIDTH, 12)))[0])
-    keys = known.select("id", F.posexplode("fp").alias("pos", "value")).filter(F.col("value") != silent)
-    keys = keys.select("id", "pos", F.shiftright("value", 32 - key_bits).alias("key"))
-    # runs of one key in a recording vote once for each offset
-    a, b = keys.select(F.col("id").alias("id_a"), F.col("pos").alias("pa"), "key"), keys.select(F.col("id").alias("id_b"), F.col("pos").alias("pb"), "key")
-    votes = a.join(b, "key").filter("id_a < id_b").groupBy("id_a", "id_b", (F.col("pb") - F.col("pa")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("id_a", "id_b").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("m"))
-    best = best.select("id_a", "id_b", (-F.col("m.low")).cast("int").alias("offset"), F.col("m.votes").alias("votes")).filter(F.col("votes") >= min_votes)
-    fa, fb = known.select(F.col("id").alias("id_a"), F.col("fp").alias("fa")), known.select(F.col("id").alias("id_b"), F.col("fp").alias("fb"))
-    start_a, start_b = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    pairs = best.join(fa, "id_a").join(fb, "id_b").withColumn("overlap", F.least(F.size("fa") - start_a, F.size("fb") - start_b)).filter(F.col("overlap") >= min_overlap)
-    bits = F.zip_with(F.slice("fa", start_a + 1, F.col("overlap")), F.slice("fb", start_b + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    error = F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s + x) / (32 * F.col("overlap"))
-    return pairs.withColumn("error", error).filter(F.col("error") <= max_error).select("id_a", "id_b", "offset", F.col("overlap").cast("bigint").alias("overlap"), "votes", "error")
+    if vector is None:
+        return None
+    v = np.nan_to_num(np.asarray(vector, dtype=float), posinf=0, neginf=0)
+    v = np.pad(v, (0, -len(v) % 8)).reshape(-1, 8) if len(v) else np.zeros((1, 8))
+    loud = np.concatenate([np.maximum(v, 0), np.maximum(-v, 0)], axis=1)
+    loud /= max(1e-9, loud.max())
+    tones = np.sin(2 * np.pi * NOTES[:, None] * np.arange(rate // 4) / rate)
+    slices = np.arange(max(len(v), int(seconds * 4))) % len(v)
+    return ((loud @ tones)[slices].ravel() * 2000).astype("<i2").tobytes()
 
 
 def sonify(embeddings: DataFrame, seconds: float = 6.0, rate: int = RATE) -> DataFrame:
-    """(vec_id, pcm): each vector as a recording, since the tables hold no sound.
+    """(vec_id, pcm): each vector as a recording (see recording), since the tables hold no sound.
 
-    Consecutive groups of 8 components, cycled, set the loudness of eight notes of a slice of a quarter second; equal vectors sound alike.
+    A null vector has null pcm, an empty one silence; repeated rows and null ids are rows like others; an empty table gives no rows.
+    A vector makes a thousand times its bytes of sound, which goes on in small batches.
     """
-    step, t = rate // 4, np.arange(rate // 4) / rate
-    notes = 220.0 * 2 ** (np.array([0, 2, 3, 5, 7, 8, 10, 11]) / 12)
-    slices = max(1, int(seconds * 4))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tones = np.sin(2 * np.pi * notes[:, None] * t)
-        # a batch of vectors makes a thousand times its bytes of sound: it goes on in small ones
-        for pdf in (whole.iloc[k : k + 64] for whole in batches for k in range(0, len(whole), 64)):
-            out = []
-            for v in pdf["embedding"]:
-                if v is None:
-                    out.append(None)
-                    continue
-                v = np.nan_to_num(np.resize(np.asarray(v, dtype=float), 64)) if len(v) else np.zeros(64)
-                loud = np.abs(v.reshape(8, 8))
-                loud = loud / max(1e-9, loud.max())
-                wave = np.concatenate([loud[(s * 3 + s // 8) % 8] @ tones for s in range(slices)])
-                out.append((wave * 4000).astype("<i2").tobytes())
-            yield pd.DataFrame({"vec_id": pdf["vec_id"], "pcm": out})
-
-    return embeddings.select("vec_id", "embedding").mapInPandas(run, "vec_id long, pcm binary")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, len(batch), 16):
+                part = batch.slice(k, 16)
+                pcm = [recording(x.values and x.values.to_numpy(zero_copy_only=False), seconds, rate) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(pcm, type=pa.binary())], names=["vec_id", "pcm"])
+
+    return embeddings.select("vec_id", "embedding").mapInArrow(run, "vec_id long, pcm binary")
+
+
+def fingerprint_vectors(embeddings: DataFrame, seconds: float = 6.0, rate: int = RATE) -> DataFrame:
+    """(id, fp): fingerprint_media of sonify, one recording at a time within the task that makes it; no sound passes through the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _prints(batch.column(0), [pcm_fingerprint(recording(x.values and x.values.to_numpy(zero_copy_only=False), seconds, rate), rate) for x in batch.column(1)])
+
+    return embeddings.select("vec_id", "embedding").mapInArrow(run, "id long, fp array<long>")
 
 
 def op7_chroma_prints(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all recordings, each with its matches (id, offset, error) in order."""
-    media = sonify(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-    prints = materialize(fingerprint_media(media, "vec_id", "pcm"), "fingerprints")
-    pairs = align_media(prints)
-    both = pairs.select(F.col("id_a").alias("of"), F.col("id_b").alias("id"), "offset", "error").union(pairs.select("id_b", "id_a", -F.col("offset"), "error"))
-    matches = both.groupBy("of").agg(F.sort_array(F.collect_list(F.struct("id", "offset", "error"))).alias("matches"))
-    return prints.join(matches, prints["id"].eqNullSafe(matches["of"]), "left").select(F.col("id").alias("vec_id"), "fp", "matches")
+    """(vec_id, fp, match_id, offset, error): the fingerprint of each recording, and in rows of their own the matches of those whose id is divisible by 100."""
+    prints = materialize(fingerprint_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "fingerprints")
+    found = align_media(prints.filter("id % 100 = 0"), prints)
+    matches = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_id"), "offset", "error")
+    return prints.withColumnRenamed("id", "vec_id").unionByName(matches, allowMissingColumns=True)
