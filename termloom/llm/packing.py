@@ -71,12 +71,12 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_docs: int = 50_0
 
     Length is the number of words (runs of characters that aren't white space). A longer document is cut into
     pieces of capacity words, each a full bin, and a rest that is packed like a document. Documents go to
-    shards by hash, one for every shard_docs rows; each shard is packed by itself, so that a packing costs at
-    most one slack bin a shard, and the work spreads over the cluster at any size.
+    shards by hash, one for every shard_docs rows (a table of fewer is one shard); each shard is packed by itself, so that the work spreads over the cluster.
+    In a shard at most one bin is half full or less: what would fit into another bin is never put in a new one.
 
     Returns doc_id, piece, start (first word, from 0), length, bin_id. Null, empty and blank texts have no words and aren't
     packed. Equal lengths go by doc_id, then piece. Repeated rows are packed each. An empty table gives no rows.
-    Null doc_id: packed last among equals, doc_id stays null. Other columns are ignored.
+    Null doc_id: packed last among equals, doc_id stays null; the hash takes in the length, so null ids spread over shards. Other columns are ignored.
     """
     shards = max(1, -(-docs.count() // shard_docs))
     sized = docs.select("doc_id", F.regexp_count(F.col("text"), F.lit(r"\S+")).cast("bigint").alias("n")).filter(F.col("n") > 0)
@@ -85,7 +85,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, shard_docs: int = 50_0
     pieces = pieces.select(
         "doc_id", "piece", (F.col("piece") * capacity).alias("start"),
         F.when(F.col("piece") < full, F.lit(capacity)).otherwise(F.col("n") % capacity).cast("bigint").alias("length"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"),
+        F.pmod(F.xxhash64("doc_id", "n"), F.lit(shards)).alias("shard"),
     )
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:

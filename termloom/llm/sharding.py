@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators import ranks
+from termloom.session import materialize
+
 DIMS = ("bytes", "tokens", "rows")
 
 
@@ -26,18 +29,34 @@ def place(groups: np.ndarray, n_shards: int) -> np.ndarray:
     return out
 
 
+def dealt(pieces: DataFrame, unit: list[float], cells: int) -> DataFrame:
+    """pieces with a cell: all of one shape (which dimension is largest, and by how much) in a row, from large to small, dealt back and forth.
+
+    Sizes of about the same logarithm are in the order of a hash, so that a table of equal pieces is numbered by many tasks.
+    """
+    share = [F.col(d) / F.lit(u) for d, u in zip(DIMS, unit)]
+    top, low = F.greatest(*share), F.least(*share)
+    log = lambda x, k: F.floor(k * F.log2(F.greatest(x, F.lit(1e-12)))).cast("int")
+    shape = F.concat(*[F.when(x == top, str(k)).otherwise("") for k, x in enumerate(share)])
+    bucket = [shape, F.greatest(log(low, 1) - log(top, 1), F.lit(-6)), -log(top, 8), F.pmod(F.xxhash64("g", "part", F.lit(3)), F.lit(256))]
+    placed = ranks.numbered(pieces, bucket, [top.desc(), "g", "part"], "__at")
+    at = F.pmod(F.col("__at") - 1, F.lit(2 * cells))
+    return placed.withColumn("cell", F.when(at < cells, at).otherwise(2 * cells - 1 - at)).drop("__at")
+
+
 def shard_documents(
     docs: DataFrame, shard_bytes: int = 16 << 20, parts_per_shard: int = 16, cell_shards: int = 64, slack: float = 0.02, group_col: str = "source"
 ) -> DataFrame:
     """Assign documents to shards of about shard_bytes, balancing bytes, tokens and rows jointly.
 
     Documents of one value of group_col stay together as far as that is balanced: a group larger than
-    1/parts_per_shard of a shard, in any dimension, is split by hash of doc_id into equal parts. Groups are
-    placed in cells of cell_shards shards, chosen by hash, each packed in a task of its own; so
-    nothing is collected, whatever the number of shards. Capacity is the cell's mean load plus slack.
+    1/parts_per_shard of a shard, in any dimension, is split by hash of doc_id into equal parts. The pieces are dealt to cells of
+    cell_shards shards in turn, back and forth, pieces of one shape together and the largest first; so the loads of
+    cells differ by few pieces in each dimension. Each cell is packed in a task of its own, and nothing is collected, whatever the number of shards.
+    Capacity is the cell's mean load plus slack.
 
     Returns doc_id, shard_id, bytes, tokens (runs that aren't white space). Null texts have 0 bytes and
-    tokens, and are sharded; a null group is a group; a null doc_id is hashed as null. Repeated rows
+    tokens, and are sharded; a null group is a group; a null doc_id is hashed as null. A document larger than a shard overfills one. Repeated rows
     go together. Equal groups are placed in the order of their keys. An empty table gives no rows. Other columns are ignored.
     """
     sized = docs.select(
@@ -45,6 +64,7 @@ def shard_documents(
         F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes"),
         F.coalesce(F.regexp_count(F.col("text"), F.lit(r"\S+")), F.lit(0)).cast("bigint").alias("tokens"),
     )
+    sized = materialize(sized, "sizes")  # texts are read once
     sums = [F.sum("bytes").alias("bytes"), F.sum("tokens").alias("tokens"), F.count("*").alias("rows")]
     by_group = sized.groupBy("g").agg(*sums)
     total = by_group.agg(*[F.sum(d).alias(d) for d in DIMS]).first()
@@ -55,7 +75,7 @@ def shard_documents(
         "doc_id", "g", "bytes", "tokens", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.col("parts")).alias("part")
     )
     cells = max(1, -(-n_shards // cell_shards))
-    pieces = cut.groupBy("g", "part").agg(*sums).withColumn("cell", F.pmod(F.xxhash64("g", "part", F.lit(11)), F.lit(cells)))
+    pieces = dealt(cut.groupBy("g", "part").agg(*sums), [max(1, total[d] or 0) / n_shards for d in DIMS], cells)
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         cell = int(pdf["cell"].iloc[0])
