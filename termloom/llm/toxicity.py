@@ -141,33 +141,31 @@ def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, pri
     Plain features are those of which the labels show that less than half of their documents are toxic, where prior is the share of all labelled ones.
     """
     first = first_copies(texts)
-    keys, rows, words, whole, around = [], [], [], [], []
-    at = 0
-    for ws in words_of(texts):
-        w, c = ws.once(np.ones(ws.keys.shape, dtype=bool))
-        r = at + ws.row[w]
-        ok = first[r]
-        keys.append(ws.keys[w, c][ok])
-        words.append(ws.keys[w, 0][ok])
-        rows.append(r[ok])
-        whole.append((c == 0)[ok])
-        around.append(ws.context[w][ok])
-        at += len(ws.block.bounds) - 1
-    keys, rows, words, whole, around = (np.concatenate(x) if x else np.empty(0, U) for x in (keys, rows, words, whole, around))
     n_toxic, n_clean = int((toxic & first).sum()), int((~toxic & first).sum())
-    terms, inverse = np.unique(keys, return_inverse=True)
-    bad = toxic[rows.astype(np.int64)]
-    df, df_toxic = np.bincount(inverse, minlength=len(terms)), np.bincount(inverse, bad, len(terms))
-    pairs, n = np.unique(np.stack([inverse[bad].astype(U), words[bad]]), axis=1, return_counts=True)
-    most = np.zeros(len(terms))
-    np.maximum.at(most, pairs[0].astype(np.int64), n)
-    contexts = np.bincount(np.unique(np.stack([inverse.astype(U), around]), axis=1)[0].astype(np.int64), minlength=len(terms))
+    if not n_toxic or not n_clean:
+        return np.empty(0, U), np.empty(0, np.int64)
+
+    def entries():
+        """Each block's words, and the (word, column, text) of features in texts that are no copies."""
+        at = 0
+        for ws in words_of(texts):
+            w, c = ws.once(first[at + ws.row][:, None] & np.ones(ws.keys.shape, dtype=bool))
+            yield ws, w, c, at + ws.row[w]
+            at += len(ws.block.bounds) - 1
+
+    keys, bad, whole = [np.empty(0, U)], [np.empty(0, bool)], [np.empty(0, bool)]
+    for ws, w, c, row in entries():
+        keys.append(ws.keys[w, c])
+        bad.append(toxic[row])
+        whole.append(c == 0)
+    terms, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+    inverse = inverse.astype(np.int32)
+    df, df_toxic = np.bincount(inverse, minlength=len(terms)), np.bincount(inverse, np.concatenate(bad), len(terms))
     is_word = np.zeros(len(terms), dtype=bool)
-    is_word[inverse] = whole.astype(bool)
+    is_word[inverse] = np.concatenate(whole)
+    del keys, inverse, bad, whole
     ok = df >= min_df
-    terms, df, df_toxic, is_word, most, contexts = (x[ok] for x in (terms, df, df_toxic, is_word, most, contexts))
-    if not len(terms) or not n_toxic or not n_clean:
-        return np.empty(0, U), np.empty(0, np.int64)
+    terms, df, df_toxic, is_word = terms[ok], df[ok], df_toxic[ok], is_word[ok]
     z = log_odds(df_toxic, df - df_toxic, n_toxic, n_clean)
     a, b = (df_toxic + 0.5) / n_toxic, (df - df_toxic + 0.5) / n_clean
     odds = (1 - prior) / prior * n_toxic / n_clean
@@ -175,7 +173,19 @@ def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, pri
     kind = np.where(binomial_tail(df - df_toxic, df, 1 - half) < 0.05, PLAIN, 0)
     kind[is_word & (z < 1) & (df >= clean_share * (n_toxic + n_clean))] = CLEAN
     p = binomial_tail(df_toxic, df, n_toxic / (n_toxic + n_clean))
-    kind[discoveries(p, rate, len(p)) & (a / (a + b) > 0.9) & (contexts >= 0.5 * df) & (is_word | (most <= 0.5 * df_toxic))] = TOXIC
+    found = np.flatnonzero(discoveries(p, rate, len(p)) & (a / (a + b) > 0.9))
+    contexts, words = [np.empty((2, 0), U)], [np.empty((2, 0), U)]
+    for ws, w, c, row in entries():
+        at = position(ws.keys[w, c], terms[found])
+        hit = np.flatnonzero(at >= 0)
+        contexts.append(np.stack([at[hit].astype(U), ws.context[w[hit]]]))
+        hit = hit[toxic[row[hit]]]
+        words.append(np.stack([at[hit].astype(U), ws.keys[w[hit], 0]]))
+    around = np.bincount(np.unique(np.concatenate(contexts, axis=1), axis=1)[0].astype(np.int64), minlength=len(found))
+    pairs, n = np.unique(np.concatenate(words, axis=1), axis=1, return_counts=True)
+    most = np.zeros(len(found))
+    np.maximum.at(most, pairs[0].astype(np.int64), n)
+    kind[found[(around >= 0.5 * df[found]) & (is_word[found] | (most <= 0.5 * df_toxic[found]))]] = TOXIC
     return terms[kind > 0], kind[kind > 0]
 
 
