@@ -92,17 +92,97 @@ def test_shifted_and_noisy_recordings_align(spark):
     got = {r["id"]: r["fp"] for r in prints.collect()}
     assert got[5] is None and got[6] == [] and got[7] == []
     assert got[1] == audio.fingerprint(audio.chroma(np.frombuffer(pcm(a), "<i2") / 32768)).tolist()
-    pairs = {(r["id_a"], r["id_b"]): r["offset"] for r in audio.align_media(prints).collect()}
-    assert pairs == {(1, 2): -20, (1, 3): 0, (2, 3): 20}
-    assert audio.align_media(audio.fingerprint_media(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm")).collect() == []
+    pairs = {(r["query_id"], r["id"]): r["offset"] for r in audio.align_media(prints, prints).collect()}
+    assert pairs == {(1, 2): -20, (2, 1): 20, (1, 3): 0, (3, 1): 0, (2, 3): 20, (3, 2): -20}
+    none = audio.fingerprint_media(spark.createDataFrame([], "id long, pcm binary"), "id", "pcm")
+    assert none.collect() == [] and audio.align_media(none, prints).collect() == [] and audio.align_media(prints, none).collect() == []
+    wide = df.selectExpr("*", *[f"1 as {c}" for c in ("fp", "query_id", "votes", "offset", "value", "key", "g")])
+    assert Counter(str(r) for r in audio.fingerprint_media(wide, "id", "pcm").collect()) == Counter(str(r) for r in prints.collect())
+
+
+def alignments_by_hand(queries, prints, max_error, min_overlap):
+    """{(query, id): least error over all offsets} of all pairs."""
+    out = {}
+    for q, a in queries.items():
+        for r, b in prints.items():
+            best = 1.0
+            for offset in range(-len(a), len(b)):
+                x, y = max(0, -offset), max(0, offset)
+                n = min(len(a) - x, len(b) - y)
+                if n >= min_overlap:
+                    best = min(best, audio.bit_errors(np.array(a[x : x + n]), np.array(b[y : y + n])))
+            if q != r and best <= max_error:
+                out[q, r] = best
+    return out
+
+
+def test_noisy_copies_against_all_pairs_and_offsets(spark):
+    """Copies with up to a fifth of their bits wrong are found as by brute force."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for k in range(12):
+        clean = tune(8, 100 + k)
+        rows.append((100 * k, clean))
+        for m in range(1, 7):
+            start = int(rng.integers(0, 8)) * audio.HOP
+            rows.append((100 * k + m, clean[start:] + rng.normal(0, 1500 * m, len(clean) - start)))
+    df = spark.createDataFrame([(i, pcm(np.clip(x, -32768, 32767))) for i, x in rows], "id long, pcm binary")
+    prints = audio.materialize(audio.fingerprint_media(df, "id", "pcm"), "prints")
+    fps = {r["id"]: r["fp"] for r in prints.collect()}
+    want = alignments_by_hand({i: f for i, f in fps.items() if i % 100 == 0}, fps, 0.2, 10)
+    got = {(r["query_id"], r["id"]): r["error"] for r in audio.align_media(prints.filter("id % 100 = 0"), prints).collect()}
+    hard = {p for p, e in want.items() if e > 0.1}
+    assert len(want) > 30 and len(hard) > 8
+    assert set(got) <= set(want) and len(got) >= 0.95 * len(want) and len(hard & set(got)) >= 0.9 * len(hard)
+    assert all(got[p] >= want[p] - 1e-12 for p in got) and sum(abs(got[p] - want[p]) < 1e-12 for p in got) >= 0.9 * len(got)
+
+
+def test_groups_of_bits():
+    masks = audio.bit_groups(8, 14)
+    assert len(set(masks)) == 8 and all(m.bit_count() == 14 for m in masks)
+    assert all(any(m >> k & 1 for m in masks) for k in range(32))
+
+
+def test_recordings_of_vectors(spark):
+    v = np.linspace(-1, 1, 64)
+    n = audio.RATE // 4
+    assert audio.recording(None) is None and len(audio.recording(v)) == 2 * 24 * n
+    assert set(audio.recording(np.zeros(0))) == {0} and audio.recording(v) != audio.recording(np.abs(v))
+    assert audio.recording(np.append(v, np.nan)[:65]) == audio.recording(np.append(v, 0.0))
+    long = np.random.default_rng(1).normal(size=800)
+    assert len(audio.recording(long)) == 2 * 100 * n and audio.recording(long) != audio.recording(np.append(long[:-1], 9.0))
+    t = np.arange(n) / audio.RATE
+    loud = v[8:16] / np.abs(v).max()
+    want = sum(max(x, 0) * np.sin(2 * np.pi * audio.NOTES[k] * t) + max(-x, 0) * np.sin(2 * np.pi * audio.NOTES[k + 8] * t) for k, x in enumerate(loud))
+    assert np.abs(np.frombuffer(audio.recording(v), "<i2")[n : 2 * n] - want * 2000).max() <= 1.001
+    rows = [(1, v.tolist()), (2, None), (3, []), (None, v.tolist()), (1, v.tolist()), (4, long.tolist())]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as pcm", "2 as fp", "3 as id")
+    one = audio.fingerprint_media(audio.sonify(df), "vec_id", "pcm").collect()
+    assert Counter(map(str, one)) == Counter(map(str, audio.fingerprint_vectors(df).collect())) and len(one) == 6
+    assert audio.fingerprint_vectors(df.limit(0)).collect() == [] and audio.sonify(df.limit(0)).collect() == []
+
+
+def test_query_equals_brute_force(spark):
+    folder = "/root/testdata/sf0.001"
+    rows = audio.op7_chroma_prints(spark, folder).collect()
+    vectors = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()}
+    fps = {r["vec_id"]: r["fp"] for r in rows if r["match_id"] is None}
+    assert set(fps) == set(vectors) and all(len(f) for f in fps.values())
+    for i in list(vectors)[:20]:
+        assert fps[i] == audio.pcm_fingerprint(audio.recording(np.array(vectors[i]))).tolist()
+    want = alignments_by_hand({i: f for i, f in fps.items() if i % 100 == 0}, fps, 0.2, 10)
+    got = {(r["vec_id"], r["match_id"]): r["error"] for r in rows if r["match_id"] is not None}
+    assert set(got) <= set(want) and len(got) >= 0.9 * len(want)
 
 
 def test_long_recording_in_blocks():
     a = tune(60, 3)
     frames = np.lib.stride_tricks.sliding_window_view(a, audio.FRAME)[:: audio.HOP]
     energy = np.abs(np.fft.rfft(frames * np.hamming(audio.FRAME), axis=1)) ** 2 @ audio.pitch_classes(audio.RATE, audio.FRAME)
+    smooth = np.stack([np.convolve(energy[:, c], audio.SMOOTH, "valid") for c in range(12)], axis=1)
+    want = smooth / np.maximum(np.linalg.norm(smooth, axis=1, keepdims=True), 1e-12)
     got = audio.chroma(a)
-    assert len(got) == len(energy) - len(audio.SMOOTH) + 1 and len(frames) > 256
+    assert len(frames) > 256 and got.shape == want.shape and np.allclose(got, want, atol=1e-4)
 
 
 @pytest.fixture(scope="module")

@@ -268,7 +268,20 @@ def test_pack_documents(spark):
     assert pieces == want and max(load.values()) <= 100
     order = sorted(got, key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"]))
     assert [r["bin_id"] for r in order] == list(hand_pack([r["length"] for r in order], 100))
-    assert len({r["bin_id"] >> 32 for r in packing.pack_documents(fx.frame(spark, rows), 100, 10).collect()}) > 1
+    # shards are packed each by itself, with one bin at most that is half full or less, and hold what one packing holds
+    many = packing.pack_documents(fx.frame(spark, rows), 100, 10).collect()
+    shards = defaultdict(list)
+    for r in sorted(many, key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"])):
+        shards[r["bin_id"] >> 32].append(r)
+    assert len(shards) > 3
+    for rows_of in shards.values():
+        assert [r["bin_id"] & 0xFFFFFFFF for r in rows_of] == list(hand_pack([r["length"] for r in rows_of], 100))
+        full = Counter()
+        for r in rows_of:
+            full[r["bin_id"]] += r["length"]
+        assert sum(n <= 50 for n in full.values()) <= 1
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"])
+    assert Counter(map(key, many)) == Counter(map(key, got))
 
 
 def test_place_takes_the_highest_product():
@@ -283,26 +296,112 @@ def test_place_takes_the_highest_product():
 
 
 def test_sharding_balances(spark):
-    rows = fx.awkward() + [(3000 + i, " ".join(fx.words(80, i)), "en", "hot", 1) for i in range(400)]
+    rows = [r for r in fx.awkward() if len(r[1] or "") < 10_000] + [(3000 + i, " ".join(fx.words(80 + i % 7, i)), "en", "hot", 1) for i in range(400)]
     total = sum(len((r[1] or "").encode()) for r in rows)
     got = sharding.shard_documents(fx.frame(spark, rows), shard_bytes=total // 5, cell_shards=8).collect()
     same([(r["doc_id"], r["bytes"], r["tokens"]) for r in got], [(r[0], len((r[1] or "").encode()), len((r[1] or "").split())) for r in rows])
-    bytes_, count = Counter(), Counter()
+    for load in loads_of(got):
+        assert len(load) == 5 and max(load.values()) < 1.15 * sum(load.values()) / 5
+
+
+def loads_of(got):
+    load = [Counter(), Counter(), Counter()]
     for r in got:
-        bytes_[r["shard_id"]] += r["bytes"]
-        count[r["shard_id"]] += 1
-    assert len(bytes_) == 5 and max(count.values()) < 1.5 * len(rows) / 5
-    # a document of 40 % of all bytes can't be cut
-    assert sorted(bytes_.values())[-3] < 0.5 * total
+        for c, x in zip(load, (r["bytes"], r["tokens"], 1)):
+            c[r["shard_id"]] += x
+    return load
 
 
-def test_bpe_equals_the_tokenizer_and_round_trips(spark):
+def test_cells_are_balanced_against_each_other(spark):
+    """Sixty-four shards in four cells: as level as one packing of them all, which is that by hand, in every dimension."""
+    import numpy as np
+
+    rng = random.Random(1)
+    rows = []
+    for i in range(12_000):
+        n = int(rng.paretovariate(1.5) * 10) % 400 + 1
+        word = "x" if i % 3 else "longerword" * 3
+        rows.append((i, " ".join([word] * n), "en", f"site{i % 900}" if i % 4 else "hot", 1))
+    total = sum(len(r[1]) for r in rows)
+    many = sharding.shard_documents(fx.frame(spark, rows), shard_bytes=total // 64, cell_shards=16).collect()
+    one = sharding.shard_documents(fx.frame(spark, rows), shard_bytes=total // 64, cell_shards=100).collect()
+    for a, b in zip(loads_of(many), loads_of(one)):
+        assert len(a) == len(b) == 64
+        # cells in use are four times as large, and so are the pieces that they differ by
+        assert max(a.values()) <= 1.04 * sum(a.values()) / 64 and max(b.values()) <= 1.021 * sum(b.values()) / 64
+    # one cell is the packing by hand of the same pieces
+    by_doc = {r["doc_id"]: r for r in one}
+    sizes = np.array([[by_doc[r[0]][d] for d in ("bytes", "tokens")] + [1] for r in rows], dtype=float)
+    unit = sizes.sum(axis=0) / 64
+    pieces = defaultdict(lambda: np.zeros(3))
+    whole = defaultdict(lambda: np.zeros(3))
+    for r, x in zip(rows, sizes):
+        whole[r[3]] += x
+    shard_of, n_parts = defaultdict(set), {g: max(1, int(np.ceil((x / unit).max() * 16 - 1e-9))) for g, x in whole.items()}
+    hashed = {r["doc_id"]: r["h"] for r in fx.frame(spark, rows).selectExpr("doc_id", "xxhash64(doc_id, 7) as h").collect()}
+    for r, x in zip(rows, sizes):
+        key = (r[3], hashed[r[0]] % n_parts[r[3]])
+        pieces[key] += x
+        shard_of[key].add(by_doc[r[0]]["shard_id"])
+    order = sorted(pieces)
+    capacity = sizes.sum(axis=0) / 64 * 1.02
+    want = dict(zip(order, sharding.place(np.array([pieces[k] / capacity for k in order]), 64).tolist()))
+    assert len(order) > 1000 and sum(len(shard_of[k]) == 1 for k in order) == len(order)
+    assert all(shard_of[k] == {want[k]} for k in order)
+
+
+def merge_by_hand(word, ranks):
+    """Byte-pair merges of one word: always the pair of the lowest rank, the first of equals."""
+    parts = [bytes([b]) for b in word]
+    while len(parts) > 1:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+        if rank == 1 << 60:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return [ranks[p] for p in parts]
+
+
+def test_bpe_equals_plain_merges_and_round_trips(spark):
+    import regex
+
+    rows = fx.awkward() + [(200, "it's  a test\t\n\n don't 12345 <|endoftext|> ", "en", "s", 1), (201, "x" * 300, "en", "s", 1), (202, "ungewöhnlichste Überraschungen\u00a0\u2028 \u0301", "de", "s", 1)]
+    ranks, pattern = bpe.read_pieces(bpe.VOCABULARY), regex.compile(bpe.PATTERN)
+    known = {}
+
+    def code(w):
+        if w not in known:
+            known[w] = merge_by_hand(w.encode(), ranks)
+        return known[w]
+
+    want = [(r[0], None if r[1] is None else [i for w in pattern.findall(r[1]) for i in code(w)], r[1]) for r in rows]
+    df = fx.frame(spark, rows)
+    small = dict(chunk_chars=4_000, part_chars=20_000)
+    same([(r["doc_id"], r["ids"], r["text"]) for r in bpe.decode_documents(bpe.encode_documents(df, **small)).collect()], want)
+    same([(r["doc_id"], r["ids"], r["text"]) for r in bpe.encode_documents(df, **small, decode=True).collect()], want)
+    same([(r["doc_id"], r["ids"]) for r in bpe.encode_documents(df, **small, max_parts=2).collect()], [w[:2] for w in want])
+
+
+def test_each_distinct_word_is_encoded_once(spark, monkeypatch):
+    """A part's words, of all chunks, against the number of calls of the encoder."""
     import tiktoken
 
-    rows = fx.awkward() + [(200, "it's  a test\t\n\n don't 12345 <|endoftext|> ", "en", "s", 1), (201, "x" * 3000, "en", "s", 1)]
-    plain = tiktoken.Encoding("t", pat_str=bpe.PATTERN, mergeable_ranks=bpe.read_pieces(bpe.VOCABULARY), special_tokens={})
-    got = bpe.decode_documents(bpe.encode_documents(fx.frame(spark, rows), chunk_chars=4_000, part_chars=20_000)).collect()
-    same([(r["doc_id"], r["ids"], r["text"]) for r in got], [(r[0], None if r[1] is None else plain.encode_ordinary(r[1]), r[1]) for r in rows])
+    calls, plain = Counter(), tiktoken.Encoding.encode_ordinary
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, w: calls.update([w]) or plain(self, w))
+    blobs = [[b"one", b"two"], [b"one", b"three"], [b"two"]]
+    batch = pa.RecordBatch.from_arrays([pa.array([-1] * 3), pa.array([0, 1, 2]), pa.array([0] * 3, pa.int32()), pa.array([bpe.word_blob(b) for b in blobs])], names=["key", "chunk", "part", "data"])
+    out = list(bpe.encode_part(bpe.PATTERN, bpe.VOCABULARY)(iter([batch])))
+    assert len(out) == 3 and calls == {"one": 1, "two": 1, "three": 1}
+
+
+def test_decoding_of_awkward_ids(spark):
+    ranks = bpe.read_pieces(bpe.VOCABULARY)
+    half = ranks["é".encode()[:1]]
+    ids = spark.createDataFrame([(1, [ranks[b"a"], half]), (2, []), (3, None), (None, [ranks[b"a"]]), (2, [])], "doc_id long, ids array<int>").selectExpr("*", "'x' as text", "1 as a")
+    same([tuple(r) for r in bpe.decode_documents(ids).select("doc_id", "text").collect()], [(1, "a\ufffd"), (2, ""), (3, None), (None, "a"), (2, "")])
+    assert bpe.decode_documents(ids.limit(0)).collect() == []
+    for bad in (10**6, -1):
+        with pytest.raises(Exception, match="isn't in the vocabulary"):
+            bpe.decode_documents(spark.createDataFrame([(1, [bad])], "doc_id long, ids array<int>")).collect()
 
 
 def toxic_corpus(n=900):
