@@ -1,23 +1,69 @@
-"""Decoders of posting lists."""
+"""Codecs of posting lists: variable bytes and Elias gamma, over the flat values of many lists at once."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+
+BLOCKS = "term string, blk long, n long, carry long, vbyte binary, gamma binary"
+
+
+def bit_lengths(values: np.ndarray) -> np.ndarray:
+    """Binary digits of positive integers below 2^63."""
+    n, rest = np.ones(len(values), dtype=np.int64), values.astype(np.uint64)
+    for step in (32, 16, 8, 4, 2, 1):
+        big = rest >= np.uint64(1) << np.uint64(step)
+        n[big] += step
+        rest = np.where(big, rest >> np.uint64(step), rest)
+    return n
+
+
+def binary_lists(data: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """Binary values that end at ends, one after another in data."""
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def encode_vbyte(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Seven bits a byte, least first, the high bit on the last byte; bounds[i] to bounds[i + 1] are the values of list i."""
+    size = -(-bit_lengths(np.maximum(values, 1)) // 7)
+    end = np.cumsum(size)
+    data = np.zeros(int(end[-1]) if len(end) else 0, dtype=np.uint8)
+    for k in range(int(size.max(initial=0))):
+        has = np.flatnonzero(size > k)
+        data[end[has] - size[has] + k] = (values[has] >> (7 * k)) & 127
+    data[end - 1] |= 128
+    return binary_lists(data, np.concatenate(([0], end))[bounds[1:]])
+
+
+def encode_gamma(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """As many zeros as binary digits follow the first, then the digits; each list is padded to bytes. Values below 1 count as 1."""
+    values = np.maximum(values, 1)
+    digits = bit_lengths(values)
+    used = np.concatenate(([0], np.cumsum(2 * digits - 1)))
+    per_list = used[bounds[1:]] - used[bounds[:-1]]
+    ends = np.cumsum(-(-per_list // 8))
+    shift = np.concatenate(([0], ends[:-1])) * 8 - used[bounds[:-1]] if len(ends) else ends
+    first = used[:-1] + digits - 1 + np.repeat(shift, np.diff(bounds))
+    bits = np.zeros(int(ends[-1]) * 8 if len(ends) else 0, dtype=np.uint8)
+    for k in range(int(digits.max(initial=0))):
+        has = np.flatnonzero(digits > k)
+        bits[first[has] + k] = (values[has] >> (digits[has] - 1 - k)) & 1
+    return binary_lists(np.packbits(bits), ends)
 
 
 def decode_vbyte(data: bytes, count: int) -> list[int]:
-    out, n, shift = [], 0, 0
-    for b in data:
-        n |= (b & 127) << shift
-        shift += 7
-        if b & 128:
-            out.append(n)
-            n, shift = 0, 0
-            if len(out) == count:
-                break
-    return out
+    b = np.frombuffer(data, dtype=np.uint8)
+    last = np.flatnonzero(b & 128)[:count]
+    if not len(last):
+        return []
+    first = np.concatenate(([0], last[:-1] + 1))
+    b = b[: last[-1] + 1]
+    place = np.arange(len(b)) - np.repeat(first, last - first + 1)
+    return np.add.reduceat((b & 127).astype(np.int64) << (7 * place), first).tolist()
 
 
 def decode_gamma(data: bytes, count: int) -> list[int]:
@@ -29,14 +75,33 @@ def decode_gamma(data: bytes, count: int) -> list[int]:
     return out
 
 
-def decode_lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        terms, docs, tfs = [], [], []
-        for term, n, v, g in zip(pdf["term"], pdf["df"], pdf["vbyte"], pdf["gamma"]):
-            at = 0
-            for gap in decode_vbyte(bytes.fromhex(v), n):
-                at += gap
-                docs.append(at)
-            terms += [term] * n
-            tfs += decode_gamma(bytes.fromhex(g), n)
-        yield pd.DataFrame({"term": terms, "doc_id": docs, "tf": tfs})
+def encode_blocks(value: str):
+    """A mapInArrow function over rows (term, blk, carry, p: list of doc_id, gap, tf): the values named, and the frequencies, as binary."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("p")
+            flat, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+            numbers = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("term"), batch.column("blk"), pa.array(np.diff(bounds)), batch.column("carry"), encode_vbyte(numbers(value), bounds), encode_gamma(numbers("tf"), bounds)],
+                names=["term", "blk", "n", "carry", "vbyte", "gamma"],
+            )
+
+    return run
+
+
+def decode_blocks(gaps: bool):
+    """A mapInPandas function from encode_blocks back to (term, doc_id, tf)."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            terms, docs, tfs = [], [np.empty(0, np.int64)], []
+            for term, n, carry, v, g in zip(pdf["term"], pdf["n"], pdf["carry"], pdf["vbyte"], pdf["gamma"]):
+                values = np.array(decode_vbyte(v, n), dtype=np.int64)
+                docs.append(np.cumsum(values) + carry if gaps else values)
+                terms += [term] * n
+                tfs += decode_gamma(g, n)
+            yield pd.DataFrame({"term": terms, "doc_id": np.concatenate(docs), "tf": tfs})
+
+    return run

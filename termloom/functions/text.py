@@ -41,7 +41,8 @@ def _fold_map() -> tuple[str, str]:
 def ascii_fold(text: Column) -> Column:
     """Canonical decomposition, then only ASCII stays: accents go, other letters and spaces vanish."""
     src, dst = _fold_map()
-    return F.regexp_replace(F.translate(text, src, dst), r"[^\x00-\x7F]", "")
+    folded = F.regexp_replace(F.translate(text, src, dst), r"[^\x00-\x7F]", "")
+    return F.when(F.octet_length(text) == F.length(text), text).otherwise(folded)  # ASCII stays as it is
 
 
 def tokens_split(text: Column) -> Column:
@@ -75,6 +76,11 @@ def is_valid_term(term: Column, stop: tuple[str, ...], low: int = 2, high: int =
     return F.length(term).between(low, high) & ~term.isin(*stop)
 
 
+def is_valid_typed(term: Column, ty: Column, stop: tuple[str, ...], low: int = 2, high: int = 25) -> Column:
+    """Addresses and names of any length from low, other types up to high; no stopwords."""
+    return (F.length(term) >= low) & (ty.isin("url", "email", "proper") | (F.length(term) <= high)) & ~term.isin(*stop)
+
+
 _UP, _LOW = "A-ZÁÉÍÓÚÜÑ", "a-záéíóúüñ"
 _LETTER, _GAP = f"[{_UP}{_LOW}]", r"[\t ]{1,3}"
 _NAME = f"[{_UP}][{_LOW}]+"
@@ -85,9 +91,8 @@ TYPED = {
     "date": r"(?U)\b(?:\d{1,2}[-/]){2}\d{2,4}\b",
     "number": r"(?U)\b(?:\+?\d{1,3}[-\s]?)?\d(?:[.,:/-]?\d)*[.,:/-]?%?\b",
     "abbrev": rf"(?U)(?:{_LETTER}{{1,4}}\.){{2,}}{_LETTER}{{0,4}}|\b[{_UP}][A-Z{_LOW}]{{1,5}}\.|\b[A-Za-z]\.(?=\S)",
-    "proper": rf"(?U)\b{_NAME}(?:{_GAP}(?:(?:del?|l[ao]s?|[ey]){_GAP})?{_NAME})+",
+    "proper": rf"(?U)\b{_NAME}(?:{_GAP}(?:(?:de|del|la|las|los|e|y){_GAP})?{_NAME})+",
 }
-TYPED["proper"] = TYPED["proper"].replace("l[ao]s?", "la|las|los")
 
 
 def tokens_typed(text: Column) -> Column:

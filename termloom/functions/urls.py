@@ -65,3 +65,9 @@ def resolve_rooted(base: Column, ref: Column) -> Column:
     scheme = F.regexp_extract(base, "^([A-Za-z][A-Za-z0-9+.-]*:)", 1)
     absolute, rooted = ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref.startswith("/")
     return F.when(absolute, ref).when(ref.startswith("//"), F.concat(scheme, ref)).when(rooted, F.concat(scheme, F.lit("//"), F.regexp_extract(base, AUTHORITY, 1), ref))
+
+
+def is_plain(base: Column, ref: Column) -> Column:
+    """Whether resolve_rooted gives what RFC 3986 does: an absolute or root-relative reference without dot segments, to an http base."""
+    with_scheme, rooted = ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]"), ref.rlike(r"^/[^/]|^/$")
+    return F.coalesce((with_scheme | rooted & base.rlike("^https?://[^/?#]")) & ~ref.rlike(r"(^|/)\.{1,2}(/|$|\?|#)|//.*//|[\[\]\s;]"), F.lit(False))

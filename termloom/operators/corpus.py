@@ -20,6 +20,23 @@ def valid(tok: DataFrame, low: int = 2, high: int = 25, stop=STOP) -> DataFrame:
     return tok.filter(tx.is_valid_term(F.col("term"), stop, low, high))
 
 
+def typed_terms(docs: DataFrame, low: int = 2, high: int = 25, stop=STOP) -> DataFrame:
+    """(doc_id, pos, term): valid tokens of the typed tokenizer, as an analyzer of an index."""
+    tok = docs.select("doc_id", F.posexplode(tx.tokens_typed(F.col("text"))).alias("pos", "t")).select("doc_id", "pos", F.col("t.tok").alias("term"), F.col("t.ty").alias("ty"))
+    return tok.filter(tx.is_valid_typed(F.col("term"), F.col("ty"), stop, low, high)).drop("ty")
+
+
+def stemmed_terms(stemmer, tokenizer=tx.tokens_words, low: int = 2, high: int = 25, stop=STOP):
+    """An analyzer that stems valid tokens by a function of a column; each distinct word is stemmed once and joined back."""
+
+    def analyze(docs: DataFrame) -> DataFrame:
+        tok = valid(tokens(docs, tokenizer), low, high, stop)
+        stems = tok.select("term").distinct().select(F.col("term").alias("word"), stemmer(F.col("term")).alias("stem"))
+        return tok.join(stems, F.col("term") == F.col("word")).select("doc_id", "pos", F.col("stem").alias("term"))
+
+    return analyze
+
+
 def term_frequency(tok: DataFrame) -> DataFrame:
     """(doc_id, term, tf)"""
     return tok.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -162,6 +179,20 @@ def bigram_model(train: DataFrame) -> DataFrame:
 LANGS = ("en", "fr", "es", "de")
 
 
+def predict_by_letters(test: DataFrame, model: DataFrame) -> DataFrame:
+    """(doc_id, lang, predicted, score): the language with the largest sum of logs over single letters; ties in the order of LANGS."""
+    counts = test.select("doc_id", "lang", F.explode(_letters(F.col("s"))).alias("c")).groupBy("doc_id", "lang", "c").agg(F.count("*").alias("n"))
+    logs = model.select(F.col("lang").alias("guess"), "c", F.log("p").alias("lp"))
+    return _likeliest(counts.join(F.broadcast(logs), "c"))  # a model has 49 letters a language
+
+
+def _likeliest(scored: DataFrame) -> DataFrame:
+    scored = scored.groupBy("doc_id", "lang", "guess").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
+    order = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("guess"))
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), order)
+    return scored.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "lang", F.col("guess").alias("predicted"), F.round("score", 4).alias("score"))
+
+
 def predict_language(test: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, predicted, score): the language with the largest sum of logs over bigrams; ties in the order of LANGS.
 
@@ -169,7 +200,4 @@ def predict_language(test: DataFrame, model: DataFrame) -> DataFrame:
     """
     pairs = test.select("doc_id", "lang", F.explode(_pairs(F.col("s"))).alias("b")).groupBy("doc_id", "lang", "b").agg(F.count("*").alias("n"))
     logs = model.select(F.col("lang").alias("guess"), F.concat("x", "y").alias("b"), F.log("p").alias("lp"))
-    scored = pairs.join(F.broadcast(logs), "b").groupBy("doc_id", "lang", "guess").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
-    order = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("guess"))
-    w = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), order)
-    return scored.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "lang", F.col("guess").alias("predicted"), F.round("score", 4).alias("score"))
+    return _likeliest(pairs.join(F.broadcast(logs), "b"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 MEASURES = ("p10", "ap", "ndcg10", "rprec")
 
@@ -42,6 +46,25 @@ def interpolated(run: DataFrame, qrels: DataFrame) -> DataFrame:
     return out.select("model", "qid", (F.col("level10") / 10).alias("level"), F.when(F.col("r").isNotNull(), F.coalesce("p", F.lit(0.0))).alias("precision"))
 
 
+def containing(docs: DataFrame, topics: DataFrame, run: int = 4) -> DataFrame:
+    """(qid, doc_id) of docs(doc_id, text) that contain the text of topics(qid, text), character by character.
+
+    The words within a topic, without its first and last, which may be parts of longer ones, stand in each such document: the first run of
+    them is a key, and documents meet topics by the keys of all their runs of words; only what meets is compared. Topics of fewer words are
+    held against all documents; they are broadcast, as a set of queries.
+    """
+    words = lambda c: F.split(c, r"\s+")
+    keyed = topics.select("qid", F.col("text").alias("passage"), F.slice(words("text"), 2, run).alias("w"), (F.size(words("text")) >= run + 2).alias("long"))
+    key = lambda w: F.xxhash64(F.array_join(w, " "))
+    known = docs.select("doc_id", "text")
+    runs = F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: key(F.slice("w", i, run)))
+    starts = known.select("doc_id", words("text").alias("w")).filter(F.size("w") >= run).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
+    met = starts.join(keyed.filter("long").select("qid", key("w").alias("key")), "key").select("qid", "doc_id").distinct()
+    texts = known.join(met, "doc_id").join(keyed.select("qid", "passage"), "qid")
+    short = known.join(F.broadcast(keyed.filter("not long").select("qid", "passage")), F.expr("contains(text, passage)"))
+    return texts.filter(F.expr("contains(text, passage)")).select("qid", "doc_id").union(short.select("qid", "doc_id")).distinct()
+
+
 def means(measured: DataFrame) -> DataFrame:
     return measured.groupBy("model").agg(*[F.round(F.avg(m), 6).alias(m) for m in MEASURES])
 
@@ -86,3 +109,47 @@ def baseline(measured: DataFrame, base: str, measure: str = "ap") -> DataFrame:
 def _paired(measured: DataFrame, a: str, b: str, measure: str) -> DataFrame:
     side = lambda m, name: measured.filter(F.col("model") == m).select("qid", F.round(measure, 9).alias(name)).dropna()
     return side(a, "x").join(side(b, "y"), "qid")
+
+
+def common_queries(measured: DataFrame, models: tuple[str, ...], measure: str = "ap") -> DataFrame:
+    """(qid, a column for each model): values of the queries that all of the models have."""
+    out = None
+    for m in models:
+        side = measured.filter(F.col("model") == m).select("qid", F.col(measure).alias(m)).dropna()
+        out = side if out is None else out.join(side, "qid")
+    return out
+
+
+def significance(measured: DataFrame, base: str, measure: str = "ap") -> DataFrame:
+    """(model, n, t, p): the paired t-test of each model against the base, two-sided; null where all differences are equal. A row a model."""
+    x = measured.filter(F.col("model") == base).select("qid", F.round(measure, 9).alias("x"))
+    d = measured.filter(F.col("model") != base).select("model", "qid", F.round(measure, 9).alias("y")).join(x, "qid").dropna().withColumn("d", F.col("y") - F.col("x"))
+    spread = F.stddev_samp("d")
+    rows = d.groupBy("model").agg(F.count("d").alias("n"), F.when(spread > 0, F.avg("d") / (spread / F.sqrt(F.count("d").cast("double")))).alias("t"))
+    return rows.withColumn("p", _two_sided("t", F.col("n") - 1))
+
+
+@F.pandas_udf(DoubleType())
+def _two_sided(t: pd.Series, freedom: pd.Series) -> pd.Series:
+    return pd.Series([None if a is None or a != a else student_tail(a, int(n)) for a, n in zip(t, freedom)], dtype="float64")
+
+
+def student_tail(t: float, freedom: int) -> float:
+    """The probability that |T| of Student's distribution is t or more: a sum for whole degrees of freedom (Abramowitz and Stegun, 26.7.3-4)."""
+    angle = math.atan2(abs(t), math.sqrt(freedom))
+    cos2, term, total = math.cos(angle) ** 2, 1.0, 0.0
+    if freedom % 2:
+        term = math.cos(angle)
+        for k in range(3, freedom + 1, 2):
+            total += term
+            term *= cos2 * (k - 1) / k
+        return max(0.0, 1 - 2 / math.pi * (angle + math.sin(angle) * total))
+    for k in range(2, freedom + 1, 2):
+        total += term
+        term *= cos2 * (k - 1) / k
+    return max(0.0, 1 - math.sin(angle) * total)
+
+
+def by_query(df: DataFrame, *then) -> DataFrame:
+    """Rows in the order of qid, numbers first and as numbers, then by further columns."""
+    return df.orderBy(F.expr("try_cast(qid AS decimal(38, 0))").asc_nulls_last(), "qid", *then)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.functions import urls
 from termloom.operators import ranks
-from termloom.session import materialize
+from termloom.session import materialize, release
 
 HREF = r"""(?is)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 
@@ -22,8 +22,12 @@ def raw_links(pages: DataFrame) -> DataFrame:
 
 def links(pages: DataFrame, rooted_only: bool = False) -> DataFrame:
     """(src, pos, dst): resolved, normalised links to http hosts of two labels or more; duplicates stay."""
-    join = urls.resolve_rooted if rooted_only else urls.resolve
-    out = raw_links(pages).select(F.col("url").alias("src"), "pos", urls.normal_url(join(F.col("url"), F.col("href"))).alias("dst"))
+    found = raw_links(pages).withColumn("dst", urls.resolve_rooted(F.col("url"), F.col("href")))
+    if not rooted_only:  # only relative references and dots in paths go through Python
+        plain = urls.is_plain(F.col("url"), F.col("href"))
+        hard = found.filter(~plain).withColumn("dst", urls.resolve(F.col("url"), F.col("href")))
+        found = found.filter(plain).union(hard)
+    out = found.select(F.col("url").alias("src"), "pos", urls.normal_url(F.col("dst")).alias("dst"))
     return out.filter(F.col("dst").rlike("^https?://") & urls.is_valid(F.col("dst")))
 
 
@@ -53,7 +57,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
     if not n:
         return ids.withColumn("pagerank", F.lit(0.0))
     leaf = ids.join(out.groupBy(F.col("src").alias("url")).agg(F.lit(False).alias("__has")), "url", "left").select("url", F.coalesce("__has", F.lit(True)).alias("leaf"))
-    ranked = materialize(leaf.withColumn("pagerank", F.lit(1.0 / n)), "ranks")
+    last = ranked = materialize(leaf.withColumn("pagerank", F.lit(1.0 / n)), "ranks")
     for _ in range(steps):
         loose = ranked.filter("leaf").agg(F.coalesce(F.sum("pagerank"), F.lit(0.0)).alias("loose"))
         sent = out.join(ranked.select(F.col("url").alias("src"), "pagerank"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum(F.col("pagerank") / F.col("deg")).alias("got"))
@@ -61,7 +65,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
             "url", "leaf", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + F.col("loose") / n)).alias("pagerank"), F.col("pagerank").alias("was")
         )
         new = materialize(new, "ranks")
-        ranked = new.drop("was")
+        release(last)
+        last, ranked = new, new.drop("was")
         if tol is not None and new.agg(F.sum(F.abs(F.col("pagerank") - F.col("was")))).first()[0] < n * tol:
             break
     return ranked.select("url", "pagerank")
@@ -70,7 +75,7 @@ def pagerank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, steps: i
 def hits(nodes: DataFrame, edges: DataFrame, steps: int = 100, tol: float | None = 1e-8) -> DataFrame:
     """(url, authority, hub): power iteration, each summing to 1; all 0 without edges."""
     ids, e = materialize(nodes.select("url").distinct(), "nodes"), materialize(edges.select("src", "dst").distinct(), "edges")
-    now = materialize(ids.withColumn("authority", F.lit(1.0)), "authorities")
+    last = now = materialize(ids.withColumn("authority", F.lit(1.0)), "authorities")
 
     def scaled(df: DataFrame, c: str) -> DataFrame:
         return df.crossJoin(F.broadcast(df.agg(F.sum(c).alias("__t")))).withColumn(c, F.when(F.col("__t") > 0, F.col(c) / F.col("__t")).otherwise(0.0)).drop("__t")
@@ -84,7 +89,8 @@ def hits(nodes: DataFrame, edges: DataFrame, steps: int = 100, tol: float | None
         a = e.join(h.select(F.col("url").alias("src"), "hub"), "src").groupBy(F.col("dst").alias("url")).agg(F.sum("hub").alias("authority"))
         a = scaled(ids.join(a, "url", "left").select("url", F.coalesce("authority", F.lit(0.0)).alias("authority")), "authority")
         new = materialize(a.join(now.select("url", F.col("authority").alias("was")), "url"), "authorities")
-        now = new.drop("was")
+        release(h, last)
+        last, now = new, new.drop("was")
         if tol is not None and (new.agg(F.sum(F.abs(F.col("authority") - F.col("was")))).first()[0] or 0) < tol:
             break
     return now.join(hubs(now), "url").select("url", "authority", "hub")
@@ -92,8 +98,8 @@ def hits(nodes: DataFrame, edges: DataFrame, steps: int = 100, tol: float | None
 
 def rank_overlap(scored: DataFrame, a: str, b: str) -> DataFrame:
     """(k, overlap): percentage that the first k by a and the first k by b have in common; ties by url."""
-    ra = ranks.numbered(scored.select("url", F.round(a, 12).alias("v")), [(F.col("v"), "desc")], ["url"], "ra").select("url", "ra")
-    rb = ranks.numbered(scored.select("url", F.round(b, 12).alias("v")), [(F.col("v"), "desc")], ["url"], "rb").select("url", "rb")
+    numbered = lambda c, name: ranks.in_order(scored.select("url", F.round(c, 12).alias("v")), [F.desc("v"), "url"], name).select("url", name)
+    ra, rb = numbered(a, "ra"), numbered(b, "rb")
     entries = ra.join(rb, "url").groupBy(F.greatest("ra", "rb").alias("k")).agg(F.count("*").alias("n"))
     every = ra.select(F.col("ra").alias("k")).join(entries, "k", "left").select("k", F.coalesce("n", F.lit(0)).alias("n"))
     done = ranks.running(every, "n", "k", ["k"], "total")
@@ -110,14 +116,14 @@ def _first(df: DataFrame) -> DataFrame:
 
 def _links_of(batch: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Fetched pages (url, ord), and their links (src, ord of the page and link, dst)."""
-    got = batch.select("url", "ord").join(pages.select(urls.normal_url(F.col("url")).alias("url"), "html").dropDuplicates(["url"]), "url").filter("html is not null")
+    got = batch.select("url", "ord").join(pages.groupBy(urls.normal_url(F.col("url")).alias("url")).agg(F.min_by("html", F.struct("url", "html")).alias("html")), "url").filter("html is not null")
     out = links(got.select("url", "html")).withColumnRenamed("src", "url").join(got.select("url", "ord"), "url")
     return got.select("url", "ord"), out.select(F.col("url").alias("src"), F.array(F.col("ord"), F.col("pos").cast("bigint")).alias("at"), "dst")
 
 
-def _numbered(df: DataFrame, order: Column) -> DataFrame:
-    """A frontier (url, ord): its size is bounded by the crawl's limits."""
-    return df.select("url", F.row_number().over(Window.orderBy(order)).cast("bigint").alias("ord"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """A frontier (url, ord) in the order of at, then url, of any size."""
+    return ranks.in_order(df.select("url", "at"), ["at", "url"], "ord").select("url", F.col("ord").cast("bigint").alias("ord"))
 
 
 def crawl(
@@ -168,9 +174,9 @@ def crawl(
         ok_count = got.count()
         counters.append((level, ok_count, batch.count() - ok_count, out.count(), inside.count() if one_domain else None, new.count(), fresh.filter("not ok").count() if queue else 0))
         ok_total += ok_count
-        following = _numbered(new, F.col("at"))
+        following = _numbered(new)
         if carry is not None:
-            following = _numbered(carry.select("url", F.array(F.lit(0).cast("bigint"), "ord").alias("at")).union(new.select("url", F.concat(F.array(F.lit(1).cast("bigint")), "at"))), F.col("at"))
+            following = _numbered(carry.select("url", F.array(F.lit(0).cast("bigint"), "ord").alias("at")).union(new.select("url", F.concat(F.array(F.lit(1).cast("bigint")), "at"))))
         front, seen, level = materialize(following, "frontier"), materialize(seen.union(new.select("url")), "seen"), level + 1
 
     def union(parts: list[DataFrame], schema: str) -> DataFrame:

@@ -8,16 +8,18 @@ from pyspark.sql import functions as F
 from termloom.operators import corpus
 
 
-def query_terms(topics: DataFrame) -> DataFrame:
-    """(qid, term, qtf) of valid terms of topics(qid, text)."""
-    tok = corpus.valid(corpus.tokens(topics.select(F.col("qid").alias("doc_id"), "text")))
+def query_terms(topics: DataFrame, analyzer=None) -> DataFrame:
+    """(qid, term, qtf) of valid terms of topics(qid, text), or of those that an analyzer makes of (doc_id, text)."""
+    texts = topics.select(F.col("qid").alias("doc_id"), "text")
+    tok = analyzer(texts) if analyzer else corpus.valid(corpus.tokens(texts))
     return tok.groupBy(F.col("doc_id").alias("qid"), "term").agg(F.count("*").alias("qtf"))
 
 
-def idf(tf: DataFrame, docs: DataFrame) -> DataFrame:
-    """(term, df, idf): natural log of N / df over all documents."""
+def idf(tf: DataFrame, docs: DataFrame, terms: DataFrame | None = None) -> DataFrame:
+    """(term, df, idf): natural log of N / df over all documents. terms(term, df): counts of tf, if they are known."""
     n = docs.agg(F.count("*").alias("n"))
-    return tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
+    counts = tf.groupBy("term").agg(F.count("*").alias("df")) if terms is None else terms
+    return counts.crossJoin(F.broadcast(n)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 
 def weights(tf: DataFrame, docs: DataFrame) -> DataFrame:
@@ -30,14 +32,17 @@ def norms(w: DataFrame) -> DataFrame:
 
 
 def top(scored: DataFrame, k: int, score: str = "score", by: tuple = ("qid",)) -> DataFrame:
-    """rank from 0 by the score rounded to ten places, equal ones by doc_id, up to k a query."""
-    w = Window.partitionBy(*by).orderBy(F.round(score, 10).desc(), "doc_id")
+    """rank from 0 by the score as reported, with six places, equal ones by doc_id, up to k a query.
+
+    More places would let the order in which a score's terms are summed decide between equal documents.
+    """
+    w = Window.partitionBy(*by).orderBy(F.round(score, 6).desc(), "doc_id")
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).withColumn("rank", (F.col("rank") - 1).cast("bigint"))
 
 
-def cosine(tf: DataFrame, docs: DataFrame, q: DataFrame, k: int = 10) -> DataFrame:
-    """(qid, rank, doc_id, score): cosine of natural tf-idf vectors with full document norms."""
-    table = idf(tf, docs)
+def cosine(tf: DataFrame, docs: DataFrame, q: DataFrame, k: int = 10, terms: DataFrame | None = None) -> DataFrame:
+    """(qid, rank, doc_id, score): cosine of natural tf-idf vectors with full document norms. terms(term, df): counts of tf, if they are known."""
+    table = idf(tf, docs, terms)
     w = tf.join(table, "term").select("doc_id", "term", ((1 + F.log("tf")) * F.col("idf")).alias("w")).filter("w > 0")
     wq = q.join(table, "term").select("qid", "term", ((1 + F.log("qtf")) * F.col("idf")).alias("wq")).filter("wq > 0")
     nq = wq.groupBy("qid").agg(F.sqrt(F.sum(F.col("wq") * F.col("wq"))).alias("nq"))
@@ -62,9 +67,9 @@ def daat_cosine(tf: DataFrame, docs: DataFrame, q: DataFrame, k: int = 10) -> Da
     return top(scored, k).select("qid", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
-def statistics(tf: DataFrame, docs: DataFrame) -> DataFrame:
+def statistics(terms: DataFrame, docs: DataFrame) -> DataFrame:
     """One row: n documents, total tokens of valid terms, avdl over documents."""
-    return tf.agg(F.sum("tf").alias("total")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", "total", (F.col("total") / F.col("n")).alias("avdl"))
+    return terms.agg(F.sum("cf").alias("total")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", "total", (F.col("total") / F.col("n")).alias("avdl"))
 
 
 def tfidf(c) -> Column:
@@ -88,14 +93,16 @@ def dirichlet(c, mu: float = 2000.0) -> Column:
 MODELS = {"tfidf": tfidf, "bm25": bm25, "jm": jelinek_mercer, "dirichlet": dirichlet}
 
 
-def retrieve(tf: DataFrame, docs: DataFrame, q: DataFrame, models: tuple[str, ...], k: int = 50) -> DataFrame:
+def retrieve(
+    tf: DataFrame, docs: DataFrame, q: DataFrame, models: tuple[str, ...], k: int = 50, terms: DataFrame | None = None, lengths: DataFrame | None = None
+) -> DataFrame:
     """(model, qid, rank, doc_id, score) for weighting models that share one pass over the matching postings.
 
-    Only the queries' postings are joined; document lengths and term statistics are aggregates of tf.
+    A stored index supplies terms(term, df, cf) and lengths(doc_id, dl), and tf then holds the queries' postings alone; else both are counted from tf.
     """
-    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
-    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
-    hits = tf.join(q, "term").join(terms, "term").join(dl, "doc_id").crossJoin(F.broadcast(statistics(tf, docs)))
+    terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")) if terms is None else terms.select("term", "df", "cf")
+    dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths.select("doc_id", "dl")
+    hits = tf.join(q, "term").join(terms, "term").join(dl, "doc_id").crossJoin(F.broadcast(statistics(terms, docs)))
     sums = hits.groupBy("qid", "doc_id").agg(*[F.sum(MODELS[m](F.col)).alias(m) for m in models])
     long = sums.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("s"))
     return top(long.select("qid", "doc_id", "s.model", "s.score"), k, by=("model", "qid")).select("model", "qid", "rank", "doc_id", F.round("score", 6).alias("score"))

@@ -30,6 +30,21 @@ def _direction(c, col: Column) -> Column:
     return col.desc() if isinstance(c, tuple) and c[1] == "desc" else col.asc()
 
 
+def in_order(df: DataFrame, order: list, name: str, parts: int = 200) -> DataFrame:
+    """Row numbers from 1 in any order that has no ties, by ranges of it that Spark samples; df is stored once.
+
+    Only the ranges' counts go through one task; equal values of a leading column are cut by the next ones.
+    """
+    from termloom.session import materialize
+
+    ranged = materialize(df.repartitionByRange(parts, *order).withColumn("__p", F.spark_partition_id()), "ranges")
+    counts = ranged.groupBy(F.col("__p").alias("__q")).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__q").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("__q", F.coalesce(before, F.lit(0)).alias("__before"))  # parts rows
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return ranged.join(F.broadcast(counts), F.col("__p") == F.col("__q")).withColumn(name, F.col("__before") + within).drop("__p", "__q", "__before")
+
+
 def by_frequency(terms: DataFrame, count: str = "cf", name: str = "rank") -> DataFrame:
     """Ranks by falling count, equal counts by term."""
     return numbered(terms, [(F.col(count), "desc"), F.substring("term", 1, 2)], ["term"], name)

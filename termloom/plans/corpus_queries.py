@@ -245,3 +245,30 @@ def langid_confusion(t):
     counts = langid_predict(t).groupBy("lang", "predicted").agg(F.count("*").alias("n"))
     counts = materialize(counts, "confusion")
     return counts.crossJoin(counts.agg(F.sum("n").alias("t"))).select("lang", "predicted", "n", F.round(100 * F.col("n") / F.col("t"), 6).alias("pct"))
+
+
+BY_LETTER = f"""{LANG}, cs AS (SELECT doc_id, lang, unnest(string_split(s, '')) AS c FROM texts WHERE s <> ''), cc AS (SELECT lang, c, count(*) AS n FROM cs GROUP BY ALL),
+ct AS (SELECT lang, sum(n) AS t FROM cc GROUP BY lang),
+model AS (SELECT l.lang, x.c, (coalesce(cc.n, 0) + 1) / (coalesce(ct.t, 0) + 49)::DOUBLE AS p FROM langs l CROSS JOIN letters x LEFT JOIN cc ON cc.lang = l.lang AND cc.c = x.c LEFT JOIN ct ON ct.lang = l.lang),
+scored AS (SELECT g.doc_id, g.lang, m.lang AS guess, sum(g.n * ln(m.p)) AS score FROM (SELECT doc_id, lang, c, count(*) AS n FROM cs GROUP BY ALL) g JOIN model m ON g.c = m.c GROUP BY ALL),
+predicted AS (SELECT doc_id, lang, guess AS predicted, round(score, 4) AS score FROM scored
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, list_position(['en', 'fr', 'es', 'de'], guess)) = 1)"""
+
+
+@query("q_langid_predict_letters", f"WITH {BY_LETTER} SELECT doc_id, lang, predicted, score FROM predicted")
+def langid_predict_letters(t):
+    """The same by single letters."""
+    texts = corpus.language_texts(t("documents"))
+    return corpus.predict_by_letters(texts, corpus.unigram_model(texts))
+
+
+@query("q_langid_confusion_letters", f"WITH {BY_LETTER} SELECT lang, predicted, count(*) AS n, round(100 * count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM predicted GROUP BY lang, predicted")
+def langid_confusion_letters(t):
+    counts = materialize(langid_predict_letters(t).groupBy("lang", "predicted").agg(F.count("*").alias("n")), "confusion")
+    return counts.crossJoin(counts.agg(F.sum("n").alias("t"))).select("lang", "predicted", "n", F.round(100 * F.col("n") / F.col("t"), 6).alias("pct"))
+
+
+@query("q_term_stats_typed")
+def term_stats_typed(t):
+    """Frequencies of the valid tokens of the typed tokenizer."""
+    return corpus.term_stats(corpus.typed_terms(t("documents")))

@@ -2,22 +2,53 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from termloom.operators import index
 from termloom.operators.corpus import STOP
+from termloom.session import keep_until_exit, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+#: The stored index of each session's folders of tables.
+_INDEXES: dict[tuple[str, str], str] = {}
+
+
+class Tables:
+    """The tables of a folder by name, and the index of its documents."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __call__(self, table: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.folder}/{table}.parquet")
+        # a file of one row group is read by one task: tokenizing is worth a shuffle there, by the key of what follows
+        if table == "documents" and df.rdd.getNumPartitions() < self.spark.sparkContext.defaultParallelism:
+            return df.repartition("doc_id")
+        return df
+
+    def index(self) -> index.Stored:
+        """The stored index of documents, built by the first query that asks for it."""
+        key = (self.spark.sparkContext.applicationId, self.folder)
+        if key not in _INDEXES:
+            path = f"{shared_dir(self.spark)}/index-{uuid.uuid4().hex}"
+            index.write_index(self("documents"), path)
+            keep_until_exit(self.spark, path)
+            _INDEXES[key] = path
+        return index.Stored(self.spark, _INDEXES[key])
+
+
 def query(name: str, sql: str | None = None):
-    """Register a function of a table reader; sql is the same query for DuckDB."""
+    """Register a function of Tables; sql is the same query for DuckDB."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+            return f(Tables(spark, sf_dir))
 
         run.__doc__ = f.__doc__
         QUERIES[name] = run

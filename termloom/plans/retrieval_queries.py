@@ -4,13 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from termloom.functions import stem
 from termloom.operators import boolean, corpus, evaluate, index, rank, ranks
 from termloom.plans.registry import QTERMS, TERMS, TF, is_valid, query, tokens
 from termloom.session import materialize
 
 
 def tf_of(t):
-    return index.term_frequencies(t("documents"))
+    """All postings of the stored index."""
+    return t.index().postings().select("doc_id", "term", "tf")
+
+
+#: The blocks of postings in SQL.
+BLK = f"doc_id // {index.BLOCK}"
 
 
 def topics(t):
@@ -24,12 +30,19 @@ VOCAB = f"{TERMS}, vocab AS (SELECT row_number() OVER (ORDER BY term) AS term_id
 
 @query(
     "q_index_build",
-    f"WITH {TF} SELECT term, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY term",
+    f"WITH {TF} SELECT term, {BLK} AS blk, count(*) AS df, string_agg(doc_id || ':' || tf, ',' ORDER BY doc_id) AS postings FROM tf GROUP BY ALL",
 )
 def index_build(t):
-    lists = index.posting_lists(tf_of(t))
+    """Blocks of postings, built from the texts."""
+    lists = index.posting_blocks(index.term_frequencies(t("documents")))
     joined = F.array_join(F.transform("postings", lambda p: F.concat_ws(":", p["doc_id"].cast("string"), p["tf"].cast("string"))), ",")
-    return lists.select("term", "df", joined.alias("postings"))
+    return lists.select("term", "blk", "df", joined.alias("postings"))
+
+
+@query("q_index_scan", f"WITH {TF} SELECT term, doc_id, tf FROM tf")
+def index_scan(t):
+    """Every posting of the stored index."""
+    return t.index().postings()
 
 
 #: A term that inflected forms of the test language share.
@@ -38,17 +51,17 @@ LOOKUP = "Thanedble"
 
 @query("q_posting_lookup", f"WITH {TF} SELECT tf.doc_id, coalesce(d.source, '?') AS name, tf.tf FROM tf LEFT JOIN documents d USING (doc_id) WHERE term = lower('{LOOKUP}')")
 def posting_lookup(t):
-    return index.lookup(tf_of(t), t("documents"), LOOKUP)
+    return index.lookup(t.index(), LOOKUP)
 
 
 @query("q_vocab_offsets", f"WITH {VOCAB} SELECT term_id, term, df, CAST(coalesce(sum(df * 8) OVER (ORDER BY term_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seek FROM vocab")
 def vocab_offsets(t):
-    return index.vocab_offsets(materialize(index.vocabulary(tf_of(t)), "vocabulary"))
+    return t.index().vocabulary.select("term_id", "term", "df", "seek")
 
 
 @query("q_df_histogram", f"WITH {TERMS} SELECT df, count(*) AS n_terms FROM terms WHERE df <= 30 GROUP BY df")
 def df_histogram(t):
-    return corpus.term_stats(corpus.valid(corpus.tokens(t("documents")))).filter("df <= 30").groupBy("df").agg(F.count("*").alias("n_terms"))
+    return t.index().vocabulary.filter("df <= 30").groupBy("df").agg(F.count("*").alias("n_terms"))
 
 
 @query(
@@ -57,7 +70,7 @@ def df_histogram(t):
 FROM (SELECT count(*) AS n FROM tf), (SELECT CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents)""",
 )
 def index_overhead(t):
-    n = tf_of(t).agg(F.count("*").alias("n"))
+    n = t.index().vocabulary.agg(F.sum("df").alias("n"))
     return n.crossJoin(t("documents").agg(F.sum(F.octet_length("text")).alias("text_bytes"))).select(
         "text_bytes", (F.col("n") * 8).alias("index_bytes"), (F.col("n") * 4).alias("index_bytes_plain"), F.round(F.col("n") * 8 / F.col("text_bytes"), 6).alias("ratio")
     )
@@ -89,26 +102,26 @@ VBYTE = """array_to_string(list_transform(range(greatest(1, CAST(ceil(length(for
   lambda i: printf('%02x', ((gap >> (7 * i)::INT) & 127) + CASE WHEN (gap >> (7 * (i + 1))::INT) = 0 THEN 128 ELSE 0 END)), '')"""
 
 
-@query("q_vbyte", f"WITH {GAPS} SELECT term, upper(string_agg({VBYTE}, '' ORDER BY doc_id)) AS vbyte FROM gaps GROUP BY term")
+@query("q_vbyte", f"WITH {GAPS} SELECT term, {BLK} AS blk, upper(string_agg({VBYTE}, '' ORDER BY doc_id)) AS vbyte FROM gaps GROUP BY ALL")
 def vbyte(t):
-    return index.compressed(tf_of(t)).select("term", F.upper("vbyte").alias("vbyte"))
+    return index.compressed(tf_of(t)).select("term", "blk", F.hex("vbyte").alias("vbyte"))
 
 
 @query(
     "q_gamma",
-    f"""WITH {TF}, b AS (SELECT term, string_agg(repeat('0', length(format('{{:b}}', tf)) - 1) || format('{{:b}}', tf), '' ORDER BY doc_id) AS bits FROM tf GROUP BY term)
-SELECT term, rpad(bits, CAST(ceil(length(bits) / 8.0) * 8 AS INT), '0') AS gamma FROM b""",
+    f"""WITH {TF}, b AS (SELECT term, {BLK} AS blk, string_agg(repeat('0', length(format('{{:b}}', tf)) - 1) || format('{{:b}}', tf), '' ORDER BY doc_id) AS bits FROM tf GROUP BY ALL)
+SELECT term, blk, rpad(bits, CAST(ceil(length(bits) / 8.0) * 8 AS INT), '0') AS gamma FROM b""",
 )
 def gamma(t):
     """The padded bits; hexadecimal digits are turned back into them."""
-    digits = F.split(F.upper("gamma"), "")
+    digits = F.split(F.hex("gamma"), "")
     bits = F.array_join(F.transform(F.filter(digits, lambda x: x != ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    return index.compressed(tf_of(t)).select("term", bits.alias("gamma"))
+    return index.compressed(tf_of(t)).select("term", "blk", bits.alias("gamma"))
 
 
 @query(
     "q_compress_sizes",
-    f"""WITH {GAPS}, per AS (SELECT term, sum(CAST(ceil(length(format('{{:b}}', gap)) / 7.0) AS BIGINT)) AS v, CAST(ceil(sum(2 * length(format('{{:b}}', tf)) - 1) / 8.0) AS BIGINT) AS g, count(*) AS n FROM gaps GROUP BY term)
+    f"""WITH {GAPS}, per AS (SELECT term, sum(CAST(ceil(length(format('{{:b}}', gap)) / 7.0) AS BIGINT)) AS v, CAST(ceil(sum(2 * length(format('{{:b}}', tf)) - 1) / 8.0) AS BIGINT) AS g, count(*) AS n FROM gaps GROUP BY term, {BLK})
 SELECT CAST(sum(v) AS BIGINT) AS vbyte_bytes, CAST(sum(g) AS BIGINT) AS gamma_bytes, CAST(sum(n) AS BIGINT) AS postings, round((sum(v) + sum(g))::DOUBLE / (8 * sum(n)), 6) AS ratio FROM per""",
 )
 def compress_sizes(t):
@@ -138,7 +151,8 @@ def query_log(t):
 
 
 def conjunctions(t, k: int):
-    return boolean.conjunction(query_log(t).filter(F.col("k") == k).select("qid", "term"), tf_of(t))
+    log = query_log(t).filter(F.col("k") == k)
+    return boolean.conjunction(log.select("qid", "term"), t.index().postings(log))
 
 
 @query("q_bool_and2", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2 AND a AND b")
@@ -153,12 +167,14 @@ def bool_and3(t):
 
 @query("q_bool_or", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2")
 def bool_or(t):
-    return query_log(t).filter("k = 2").join(tf_of(t), "term").select("qid", "doc_id").distinct()
+    log = query_log(t).filter("k = 2")
+    return log.join(t.index().postings(log), "term").select("qid", "doc_id").distinct()
 
 
 @query("q_bool_andnot", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2 AND a AND NOT b")
 def bool_andnot(t):
-    log, tf = query_log(t).filter("k = 2"), tf_of(t).select("term", "doc_id")
+    log = query_log(t).filter("k = 2")
+    tf = t.index().postings(log).select("term", "doc_id")
     side = lambda i: log.filter(F.col("i") == i).join(tf, "term").select("qid", "doc_id")
     return side(1).join(side(2), ["qid", "doc_id"], "left_anti")
 
@@ -168,7 +184,7 @@ NOT_TERM = "thanedble"
 
 @query("q_bool_not", f"WITH {TF} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM tf WHERE term = '{NOT_TERM}')")
 def bool_not(t):
-    return t("documents").select("doc_id").join(tf_of(t).filter(F.col("term") == NOT_TERM), "doc_id", "left_anti")
+    return t("documents").select("doc_id").join(t.index().postings([NOT_TERM]), "doc_id", "left_anti")
 
 
 EXPRESSIONS = {
@@ -204,12 +220,14 @@ _PATTERNS = {
     f"WITH {SETS} " + " UNION ALL ".join(f"SELECT qid, '{n}' AS pattern, doc_id FROM held WHERE k = {k} AND ({c})" for k, g in _PATTERNS.items() for n, c in g.items()),
 )
 def bool_patterns(t):
-    return boolean.patterns(query_log(t).select("qid", "i", "term"), tf_of(t))
+    log = query_log(t)
+    return boolean.patterns(log.select("qid", "i", "term"), t.index().postings(log))
 
 
 def two_ways(t, k: int):
     """Sizes of the conjunctions by intersection of sorted lists and by counting documents."""
-    log, tf = query_log(t).filter(F.col("k") == k), tf_of(t)
+    log = query_log(t).filter(F.col("k") == k)
+    tf = t.index().postings(log)
     lists = log.join(tf, "term").groupBy("qid", "i").agg(F.array_sort(F.collect_list("doc_id")).alias("l"))
     merged = lists.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.size("l").alias("n"), "l"))).alias("ls"))
     met = F.aggregate(F.slice("ls", 2, k), F.col("ls")[0]["l"], lambda a, x: F.array_intersect(a, x["l"]))
@@ -220,7 +238,14 @@ def two_ways(t, k: int):
 
 @query("q_skip_and", f"WITH {SETS} SELECT qid, count(*) FILTER (WHERE a AND b) AS by_list, count(*) FILTER (WHERE a AND b) AS by_count FROM held WHERE k = 2 GROUP BY qid")
 def skip_and(t):
-    return two_ways(t, 2)
+    """By the skips of the longer list, of which only the segments are opened that may hold a document of the shorter, and by counting documents."""
+    log = query_log(t).filter("k = 2")
+    sized = log.join(t.index().vocabulary.select("term", "df"), "term", "left").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))).alias("ts"))
+    pairs = sized.filter("ts[1].df > 0").select("qid", F.col("ts")[0]["term"].alias("short"), F.col("ts")[1]["term"].alias("long"))
+    segments = materialize(index.skip_segments(t.index().postings(log)), "segments")
+    by_count = conjunctions(t, 2).groupBy("qid").agg(F.count("*").alias("by_count"))
+    met = index.skip_and(pairs, segments).select("qid", F.col("docs").alias("by_list"))
+    return met.join(by_count, "qid", "left").select("qid", "by_list", F.coalesce("by_count", F.lit(0)).alias("by_count"))
 
 
 @query("q_taat_daat", f"WITH {SETS} SELECT qid, count(*) FILTER (WHERE a AND b AND c) AS by_list, count(*) FILTER (WHERE a AND b AND c) AS by_count FROM held WHERE k = 3 GROUP BY qid")
@@ -231,7 +256,7 @@ def taat_daat(t):
 @query("q_query_filter", f"WITH {TERMS}, {LOG} SELECT qid, count(*) AS n_terms FROM log LEFT JOIN terms USING (term) GROUP BY qid HAVING count(*) = count(terms.df)")
 def query_filter(t):
     """Queries all of whose terms are in the vocabulary."""
-    vocab = tf_of(t).select("term").distinct().withColumn("hit", F.lit(1))
+    vocab = t.index().vocabulary.select("term", F.lit(1).alias("hit"))
     return query_log(t).join(vocab, "term", "left").groupBy("qid").agg(F.count("*").alias("n_terms"), F.count("hit").alias("h")).filter("h = n_terms").select("qid", "n_terms")
 
 
@@ -240,7 +265,7 @@ TOTALS = f"{TERMS}, {LOG}, totals AS (SELECT qid, k, CAST(sum(coalesce(terms.df,
 
 @query("q_query_posting_total", f"WITH {TOTALS} SELECT qid, postings FROM totals")
 def query_posting_total(t):
-    df = tf_of(t).groupBy("term").agg(F.count("*").alias("df"))
+    df = t.index().vocabulary.select("term", "df")
     return query_log(t).join(df, "term", "left").groupBy("qid").agg(F.sum(F.coalesce("df", F.lit(0))).alias("postings"))
 
 
@@ -269,7 +294,8 @@ WEIGHTS = f"{IDF}, w AS (SELECT doc_id, term, (1 + ln(tf)) * idf AS w FROM tf JO
 
 @query("q_idf", f"WITH {IDF} SELECT term, df, round(idf, 10) AS idf FROM idf")
 def idf(t):
-    return rank.idf(tf_of(t), t("documents")).withColumn("idf", F.round("idf", 10))
+    terms = t.index().vocabulary.select("term", "df")
+    return rank.idf(tf_of(t), t("documents"), terms).withColumn("idf", F.round("idf", 10))
 
 
 @query("q_doc_norms", f"WITH {WEIGHTS} SELECT doc_id, round(norm, 6) AS norm FROM norms")
@@ -282,12 +308,11 @@ def doc_norms(t):
     f"""WITH {WEIGHTS}, wq AS (SELECT qid, term, (1 + ln(qtf)) * idf AS wq FROM q JOIN idf USING (term) WHERE idf > 0),
 nq AS (SELECT qid, sqrt(sum(wq * wq)) AS nq FROM wq GROUP BY qid),
 s AS (SELECT qid, doc_id, sum(w * wq) / (any_value(norm) * any_value(nq)) AS score FROM wq JOIN w USING (term) JOIN norms USING (doc_id) JOIN nq USING (qid) GROUP BY qid, doc_id)
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY rank < 10""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM s WHERE score > 0 QUALIFY rank < 10""",
 )
 def vsm_cosine(t):
     """The ten best documents of each topic by cosine."""
-    tf = materialize(tf_of(t), "tf")
-    return rank.cosine(tf, t("documents"), rank.query_terms(topics(t)))
+    return rank.cosine(tf_of(t), t("documents"), rank.query_terms(topics(t)), terms=t.index().vocabulary.select("term", "df"))
 
 
 @query(
@@ -296,11 +321,11 @@ def vsm_cosine(t):
 dims AS (SELECT qid, i, term, idf FROM log JOIN idf USING (term)), nq AS (SELECT qid, sqrt(sum(idf * idf)) AS nq FROM dims GROUP BY qid HAVING sqrt(sum(idf * idf)) > 0),
 s AS (SELECT qid, doc_id, sum((1 + log10(tf)) * idf * idf) AS dot, sqrt(sum(((1 + log10(tf)) * idf) ** 2)) AS nd FROM tf JOIN dims USING (term) GROUP BY qid, doc_id),
 c AS (SELECT qid, doc_id, CASE WHEN nd > 0 THEN dot / (nd * nq) ELSE 0 END AS score FROM s JOIN nq USING (qid))
-SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 10) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM c QUALIFY rank < 10""",
+SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM c QUALIFY rank < 10""",
 )
 def daat_cosine(t):
     q = query_log(t).select("qid", F.col("i").alias("pos"), "term")
-    return rank.daat_cosine(materialize(tf_of(t), "tf"), t("documents"), q)
+    return rank.daat_cosine(t.index().postings(q), t("documents"), q)
 
 
 _FORMULA = {
@@ -316,15 +341,15 @@ hits AS (SELECT qid, doc_id, tf, qtf, df, cf, dl, total, n, avdl FROM q JOIN tf
 
 def run_sql(models, k: int) -> str:
     each = " UNION ALL ".join(f"SELECT '{m}' AS model, qid, doc_id, sum({_FORMULA[m]}) AS score FROM hits GROUP BY qid, doc_id" for m in models)
-    return f"""{HITS}, run AS (SELECT model, qid, row_number() OVER (PARTITION BY model, qid ORDER BY round(score, 10) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM ({each}) QUALIFY rank < {k})"""
+    return f"""{HITS}, run AS (SELECT model, qid, row_number() OVER (PARTITION BY model, qid ORDER BY round(score, 6) DESC, doc_id) - 1 AS rank, doc_id, round(score, 6) AS score FROM ({each}) QUALIFY rank < {k})"""
 
 
 DEPTH = {"tfidf": 50, "bm25": 50, "jm": 1000, "dirichlet": 1000}
 
 
 def retrieved(t, models, k: int):
-    tf = materialize(tf_of(t), "tf")
-    return rank.retrieve(tf, t("documents"), rank.query_terms(topics(t)), models, k)
+    q, stored = rank.query_terms(topics(t)), t.index()
+    return rank.retrieve(stored.postings(q), t("documents"), q, models, k, stored.vocabulary, stored.documents)
 
 
 for _m in DEPTH:
@@ -341,7 +366,7 @@ def rank_union(t):
     f"WITH {TERMS} SELECT (SELECT count(*) FROM documents) AS n_docs, count(*) AS n_terms, CAST(sum(cf) AS BIGINT) AS n_tokens, CAST(sum(df) AS BIGINT) AS n_postings FROM terms",
 )
 def collection_stats(t):
-    totals = corpus.term_stats(corpus.valid(corpus.tokens(t("documents")))).agg(F.count("*").alias("n_terms"), F.sum("cf").alias("n_tokens"), F.sum("df").alias("n_postings"))
+    totals = t.index().vocabulary.agg(F.count("*").alias("n_terms"), F.sum("cf").alias("n_tokens"), F.sum("df").alias("n_postings"))
     return totals.crossJoin(t("documents").agg(F.count("*").alias("n_docs")))
 
 
@@ -351,7 +376,7 @@ QRELS = "qrels AS (SELECT b.item_id AS qid, d.doc_id, 1 AS label FROM documents
 
 
 def qrels(t):
-    return t("documents").join(topics(t).withColumnRenamed("text", "passage"), F.expr("contains(text, passage)")).select("qid", "doc_id", F.lit(1).alias("label"))
+    return evaluate.containing(t("documents"), topics(t)).select("qid", "doc_id", F.lit(1).alias("label"))
 
 
 @query("q_topics_with_qrels", f"WITH {QRELS} SELECT item_id AS qid FROM benchmark WHERE item_id IN (SELECT qid FROM qrels)")
@@ -470,3 +495,38 @@ def vectors_cosine(t):
     scored = vectors.drop("label").crossJoin(centres).select("vec_id", "label", (dot(e, c) / (F.sqrt(dot(e, e)) * F.sqrt(dot(c, c)))).alias("score"))
     best = scored.groupBy("vec_id").agg(F.max(F.struct(F.round("score", 8).alias("r"), (-F.col("label")).alias("l"), "score")).alias("m"))
     return best.select("vec_id", (-F.col("m.l")).alias("label"), F.round("m.score", 4).alias("score"))
+
+
+# Other analyzers
+
+
+@query("q_vsm_cosine_typed")
+def vsm_cosine_typed(t):
+    """The ten best documents of each topic by cosine over typed tokens."""
+    tf = materialize(index.term_frequencies(t("documents"), corpus.typed_terms), "typed")
+    return rank.cosine(tf, t("documents"), rank.query_terms(topics(t), corpus.typed_terms))
+
+
+@query("q_rank_bm25_stemmed")
+def rank_bm25_stemmed(t):
+    """BM25 over Porter stems of valid words."""
+    analyzer = corpus.stemmed_terms(stem.porter)
+    tf = materialize(index.term_frequencies(t("documents"), analyzer), "stemmed")
+    return rank.retrieve(tf, t("documents"), rank.query_terms(topics(t), analyzer), ("bm25",), DEPTH["bm25"])
+
+
+@query("q_eval_significance")
+def eval_significance(t):
+    """The paired t-test of each model against the first."""
+    return evaluate.significance(measured(t), "tfidf").select("model", "n", F.round("t", 4).alias("t"), F.round("p", 6).alias("p"))
+
+
+@query(
+    "q_eval_common",
+    f"""WITH {MEASURED}, v AS (SELECT model, qid, round(ap, 6) AS ap FROM measured WHERE ap IS NOT NULL)
+SELECT a.qid, a.ap AS tfidf, b.ap AS jm, c.ap AS dirichlet FROM v a JOIN v b USING (qid) JOIN v c USING (qid) WHERE a.model = 'tfidf' AND b.model = 'jm' AND c.model = 'dirichlet'""",
+)
+def eval_common(t):
+    """Average precision of three models on the queries that all have."""
+    models = ("tfidf", "jm", "dirichlet")
+    return evaluate.common_queries(measured(t), models).select("qid", *[F.round(m, 6).alias(m) for m in models])

@@ -38,8 +38,34 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    files, where = _file_system(spark, path)
+    files.deleteOnExit(where)
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again; this cuts its lineage."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Write df as Parquet in the shared folder and read it again; this cuts its lineage.
+
+    The files go when the application ends, or earlier with release().
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    keep_until_exit(spark, path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_stored_at", None)
+        if path:
+            files, where = _file_system(df.sparkSession, path)
+            files.delete(where, True)

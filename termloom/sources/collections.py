@@ -36,14 +36,40 @@ def _tag(text: Column, name: str) -> Column:
 
 
 def read_trec_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(docno, text) of DOC blocks; those without DOCNO are skipped; TEXT if there is one, else the block without tags, blanks collapsed."""
-    blocks = spark.read.text(path, lineSep="</DOC>").select(F.regexp_extract("value", "(?is)<doc>(.*)$", 1).alias("b"))
+    """(docno, text) of DOC blocks, tags in any case; those without DOCNO are skipped; TEXT if there is one, else the block without tags, blanks collapsed."""
+    parts = spark.read.text(path, lineSep="</DOC>").select(F.explode(F.split("value", "(?i)</doc>")).alias("value"))
+    blocks = parts.select(F.regexp_extract("value", r"(?is)<doc\b[^>]*>(.*)$", 1).alias("b"))
     inner = _tag(F.col("b"), "text")
     whole = F.regexp_replace(F.regexp_replace("b", r"(?is)<docno\b[^>]*>.*?</docno\s*>", " "), "(?s)<[^>]*>", " ")
     text = F.trim(F.regexp_replace(F.when(inner != "", F.regexp_replace(inner, "(?s)<[^>]*>", " ")).otherwise(whole), r"\s+", " "))
     return blocks.select(_tag(F.col("b"), "docno").alias("docno"), text.alias("text")).filter("docno <> ''")
 
 
+def read_trec_text(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of DOC blocks in capitals, without DOCNO, other tags kept; a file without such blocks is one text."""
+    files = spark.read.text(path, wholetext=True)
+    found = F.regexp_extract_all("value", F.lit("(?s)<DOC>(.*?)</DOC>"), F.lit(1))
+    texts = files.select(F.explode(F.when(F.size(found) > 0, found).otherwise(F.array("value"))).alias("text"))
+    return texts.select(F.regexp_replace("text", "(?s)<DOCNO>.*?</DOCNO>", "").alias("text"))
+
+
+def read_language_training(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """(lang, text): one text a language, from a file each."""
+    out = None
+    for lang, path in files.items():
+        part = spark.read.text(path, wholetext=True).select(F.lit(lang).alias("lang"), F.replace(F.make_valid_utf8("value"), F.lit("\ufffd"), F.lit("")).alias("text"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+def read_query_groups(spark: SparkSession, path: str, vocabulary: DataFrame) -> DataFrame:
+    """(n_terms, terms, postings) of a file of queries, terms between blanks a line: those all of whose terms vocabulary(term, df) has, with the sum of df."""
+    lines = spark.read.text(path).select(F.filter(F.split(F.lower(F.trim("value")), r"\s+"), lambda x: x != "").alias("terms")).filter(F.size("terms") > 0)
+    lines = lines.withColumn("id", F.monotonically_increasing_id())
+    sums = lines.select("id", "terms", F.explode("terms").alias("term")).join(vocabulary.select("term", "df"), "term", "left").groupBy("id", "terms").agg(F.count("df").alias("n"), F.sum("df").alias("postings"))
+    return sums.filter(F.col("n") == F.size("terms")).select(F.size("terms").alias("n_terms"), "terms", "postings")
+
+
 def parse_trec_queries(text: str) -> list[tuple[str, str]]:
     """(qid, query) of a topics file, which is small: top blocks, else DOC blocks, else .I and .W."""
     import re
@@ -88,11 +114,12 @@ def read_query_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_posting_dump(spark: SparkSession, path: str) -> DataFrame:
-    """(term, df, docids) of lines term:df:id,id, ; the stored df is ignored, lines without ids are skipped; of a term that repeats the longest list stays."""
+    """(term, df, docids) of lines term:df:id,id, ; the stored df is ignored, ids that aren't numbers and lines without ids are skipped; of a term that repeats the last line stays."""
     f = F.split(F.trim("value"), ":")
-    ids = F.array_sort(F.transform(F.filter(F.split(F.element_at(f, 3), ","), lambda x: F.trim(x) != ""), lambda x: F.trim(x).cast("int")))
-    rows = spark.read.text(path).filter(F.size(f) >= 3).select(f[0].alias("term"), ids.alias("docids")).filter(F.size("docids") > 0)
-    return rows.groupBy("term").agg(F.max_by("docids", F.size("docids")).alias("docids")).select("term", F.size("docids").alias("df"), "docids")
+    ids = F.array_sort(F.filter(F.transform(F.split(F.element_at(f, 3), ","), lambda x: F.trim(x).try_cast("int")), lambda x: x.isNotNull()))
+    place = F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    rows = spark.read.text(path).select("value", place.alias("at")).filter(F.size(f) >= 3).select(f[0].alias("term"), ids.alias("docids"), "at").filter(F.size("docids") > 0)
+    return rows.groupBy("term").agg(F.max_by("docids", "at").alias("docids")).select("term", F.size("docids").alias("df"), "docids")
 
 
 def read_language_test(spark: SparkSession, lines: str, solution: str) -> DataFrame:
