@@ -120,68 +120,113 @@ def bit_errors(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.bitwise_count((a ^ b).astype(np.uint32)).sum() / (32 * max(1, len(a))))
 
 
-def bit_groups(groups: int, bits: int) -> list[int]:
-    """Masks of bits of a value; each filter's two bits stay together, and groups overlap as little as they can."""
-    rng, used, out = np.random.default_rng(7), np.zeros(16), []
-    for _ in range(groups):
-        chosen = np.lexsort((rng.random(16), used))[: bits // 2]
-        used[chosen] += 1
-        out.append(int(sum(3 << (2 * int(k)) for k in chosen)))
-    return out
-
+MATCHES = "query_id long, id long, offset long, overlap long, error double"
 
-def align_media(queries: DataFrame, prints: DataFrame, groups: int = 8, bits: int = 14, min_votes: int = 2, max_error: float = 0.2, min_overlap: int = 10) -> DataFrame:
-    """Recordings of prints(id, fp) that are the same as one of queries(id, fp) at some offset: query_id, id, offset, overlap, votes, error.
 
-    A query's value and a recording's that agree in one of several groups of bits vote for the recording's offset against
-    the query; groups are short, so that values with errors still meet in one. Each offset with min_votes votes is checked by the share of
-    differing bits over the overlap. Of a recording the offset with the least error counts, then the one nearest 0, then the
-    lower; it is reported if that is at most max_error with min_overlap values in common. A recording isn't compared with itself.
+def offset_histograms(query: np.ndarray, values: np.ndarray, sizes: np.ndarray, silent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(wrong bits, pairs of values) of a query's fingerprint against those of rows, for each row and offset from 1 - len(query) up.
 
-    No value is left out for being frequent; votes of a value are summed within a task before they are sent. Silence (the value of an all-zero image)
-    carries no tune and casts no vote. Null ids and null or empty fingerprints match nothing. Rows that repeat an id are one
-    recording with the first fingerprint in sort order. Empty tables give no rows. Other columns are ignored.
+    Each pair of a query's and a row's value counts at the offset that aligns them; two silent ones don't count. values is padded to one length.
+    """
+    n, (rows, width) = len(query), values.shape
+    kind = np.uint16 if n * 32 < 1 << 16 else np.int32
+    wrong = np.zeros((rows, width + n - 1), dtype=kind)
+    offset, size = np.arange(1 - n, width), sizes[:, None]
+    pairs = np.minimum(n - np.maximum(0, -offset), size - np.maximum(0, offset)).astype(np.int32)
+    real, quiet = np.arange(width) < size, values == silent
+    padded = not real.all()
+    for i, v in enumerate(query):
+        bits = np.bitwise_count(values ^ v)
+        if padded:
+            bits *= real
+        wrong[:, n - 1 - i : n - 1 - i + width] += bits
+        if v == silent:
+            pairs[:, n - 1 - i : n - 1 - i + width] -= quiet & real
+    return wrong, pairs
+
+
+def alignments(q_ids: np.ndarray, q_prints: list[np.ndarray], r_ids: np.ndarray, r_prints: list[np.ndarray], silent: int, max_error: float, min_overlap: int) -> pa.Table:
+    """MATCHES of the recordings of two blocks; those of about the same length are held against a query at once."""
+    sizes = np.array([len(x) for x in r_prints], dtype=np.int64)
+    found = [np.empty((5, 0))]
+    for length in np.unique(np.ceil(np.log2(np.maximum(1, sizes))).astype(int)):
+        every = np.flatnonzero(np.ceil(np.log2(np.maximum(1, sizes))).astype(int) == length)
+        for k in range(0, len(every), step := max(1, (1 << 18) >> length)):
+            rows = every[k : k + step]
+            width = int(sizes[rows].max())
+            values = np.zeros((len(rows), width), dtype=np.uint32)
+            values[np.arange(width) < sizes[rows][:, None]] = np.concatenate([r_prints[r] for r in rows])
+            for x, query in enumerate(q_prints):
+                wrong, pairs = offset_histograms(query, values, sizes[rows], silent)
+                row, at = np.nonzero((wrong <= (32 * max_error) * pairs) & (pairs >= max(1, min_overlap)) & (r_ids[rows] != q_ids[x])[:, None])
+                if not len(row):
+                    continue
+                offset, overlap = at + 1 - len(query), pairs[row, at]
+                error = wrong[row, at] / (32.0 * overlap)
+                order = np.lexsort((offset, np.abs(offset), error, row))
+                order = order[np.append(True, np.diff(row[order]) != 0)]
+                found.append(np.stack([np.full(len(order), x), rows[row[order]], offset[order], overlap[order], error[order]]))
+    x, y, offset, overlap, error = np.concatenate(found, axis=1)
+    whole = lambda c: c.astype(np.int64)
+    return pa.table([q_ids[whole(x)], r_ids[whole(y)], whole(offset), whole(overlap), error], names=["query_id", "id", "offset", "overlap", "error"])
+
+
+def align_media(queries: DataFrame, prints: DataFrame, max_error: float = 0.2, min_overlap: int = 10, block: int = 8192, query_block: int = 64) -> DataFrame:
+    """Recordings of prints(id, fp) that are the same as one of queries(id, fp) at some offset: query_id, id, offset, overlap, error.
+
+    For each pair a histogram over all offsets of the recording against the query counts wrong bits and pairs of values; the
+    offset with the least share of wrong bits counts, then the one nearest 0, then the lower; it is reported if that share is at
+    most max_error with min_overlap pairs of values. So the result is that of all pairs and offsets. Pairs of silent values (the value of an all-zero
+    image) don't count, since silence carries no tune. A recording isn't compared with itself.
+
+    queries is a stated set. Each block of it meets each block of recordings in a task of its own; nothing is shuffled but the blocks,
+    and a value that is frequent costs no more than others. Null ids and null or empty fingerprints match nothing. Rows that repeat an id
+    are one recording with the first fingerprint in sort order. Empty tables give no rows. Other columns are ignored.
     """
-    silent, masks = int(fingerprint(np.zeros((WIDTH, 12)))[0]), bit_groups(groups, bits)
+    silent = int(fingerprint(np.zeros((WIDTH, 12)))[0])
+
+    def known(df: DataFrame, name: str, size: int) -> tuple[DataFrame, int]:
+        once = df.filter("id is not null and size(fp) > 0").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("fp").alias("fp"))
+        once = materialize(once, name)
+        n = max(1, -(-once.count() // size))
+        return once.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n))), n
+
+    (asked, n_asked), (held, n_held) = known(queries, "queries", query_block), known(prints, "prints", block)
+    left = asked.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_held - 1)))).groupBy("part", "other")
+    right = held.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n_asked - 1)))).groupBy("other", "part")
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        sides = [(t.column("id").to_numpy(), [x.values.to_numpy().astype(np.uint32) for x in t.column("fp")]) for t in (a, b)]
+        return alignments(*sides[0], *sides[1], silent, max_error, min_overlap)
 
-    def known(df: DataFrame, name: str) -> DataFrame:
-        return materialize(df.filter("id is not null and size(fp) > 0").groupBy(F.col("id").cast("bigint").alias("id")).agg(F.min("fp").alias("fp")), name)
+    return left.cogroup(right).applyInArrow(meet, MATCHES)
 
-    def keys(df: DataFrame, who: str, pos: str) -> DataFrame:
-        values = df.select(F.col("id").alias(who), F.posexplode("fp").alias(pos, "value")).filter(F.col("value") != silent)
-        grouped = F.array(*[F.struct(F.lit(k).alias("g"), F.col("value").bitwiseAND(F.lit(m)).alias("key")) for k, m in enumerate(masks)])
-        return values.select(who, pos, F.explode(grouped).alias("k")).select(who, pos, "k.g", "k.key")
 
-    asked, held = known(queries, "queries"), known(prints, "prints")
-    met = keys(asked, "query_id", "pq").join(keys(held, "id", "pr"), ["g", "key"]).filter("query_id <> id")
-    votes = met.groupBy("query_id", "id", (F.col("pr") - F.col("pq")).alias("offset")).agg(F.count("*").alias("votes")).filter(F.col("votes") >= min_votes)
-    fq, fr = asked.select(F.col("id").alias("query_id"), F.col("fp").alias("fq")), held.select("id", F.col("fp").alias("fr"))
-    start_q, start_r = F.greatest(F.lit(0), -F.col("offset")), F.greatest(F.lit(0), F.col("offset"))
-    pairs = votes.join(fq, "query_id").join(fr, "id").withColumn("overlap", F.least(F.size("fq") - start_q, F.size("fr") - start_r)).filter(F.col("overlap") >= min_overlap)
-    differ = F.zip_with(F.slice("fq", start_q + 1, F.col("overlap")), F.slice("fr", start_r + 1, F.col("overlap")), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    error = F.aggregate(differ, F.lit(0).cast("bigint"), lambda s, x: s + x) / (32 * F.col("overlap"))
-    right = pairs.select("query_id", "id", "offset", F.col("overlap").cast("bigint").alias("overlap"), "votes", error.alias("error")).filter(F.col("error") <= max_error)
-    best = right.groupBy("query_id", "id").agg(F.min(F.struct("error", F.abs("offset").alias("far"), "offset", "overlap", "votes")).alias("m"))
-    return best.select("query_id", "id", *[f"m.{c}" for c in ("offset", "overlap", "votes", "error")])
+NOTES = 220.0 * 2 ** (np.arange(12) / 12)
 
 
-NOTES = 220.0 * 2 ** (np.arange(16) / 12)
+@cache
+def mixing(slices: int, components: int) -> np.ndarray:
+    """For each slice a matrix, the same always, that makes the loudness of twelve notes of a vector's components."""
+    return np.random.default_rng(11).normal(size=(slices, 12, components))
+
+
+@cache
+def tones(rate: int) -> np.ndarray:
+    return np.sin(2 * np.pi * NOTES[:, None] * np.arange(rate // 4) / rate)
 
 
 def recording(vector: np.ndarray | None, seconds: float = 6.0, rate: int = RATE) -> bytes | None:
-    """A vector as sound: 8 components at a time are the loudness of 8 notes for a quarter second, of 8 others where they are negative.
+    """A vector as sound: in each quarter second all its components set the loudness of twelve notes, in another mixture each time.
 
-    The components are repeated until the recording has its seconds; a vector with more of them lasts longer. NaN counts as 0.
+    So similar vectors sound alike throughout, and others differ in each part. NaN counts as 0.
     """
     if vector is None:
         return None
     v = np.nan_to_num(np.asarray(vector, dtype=float), posinf=0, neginf=0)
-    v = np.pad(v, (0, -len(v) % 8)).reshape(-1, 8) if len(v) else np.zeros((1, 8))
-    loud = np.concatenate([np.maximum(v, 0), np.maximum(-v, 0)], axis=1)
-    loud /= max(1e-9, loud.max())
-    tones = np.sin(2 * np.pi * NOTES[:, None] * np.arange(rate // 4) / rate)
-    slices = np.arange(max(len(v), int(seconds * 4))) % len(v)
-    return ((loud @ tones)[slices].ravel() * 2000).astype("<i2").tobytes()
+    loud = np.maximum(mixing(max(1, int(seconds * 4)), len(v)) @ v, 0)
+    loud /= np.maximum(loud.max(axis=1, keepdims=True), 1e-9)
+    return ((loud @ tones(rate)).ravel() * 2000).astype("<i2").tobytes()
 
 
 def sonify(embeddings: DataFrame, seconds: float = 6.0, rate: int = RATE) -> DataFrame:
@@ -212,8 +257,11 @@ def fingerprint_vectors(embeddings: DataFrame, seconds: float = 6.0, rate: int =
 
 
 def op7_chroma_prints(spark, sf_dir: str) -> DataFrame:
-    """(vec_id, fp, match_id, offset, error): the fingerprint of each recording, and in rows of their own the matches of those whose id is divisible by 100."""
+    """(vec_id, fp, block, matches): the fingerprint of each recording, and in rows of their own the matches of those whose id is divisible by 100.
+
+    matches holds (id, offset, error) in the order of ids, those of a range of 65,536 ids, the block, in a row.
+    """
     prints = materialize(fingerprint_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet")), "fingerprints")
     found = align_media(prints.filter("id % 100 = 0"), prints)
-    matches = found.select(F.col("query_id").alias("vec_id"), F.col("id").alias("match_id"), "offset", "error")
-    return prints.withColumnRenamed("id", "vec_id").unionByName(matches, allowMissingColumns=True)
+    found = found.groupBy(F.col("query_id").alias("vec_id"), F.floor(F.col("id") / 65536).alias("block")).agg(F.sort_array(F.collect_list(F.struct("id", "offset", "error"))).alias("matches"))
+    return prints.withColumnRenamed("id", "vec_id").unionByName(found, allowMissingColumns=True)
