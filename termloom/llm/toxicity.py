@@ -67,8 +67,10 @@ class Words:
 
 
 def words_of(texts: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
-    lower = pc.utf8_lower(texts.cast(pa.large_string()))
-    return (Words(b) for b in blocks(lower, LETTERS))
+    """Blocks of consecutive texts; they are put in lower case and hashed in small runs, for many tasks share a machine's memory."""
+    for k in range(0, len(texts), 256):
+        lower = pc.utf8_lower(texts.slice(k, 256).cast(pa.large_string()))
+        yield from (Words(b) for b in blocks(lower, LETTERS, 1 << 18))
 
 
 def position(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -153,19 +155,20 @@ def find_seeds(texts: pa.Array, toxic: np.ndarray, min_df: int, rate: float, pri
             yield ws, w, c, at + ws.row[w]
             at += len(ws.block.bounds) - 1
 
-    keys, bad, whole = [np.empty(0, U)], [np.empty(0, bool)], [np.empty(0, bool)]
+    keys, flags = [np.empty(0, U)], [np.empty(0, np.uint8)]
     for ws, w, c, row in entries():
         keys.append(ws.keys[w, c])
-        bad.append(toxic[row])
-        whole.append(c == 0)
-    terms, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-    inverse = inverse.astype(np.int32)
-    df, df_toxic = np.bincount(inverse, minlength=len(terms)), np.bincount(inverse, np.concatenate(bad), len(terms))
-    is_word = np.zeros(len(terms), dtype=bool)
-    is_word[inverse] = np.concatenate(whole)
-    del keys, inverse, bad, whole
-    ok = df >= min_df
-    terms, df, df_toxic, is_word = terms[ok], df[ok], df_toxic[ok], is_word[ok]
+        flags.append(toxic[row].astype(np.uint8) + 2 * (c == 0).astype(np.uint8))
+    keys, flags = np.concatenate(keys), np.concatenate(flags)
+    counted = []
+    for part in range(16):  # ranges of keys, so that no sort is large
+        mine = np.flatnonzero(keys >> U(60) == part)
+        own, inverse = np.unique(keys[mine], return_inverse=True)
+        n = [np.bincount(inverse, x, len(own)) for x in (None, flags[mine] & 1, flags[mine] >> 1)]
+        ok = n[0] >= min_df
+        counted.append((own[ok], n[0][ok], n[1][ok], n[2][ok] > 0))
+    terms, df, df_toxic, is_word = (np.concatenate(x) for x in zip(*counted))
+    del keys, flags
     z = log_odds(df_toxic, df - df_toxic, n_toxic, n_clean)
     a, b = (df_toxic + 0.5) / n_toxic, (df - df_toxic + 0.5) / n_clean
     odds = (1 - prior) / prior * n_toxic / n_clean
