@@ -142,6 +142,9 @@ def raw_records(conversations: DataFrame) -> DataFrame:
 
     Of the layouts that fit, conv_id chooses: one user turn and its answer fit flat layouts (with a system turn, those that
     have one), alternating turns fit exchanges, and anything fits lists of messages.
+
+    Turns are in the order of turn, then role, then text, so repeated ones stay and ties don't matter. Null roles and texts become JSON nulls; the turns with a null
+    conv_id are one conversation. An empty table gives no rows. Other columns are ignored. A conversation is one record, and so one row.
     """
     turns = F.array_sort(F.collect_list(F.struct("turn", "role", "text")))
     conv = conversations.groupBy("conv_id").agg(turns.alias("t"))

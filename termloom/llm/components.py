@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.session import materialize
+from termloom.session import materialize, release
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -22,12 +22,14 @@ def components(pairs: DataFrame) -> DataFrame:
     edges = links.union(near.select(F.col("x").alias("p"), F.col("m").alias("q")).filter("p <> q"))
     edges = materialize(edges.select(F.col("p").alias("x"), F.col("q").alias("y")).union(edges.select(F.col("q").alias("x"), F.col("p").alias("y"))).distinct(), "edges")
     labels = near.select(F.col("x").alias("id"), F.col("m").alias("label"))
+    before = None
     while True:
         around = edges.join(labels.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("l"))
         step = labels.join(around, "id", "left").select("id", F.col("label").alias("old"), F.least(F.col("label"), F.coalesce("l", "label")).alias("l"))
         target = labels.select(F.col("id").alias("l"), F.col("label").alias("ll"))
         new = materialize(step.join(target, "l", "left").select("id", F.least("l", F.coalesce("ll", "l")).alias("label"), "old"), "labels")
         changed = new.filter("label <> old").limit(1).count()
-        labels = new.select("id", "label")
+        release(before)  # new has what is needed of it
+        before, labels = new, new.select("id", "label")
         if not changed:
             return labels

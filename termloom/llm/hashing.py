@@ -11,7 +11,8 @@ import pyarrow as pa
 U = np.uint64
 _rng = np.random.default_rng(0x5EED)
 _VALUE = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
-_BASES = {"bytes": U(0x9E3779B97F4A7C15), "words": U(0xD6E8FEB86659FD93)}
+_VALUE2 = _rng.integers(1, 2**63, 256, dtype=U) * U(2) + U(1)
+_BASES = {"bytes": U(0x9E3779B97F4A7C15), "words": U(0xD6E8FEB86659FD93), "bytes2": U(0xA0761D6478BD642F), "words2": U(0xE7037ED1A0B428DB)}
 _powers: dict[str, tuple[np.ndarray, np.ndarray]] = {}
 
 #: Bytes that aren't ASCII white space, and those of words: ASCII letters, digits, underscore and all non-ASCII.
@@ -105,14 +106,22 @@ def bytes_of(block: Block, start: int, end: int) -> bytes:
     return block.data[start:end].tobytes()
 
 
+def second_hashes(block: Block) -> np.ndarray:
+    """Hashes of the words by other values and another base."""
+    up, down = powers("bytes2", len(block.data))
+    total = np.zeros(len(block.data) + 1, dtype=U)
+    np.cumsum(_VALUE2[block.data] * up, out=total[1:])
+    return mix((total[block.ends] - total[block.starts]) * down[block.starts])
+
+
 class Rolling:
-    """Hashes of word windows of any length in a block."""
+    """Hashes of word windows of any length in a block; second: by hashes that are independent of the first."""
 
-    def __init__(self, block: Block):
-        n = len(block.hashes)
-        up, self.down = powers("words", n + 1)
+    def __init__(self, block: Block, second: bool = False):
+        n, hashes = len(block.hashes), second_hashes(block) if second else block.hashes
+        up, self.down = powers("words2" if second else "words", n + 1)
         self.total = np.zeros(n + 1, dtype=U)
-        np.cumsum(block.hashes * up[:n], out=self.total[1:])
+        np.cumsum(hashes * up[:n], out=self.total[1:])
         self.bounds = block.bounds
 
     def spans(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:

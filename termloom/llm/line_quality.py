@@ -40,6 +40,11 @@ def op2_line_quality(spark, sf_dir: str) -> DataFrame:
     return line_frequency_rule(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "source", "text", "n_removed")
 
 
+def line_quality_low_limit(spark, sf_dir: str) -> DataFrame:
+    """The same with a limit of two documents, which small tables pass too."""
+    return line_frequency_rule(spark.read.parquet(f"{sf_dir}/documents.parquet"), max_docs=2).select("doc_id", "source", "text", "n_removed")
+
+
 SQL_OP2 = r"""
 WITH lines AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
@@ -53,3 +58,4 @@ SELECT d.doc_id, d.source, c.new_text AS text, CAST(c.n_removed AS BIGINT) AS n_
 FROM documents d JOIN cleaned c USING (doc_id)
 WHERE length(c.new_text) >= 0.3 * length(d.text) AND regexp_matches(c.new_text, '\S')
 """
+SQL_LOW_LIMIT = SQL_OP2.replace("> 20", "> 2")

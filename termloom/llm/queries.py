@@ -7,6 +7,7 @@ from termloom.llm import audio, bpe, chat, jaccard, line_quality, line_spread, p
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
     "op2_line_quality": line_quality.op2_line_quality,
+    "line_quality_low_limit": line_quality.line_quality_low_limit,
     "op3_jaccard_join": jaccard.op3_jaccard_join,
     "op4_bpe": bpe.op4_bpe,
     "bpe_roundtrip": bpe.bpe_roundtrip,
@@ -20,6 +21,7 @@ QUERIES = {
 SQL = {
     "bpe_roundtrip": bpe.SQL_ROUNDTRIP,
     "op2_line_quality": line_quality.SQL_OP2,
+    "line_quality_low_limit": line_quality.SQL_LOW_LIMIT,
     "op5_chat_turns": chat.SQL_OP5,
     "op6_line_spread": line_spread.SQL_OP6,
 }

@@ -13,45 +13,60 @@ from pyspark.sql import functions as F
 
 from termloom.llm.hashing import NOT_SPACE, Rolling, U, blocks, pack, unpack
 
-CELLS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("windows", pa.binary()), ("anchors", pa.binary())])
-CELL_TYPES = "part int, chunk int, windows binary, anchors binary"
-FOUND = pa.schema([("part_chunk", pa.int32()), ("hashes", pa.binary()), ("later", pa.binary())])
-FOUND_TYPES = "part_chunk int, hashes binary, later binary"
+CELLS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("windows", pa.binary()), ("anchors", pa.binary()), ("checks", pa.binary())])
+CELL_TYPES = "part int, chunk int, windows binary, anchors binary, checks binary"
+#: Partitions of an exchange of chunks.
+MOST_TASKS = 8192
+FOUND = pa.schema([("part_chunk", pa.int32()), ("hashes", pa.binary()), ("later", pa.binary()), ("checks", pa.binary())])
+FOUND_TYPES = "part_chunk int, hashes binary, later binary, checks binary"
 
 
 def distinct_in_rows(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Sorted hashes, each as often as rows have it."""
+    """Places of the hashes in their order, each as often as rows have it."""
     order = np.lexsort((rows, hashes))
     h, r = hashes[order], rows[order]
     new = np.ones(len(h), dtype=bool)
     new[1:] = (h[1:] != h[:-1]) | (r[1:] != r[:-1])
-    return h[new]
+    return order[new]
 
 
-def cells(chunk: int, windows: np.ndarray, anchors: np.ndarray, parts: int, bits: int) -> pa.Table:
-    """One row for each part of the hash range that has windows: sorted, and packed as differences.
+def cells(chunk: int, windows: np.ndarray, anchors: np.ndarray, parts: int, bits: int, checks: np.ndarray | None = None) -> pa.Table:
+    """One row for each part of the hash range that has windows: sorted, and packed as differences; checks are second hashes as they are.
 
     bits: as many high bits of a hash are kept; the part is found from the highest.
     """
     windows, anchors = windows >> U(64 - bits), anchors >> U(64 - bits)
     edges = np.array([(p << bits) // parts for p in range(1, parts)], dtype=U)
-    w, a = np.split(windows, np.searchsorted(windows, edges)), np.split(anchors, np.searchsorted(anchors, edges))
-    rows = [(p, chunk, pack(x), pack(y)) for p, (x, y) in enumerate(zip(w, a)) if len(x)]
+    cut = np.searchsorted(windows, edges)
+    w, a = np.split(windows, cut), np.split(anchors, np.searchsorted(anchors, edges))
+    c = [b""] * parts if checks is None else [x.tobytes() for x in np.split(checks, cut)]
+    rows = [(p, chunk, pack(x), pack(y), z) for p, (x, y, z) in enumerate(zip(w, a, c)) if len(x)]
     return pa.table([pa.array(c, type=t.type) for c, t in zip(zip(*rows), CELLS)], schema=CELLS) if rows else CELLS.empty_table()
 
 
+def checks_of(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [np.frombuffer(x, dtype=U) for x in column.to_pylist()]
+
+
 def repeated(table: pa.Table, need_anchor: bool) -> pa.Table:
     """The hashes of a part that two documents have: for each chunk those that it has, and of these the later ones.
 
-    Later: a lower chunk has it as well. With need_anchor only hashes that are anchors count.
+    Later: a lower chunk has it as well. With need_anchor only hashes that are anchors count; without, two windows
+    are the same if their second hashes are too.
     """
     chunks = table.column("chunk").to_numpy()
     order = np.argsort(chunks, kind="stable")
     lists = [unpack(x) for x in table.column("windows").to_pylist()]
-    every = np.sort(np.concatenate(lists))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    checks = [np.zeros(len(x), dtype=U) for x in lists] if need_anchor else checks_of(table.column("checks"))
+    every, check = np.concatenate(lists), np.concatenate(checks)
+    at = np.lexsort((check, every))
+    every, check = every[at], check[at]
+    same = np.flatnonzero((every[1:] == every[:-1]) & (check[1:] == check[:-1]))
+    twice, first = np.unique(every[same], return_index=True)
+    second = check[same][first]
     if need_anchor:
-        twice = np.intersect1d(twice, np.concatenate([unpack(x) for x in table.column("anchors").to_pylist()]))
+        ok = members(twice, np.sort(np.concatenate([unpack(x) for x in table.column("anchors").to_pylist()])))
+        twice, second = twice[ok], second[ok]
     seen = np.zeros(len(twice), dtype=bool)
     out = []
     for i in order:
@@ -59,10 +74,10 @@ def repeated(table: pa.Table, need_anchor: bool) -> pa.Table:
             break
         at = np.searchsorted(twice, lists[i])
         at[at == len(twice)] = 0
-        at = np.unique(at[twice[at] == lists[i]])
+        at = np.unique(at[(twice[at] == lists[i]) & (second[at] == checks[i])])
         if len(at):
             mine = twice[at]
-            out.append((int(chunks[i]), pack(mine), pack(mine[seen[at]])))
+            out.append((int(chunks[i]), pack(mine), pack(mine[seen[at]]), b"" if need_anchor else second[at].tobytes()))
             seen[at] = True
     return pa.table([pa.array(c, type=t.type) for c, t in zip(zip(*out), FOUND)], schema=FOUND) if out else FOUND.empty_table()
 
@@ -105,7 +120,7 @@ def find_repeats(docs: DataFrame, length: int, chunk_chars: int, part_words: int
     1. Documents go to chunks, ranges of the hash of doc_id. Each chunk sends the hashes of its reference blocks (every k-th
        window of k words, k being half of length) and of all rolling windows of k words, packed, to parts of the hash range.
     2. A part returns the anchors that two documents have; whoever shares length words has one inside.
-    3. A chunk extends each hit: the windows of length words around it go to parts again, with 64 bits, and those that
+    3. A chunk extends each hit: the windows of length words around it go to parts again, with two independent hashes of 64 bits, and those that
        two documents have come back. What overlaps or touches among them is a maximal repeat.
     """
     k = length // 2
@@ -115,7 +130,7 @@ def find_repeats(docs: DataFrame, length: int, chunk_chars: int, part_words: int
     bits = min(64, max(34, math.ceil(math.log2(max(2, chars / 5))) + 6))
     place = F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
     texts = docs.select("*", place.alias("__at"), F.floor(place * chunks / (1 << 31)).cast("int").alias("__chunk"))
-    texts = texts.repartition(chunks, "__chunk")
+    texts = texts.repartition(min(chunks, MOST_TASKS), "__chunk")  # then a task holds several chunks, one after another
 
     def scan(table: pa.Table) -> pa.Table:
         windows, anchors, at, rows = [], [], [], row_keys(table)
@@ -126,23 +141,28 @@ def find_repeats(docs: DataFrame, length: int, chunk_chars: int, part_words: int
             at.append(rows[block.first + row])
             anchors.append(hashes[(starts - block.bounds[row]) % k == 0])
         w, a = np.concatenate([np.empty(0, U), *windows]), np.concatenate([np.empty(0, U), *anchors])
-        return cells(table.column("__chunk")[0].as_py(), distinct_in_rows(w, np.concatenate([np.empty(0, np.int64), *at])), np.unique(a), parts, bits)
+        w = w[distinct_in_rows(w, np.concatenate([np.empty(0, np.int64), *at]))]
+        return cells(table.column("__chunk")[0].as_py(), w, np.unique(a), parts, bits)
 
     def widen(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
             return CELLS.empty_table()
-        anchors, rows, wide, at = joined(right.column("hashes").to_pylist()), row_keys(left), [], []
+        anchors, rows, wide, check, at = joined(right.column("hashes").to_pylist()), row_keys(left), [], [], []
         for block in blocks(left.column("text"), NOT_SPACE):
             roll = Rolling(block)
             starts = candidates(roll, anchors, k, length, bits)
             wide.append(roll.spans(starts, starts + length))
+            check.append(Rolling(block, second=True).spans(starts, starts + length) if len(starts) else starts.astype(U))
             at.append(rows[block.first + np.searchsorted(block.bounds, starts, side="right") - 1])
-        w = distinct_in_rows(np.concatenate(wide), np.concatenate(at))
-        return cells(left.column("__chunk")[0].as_py(), w, np.empty(0, U), parts, 64)
+        w, c = np.concatenate(wide), np.concatenate(check)
+        once = distinct_in_rows(w, np.concatenate(at))
+        return cells(left.column("__chunk")[0].as_py(), w[once], np.empty(0, U), parts, 64, c[once])
 
     def report(left: pa.Table, right: pa.Table) -> pa.Table:
-        twice, later = joined(right.column("hashes").to_pylist()), joined(right.column("later").to_pylist())
-        return emit(left, twice, later)
+        twice, later = (np.concatenate([np.empty(0, U), *(unpack(x) for x in right.column(c).to_pylist())]) for c in ("hashes", "later"))
+        order = np.argsort(twice)
+        checks = np.concatenate([np.empty(0, U), *checks_of(right.column("checks"))])
+        return emit(left, (twice[order], checks[order]), np.sort(later))
 
     def returned(sent: DataFrame, need_anchor: bool) -> DataFrame:
         return sent.groupBy("part").applyInArrow(lambda t: repeated(t, need_anchor), FOUND_TYPES)
@@ -159,7 +179,7 @@ def row_keys(table: pa.Table) -> np.ndarray:
     return codes.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def row_repeats(table: pa.Table, twice: np.ndarray, later: np.ndarray, length: int):
+def row_repeats(table: pa.Table, twice: tuple[np.ndarray, np.ndarray], later: np.ndarray, length: int):
     """For each row: the block, its first and end word, which words repeats cover, and which of these go.
 
     In a chunk, documents are ordered by the hash of doc_id, then doc_id; the first document that has a window keeps it,
@@ -177,8 +197,11 @@ def row_repeats(table: pa.Table, twice: np.ndarray, later: np.ndarray, length: i
     found = []
     for block in blocks(table.column("text"), NOT_SPACE):
         starts, hashes = Rolling(block).windows(length)
-        ok = members(hashes, twice)
-        starts, hashes = starts[ok], hashes[ok]
+        at = np.flatnonzero(members(hashes, twice[0]))
+        if len(at):
+            second = Rolling(block, second=True).spans(starts[at], starts[at] + length)
+            at = at[twice[1][np.searchsorted(twice[0], hashes[at])] == second]
+        starts, hashes = starts[at], hashes[at]
         row = block.first + np.searchsorted(block.bounds, starts, side="right") - 1
         found.append((block, starts, hashes, row))
     own = np.concatenate([np.empty(0, U), *[h for _, _, h, _ in found]])
@@ -208,8 +231,8 @@ def spans(mask: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 def repeated_spans(docs: DataFrame, length: int = 50, chunk_chars: int = 8_000_000, part_words: int = 4_000_000) -> DataFrame:
     """Maximal spans of documents whose every window of length words is, word for word, in another document too.
 
-    Words are runs of bytes that aren't ASCII white space, compared exactly; white space between them isn't
-    compared. Any passage of at least length words that two documents share is found (a repeat contains a whole
+    Words are runs of bytes that aren't ASCII white space, compared by 128 bits of hashes of the words' bytes (at 100 TB one chance match in some trillion such
+    corpora); white space between them isn't compared. Any passage of at least length words that two documents share is found (a repeat contains a whole
     reference block of either document); passages within one document alone aren't.
 
     Returns doc_id, start_word, n_words, start_byte, end_byte (UTF-8), n_removed: how many of the span's words
@@ -219,8 +242,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, chunk_chars: int = 8_000_0
     """
     schema = pa.schema([(c, pa.int64()) for c in ("doc_id", "start_word", "n_words", "start_byte", "end_byte", "n_removed")])
 
-    def emit(left: pa.Table, twice: np.ndarray, later: np.ndarray) -> pa.Table:
-        if not len(left) or not len(twice):
+    def emit(left: pa.Table, twice: tuple[np.ndarray, np.ndarray], later: np.ndarray) -> pa.Table:
+        if not len(left) or not len(twice[0]):
             return schema.empty_table()
         out = []
         for block, mask, gone in row_repeats(left, twice, later, length):
@@ -247,9 +270,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, chunk_chars: int = 8_000_0
     named = {c: c if c in ("doc_id", "text") else f"c{i}" for i, c in enumerate(docs.columns)}  # no name of docs can clash
     inner = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in named.items()])
 
-    def emit(left: pa.Table, twice: np.ndarray, later: np.ndarray) -> pa.Table:
+    def emit(left: pa.Table, twice: tuple[np.ndarray, np.ndarray], later: np.ndarray) -> pa.Table:
         plain = left.drop_columns(["__at", "__chunk"])
-        if not len(left) or not len(twice):
+        if not len(left) or not len(twice[0]):
             return plain
         texts, keep = [], []
         for block, _, gone in row_repeats(left, twice, later, length):

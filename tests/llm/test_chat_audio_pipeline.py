@@ -255,3 +255,29 @@ def test_run_is_the_stages(spark, tables):
     for _, stage in corpus_pipeline.STAGES:
         docs = corpus_pipeline.materialize(stage(spark, docs, tables), "again")
     assert got == Counter(tuple(r) for r in docs.collect())
+
+
+@pytest.mark.parametrize("stage", [s for s, _ in corpus_pipeline.STAGES])
+def test_stage_with_clashing_columns(spark, tables, stage):
+    """Awkward documents with columns of any names: the same decisions, and all columns but in the last stage."""
+    docs, run = fx.frame(spark, fx.awkward()), dict(corpus_pipeline.STAGES)[stage]
+    plain, wide = run(spark, docs, tables), run(spark, fx.with_clashes(docs), tables)
+    if stage != corpus_pipeline.STAGES[-1][0]:
+        assert wide.columns == fx.with_clashes(docs).columns
+    cols = plain.columns
+    assert Counter(tuple(r) for r in plain.collect()) == Counter(tuple(r[c] for c in cols) for r in wide.collect())
+
+
+def test_run_on_empty_tables(spark, tmp_path):
+    fx.frame(spark, []).write.parquet(f"file://{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").collect() == []
+
+
+def test_records_of_awkward_turns(spark):
+    rows = [(1, 1, "assistant", "b"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 0, None, None), (None, 0, "user", "x"), (None, 1, "assistant", "y"), (3, 0, "user", "long " * 50_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as raw", "2 as t", "3 as layout")
+    raw = chat.raw_records(df)
+    assert Counter(r["conv_id"] for r in raw.collect()) == Counter([1, 2, 3, None]) and chat.raw_records(df.limit(0)).collect() == []
+    got = Counter((r["conv_id"], r["role"], r["text"]) for r in chat.canonical_turns(raw).collect())
+    assert got == Counter([(1, "user", "a"), (1, "user", "a"), (1, "assistant", "b"), (2, None, None), (None, "user", "x"), (None, "assistant", "y"), (3, "user", "long " * 50_000)])

@@ -221,6 +221,18 @@ def test_repeated_spans(spark, chunk_chars):
     assert mine == by_doc and want
 
 
+def test_windows_of_equal_hashes_but_other_checks_are_different():
+    """A chance match of the first hash alone isn't a repeat."""
+    import numpy as np
+
+    cell = lambda chunk, h, c: substrings.cells(chunk, np.array(h, np.uint64), np.empty(0, np.uint64), 1, 64, np.array(c, np.uint64))
+    table = pa.concat_tables([cell(0, [5, 7, 9], [1, 2, 3]), cell(1, [5, 7, 7], [1, 4, 2]), cell(2, [7, 9], [6, 8])])
+    out = {r["part_chunk"]: r for r in substrings.repeated(table, False).to_pylist()}
+    hashes = {k: substrings.unpack(r["hashes"]).tolist() for k, r in out.items()}
+    assert hashes == {0: [5, 7], 1: [5, 7]} and substrings.unpack(out[1]["later"]).tolist() == [5, 7] and not out[0]["later"]
+    assert np.frombuffer(out[1]["checks"], np.uint64).tolist() == [1, 2]
+
+
 def test_remove_repeats_leaves_one_copy(spark):
     rows = fx.awkward()
     left = [tuple(r) for r in substrings.remove_repeats(fx.frame(spark, rows), 20, 5_000, 2_000).collect()]
