@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from termloom.functions import text as tx
 from termloom.operators import ranks
+from termloom.session import materialize, release
 
 STOP = tx.stop_words("english") + tx.stop_words("spanish")
 
@@ -111,7 +112,7 @@ def heaps_fit_loglog(curve: DataFrame) -> DataFrame:
 
 def heaps_fit(curve: DataFrame, k: float = 50.0, beta: float = 0.5, steps: int = 30) -> DataFrame:
     """Least squares of V = k n^beta by Gauss-Newton; each step is one aggregate of five sums."""
-    spark, curve = curve.sparkSession, curve.persist()
+    spark, curve = curve.sparkSession, materialize(curve.select("n", "v"), "curve")
     for _ in range(steps):
         p = F.pow(F.col("n").cast("double"), F.lit(beta))
         g, r = p * k * F.log("n"), F.col("v") - p * k
@@ -123,8 +124,11 @@ def heaps_fit(curve: DataFrame, k: float = 50.0, beta: float = 0.5, steps: int =
         k, beta = k + dk, beta + db
         if abs(dk) < 1e-9 * abs(k) and abs(db) < 1e-12:
             break
-    res = F.sum(F.pow(F.col("v") - k * F.pow(F.col("n").cast("double"), F.lit(beta)), 2)) / F.sum(F.pow(F.col("v") - F.lit(curve.agg(F.avg("v")).first()[0]), 2))
-    return curve.agg((1 - res).alias("r2")).select(F.round(F.lit(k), 6).alias("k"), F.round(F.lit(beta), 6).alias("beta"), F.round("r2", 6).alias("r2"))
+    mean = curve.agg(F.avg("v")).first()[0]
+    res = F.sum(F.pow(F.col("v") - k * F.pow(F.col("n").cast("double"), F.lit(beta)), 2)) / F.sum(F.pow(F.col("v") - F.lit(mean), 2))
+    r2 = curve.agg((1 - res).alias("r2")).first()[0]
+    release(curve)
+    return spark.createDataFrame([(float(k), float(beta), r2)], "k double, beta double, r2 double").select(*[F.round(c, 6).alias(c) for c in ("k", "beta", "r2")])
 
 
 def heaps_grid(curve: DataFrame) -> DataFrame:
