@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -28,13 +29,22 @@ def powers(kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
         base = int(_BASES[kind])
         both = []
         for b in (base, pow(base, -1, 2**64)):
-            p = np.full(max(n, 1 << 20), U(b))
+            p = np.full(max(2 * n, 1 << 16), U(b))
             p[0] = U(1)
             both.append(np.cumprod(p))
         have = _powers[kind] = (both[0], both[1])
     return have[0][:n], have[1][:n]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a Python worker stays for later tasks, beside others on its machine."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not the GNU C library
+        pass
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64 bits without visible structure."""
     x = x ^ (x >> U(30))
@@ -58,7 +68,7 @@ class Block(NamedTuple):
     total: np.ndarray
 
 
-def blocks(texts: pa.Array | pa.ChunkedArray, letters: np.ndarray, size: int = 1 << 20) -> Iterator[Block]:
+def blocks(texts: pa.Array | pa.ChunkedArray, letters: np.ndarray, size: int = 1 << 18) -> Iterator[Block]:
     """Blocks of about size bytes, at least one row each; a null text is an empty one."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

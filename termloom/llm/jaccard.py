@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.components import components
-from termloom.llm.hashing import ALNUM, Rolling, U, blocks, mix
+from termloom.llm.hashing import ALNUM, Rolling, U, blocks, give_back, mix
 from termloom.session import materialize
 
 COORDS = 64
@@ -86,6 +86,7 @@ def signature_batches(n: int, firsts: int, batch: int = 0):
                     ],
                     names=["doc_id", "h1", "h2", "words", "paths", "sig"],
                 )
+            give_back()
 
     return run
 
@@ -435,6 +436,8 @@ def verified(known: DataFrame, members: DataFrame, cand: DataFrame, threshold: f
         parts = [report(a=uniq[some], links=links[some].astype(np.int64)), report(p=uniq[label[child]], q=uniq[child]), report(near=[len(edge)], once=[int((edge == 1).sum())], twice=[int((edge == 2).sum())])]
         if pairs:
             parts.append(report(x=a[ok], y=b[ok], jaccard=score))
+        del sets, both
+        give_back()
         return pa.concat_tables(parts)
 
     types = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in REPORT)

@@ -11,7 +11,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.hashing import NOT_SPACE, Rolling, U, blocks, pack, unpack
+from termloom.llm.hashing import NOT_SPACE, Rolling, U, blocks, give_back, pack, unpack
 
 CELLS = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("windows", pa.binary()), ("anchors", pa.binary()), ("checks", pa.binary())])
 CELL_TYPES = "part int, chunk int, windows binary, anchors binary, checks binary"
@@ -165,11 +165,18 @@ def find_repeats(docs: DataFrame, length: int, chunk_chars: int, part_words: int
         return emit(left, (twice[order], checks[order]), np.sort(later))
 
     def returned(sent: DataFrame, need_anchor: bool) -> DataFrame:
-        return sent.groupBy("part").applyInArrow(lambda t: repeated(t, need_anchor), FOUND_TYPES)
+        return sent.groupBy("part").applyInArrow(lambda t: tidy(repeated, t, need_anchor), FOUND_TYPES)
 
-    hits = returned(texts.groupBy("__chunk").applyInArrow(scan, CELL_TYPES), True)
-    wide = texts.groupBy("__chunk").cogroup(hits.groupBy("part_chunk")).applyInArrow(widen, CELL_TYPES)
-    return texts.groupBy("__chunk").cogroup(returned(wide, False).groupBy("part_chunk")).applyInArrow(report, out)
+    hits = returned(texts.groupBy("__chunk").applyInArrow(lambda t: tidy(scan, t), CELL_TYPES), True)
+    wide = texts.groupBy("__chunk").cogroup(hits.groupBy("part_chunk")).applyInArrow(lambda a, b: tidy(widen, a, b), CELL_TYPES)
+    return texts.groupBy("__chunk").cogroup(returned(wide, False).groupBy("part_chunk")).applyInArrow(lambda a, b: tidy(report, a, b), out)
+
+
+def tidy(work: Callable, *args) -> pa.Table:
+    """A group's result, after which its memory is given back."""
+    out = work(*args)
+    give_back()
+    return out
 
 
 def row_keys(table: pa.Table) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.hashing import U, Block, blocks, bytes_of, mix, span_hashes
+from termloom.llm.hashing import U, Block, blocks, bytes_of, give_back, mix, span_hashes
 from termloom.llm.jaccard import grams
 from termloom.session import materialize
 
@@ -70,7 +70,8 @@ def words_of(texts: pa.Array | pa.ChunkedArray) -> Iterator[Words]:
     """Blocks of consecutive texts; they are put in lower case and hashed in small runs, for many tasks share a machine's memory."""
     for k in range(0, len(texts), 256):
         lower = pc.utf8_lower(texts.slice(k, 256).cast(pa.large_string()))
-        yield from (Words(b) for b in blocks(lower, LETTERS, 1 << 18))
+        yield from (Words(b) for b in blocks(lower, LETTERS))
+    give_back()
 
 
 def position(keys: np.ndarray, known: np.ndarray) -> np.ndarray:
