@@ -9,6 +9,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,8 +21,12 @@ COORDS = 64
 #: Columns of candidates: a pair (a, b) found in a run, or a row (a) of a bucket that goes on, with the coordinates used so far as bits.
 FOUND = ["a", "b", "run", "path", "inst", "sig", "used"]
 FOUND_TYPES = "a long, b long, run int, path long, inst int, sig binary, used long"
-#: inst of the rows of a bucket that further coordinates didn't make small.
+#: inst of the rows of a bucket that further coordinates didn't make small, and of groups.
 TILED = -1
+#: A thick set of over so many times limit rows is a group: its rows are listed instead of its pairs.
+GROUP = 4
+#: Pairs that a task holds at once.
+HELD = 1 << 20
 
 
 def seeds(batch: int) -> tuple[np.ndarray, ...]:
@@ -100,10 +105,16 @@ def least_equal(threshold: float, miss: float) -> int:
 
 
 class Paths:
-    """Candidates within buckets: small ones are compared pair by pair, large ones are split on."""
+    """Candidates within buckets: small ones are compared pair by pair, large ones are split on.
 
-    def __init__(self, threshold: float, limit: int, sketch_miss: float = 0.001):
+    grouped: a large set of rows that are like their whole bucket is kept as a group, that is as rows, since its pairs grow with its square.
+    """
+
+    def __init__(self, threshold: float, limit: int, grouped: bool = False, sketch_miss: float = 0.001):
         self.least = least_equal(threshold, sketch_miss)
+        self.least_group = GROUP * limit if grouped else math.inf
+        self.held = 0
+        self.groups: list[tuple[int, np.ndarray]] = []
         self.dense, self.limit = 0.9 * threshold, limit
         self.branches = max(1, round(1 / threshold))
         self.left: list[np.ndarray] = []
@@ -114,8 +125,23 @@ class Paths:
         for at in range(0, len(i), 1 << 16):
             a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
             ok = (sig[a] == sig[b]).sum(axis=1) >= self.least
-            self.left.append(a[ok])
-            self.right.append(b[ok])
+            self.keep(a[ok], b[ok])
+
+    def keep(self, i: np.ndarray, j: np.ndarray) -> None:
+        self.left.append(i)
+        self.right.append(j)
+        self.held += len(i)
+
+    def group(self, sig: np.ndarray, rows: np.ndarray, thick: np.ndarray, seed: int) -> None:
+        """Keep the thick rows as a group. Others join it if they may be similar to over limit of them, else their pairs with it are kept."""
+        mine, rest, joins = rows[thick], np.flatnonzero(~thick), thick.copy()
+        for k in range(0, len(rest), step := max(1, (1 << 16) // len(mine))):
+            part = rest[k : k + step]
+            ok = (sig[rows[part]][:, None, :] == sig[mine][None, :, :]).sum(axis=2) >= self.least
+            joins[part] = many = ok.sum(axis=1) > self.limit
+            x, y = np.nonzero(ok & ~many[:, None])
+            self.keep(rows[part[x]], mine[y])
+        self.groups.append((seed, rows[joins]))
 
     def small(self, sig: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
         """All pairs of each of many small buckets, which are runs of rows."""
@@ -126,8 +152,11 @@ class Paths:
                 part = at[k : k + step]
                 self.compare(sig, (part[:, None] + x).ravel(), (part[:, None] + y).ravel())
 
-    def large(self, sig: np.ndarray, rows: np.ndarray, seed: int, used: tuple[int, ...]) -> None:
-        """Split recursively on sampled coordinates beyond those used; a row that is like its whole bucket is compared with it."""
+    def large(self, sig: np.ndarray, rows: np.ndarray, seed: int, used: tuple[int, ...]) -> Iterator[None]:
+        """Split recursively on sampled coordinates beyond those used; a row that is like its whole bucket is compared with it.
+
+        Stops each time that many pairs are held.
+        """
         stack = [(rows, seed, used)]
         while stack:
             rows, seed, used = stack.pop()
@@ -140,12 +169,17 @@ class Paths:
             else:
                 thick = np.ones(len(rows), dtype=bool)
             mine = np.flatnonzero(thick)
+            if len(mine) > self.least_group:
+                self.group(sig, rows, thick, seed)
+                mine = mine[:0]
             rank = np.full(len(rows), len(rows))
             rank[mine] = np.arange(len(mine))
             for k in range(0, len(mine), step := max(1, (1 << 19) // max(1, len(rows)))):
                 part = mine[k : k + step]
                 x, y = np.nonzero(rank[None, :] > rank[part][:, None])
                 self.compare(sig, rows[part[x]], rows[y])
+                if self.held > HELD:
+                    yield
             rest = rows[~thick]
             if len(rest) < 2:
                 continue
@@ -161,7 +195,7 @@ class Paths:
     def take(self) -> tuple[np.ndarray, np.ndarray]:
         i = np.concatenate(self.left) if self.left else np.empty(0, dtype=np.int64)
         j = np.concatenate(self.right) if self.right else np.empty(0, dtype=np.int64)
-        self.left, self.right = [], []
+        self.left, self.right, self.held = [], [], 0
         return i, j
 
 
@@ -183,15 +217,15 @@ def distinct_pairs(x: np.ndarray, y: np.ndarray, run: np.ndarray) -> pa.RecordBa
     return as_batch(a=both[:, 0], b=both[:, 1], run=both[:, 2].astype(np.int32))
 
 
-def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int, levels: int = 3):
+def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int, levels: int = 3, grouped: bool = False):
     """A mapInArrow function over rows sorted by bucket; gives pairs (a, b, run), and the rows of buckets above task_rows again.
 
     Such a bucket goes on by each of 1 / threshold further coordinates, as large ones within a task do; one that levels
-    of these didn't make small goes to tiles, where all its pairs are compared.
+    of these didn't make small goes to tiles, where all its pairs are compared. Groups (see Paths) come as rows like those of tiles.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = Paths(threshold, limit)
+        paths = Paths(threshold, limit, grouped)
 
         def coords_of(used) -> tuple[int, ...]:
             return tuple(c for c in range(COORDS) if int(used) >> c & 1)
@@ -209,7 +243,16 @@ def bucket_batches(threshold: float, limit: int, firsts: int, task_rows: int, le
                     continue
                 # the parts of a bucket that was sent on draw their own coordinates
                 again = used[s] != 1 << int(inst[s])
-                paths.large(sig, np.arange(s, s + n), int(path[s]) if again else int(inst[s]), coords_of(used[s]))
+                for _ in paths.large(sig, np.arange(s, s + n), int(path[s]) if again else int(inst[s]), coords_of(used[s])):
+                    i, j = paths.take()
+                    yield distinct_pairs(ids[i], ids[j], inst[i] // paths.branches)
+                for seed, rows in paths.groups:
+                    name = mix(path[s : s + 1].view(U) ^ mix(np.array([seed & 0xFFFFFFFFFFFFFFFF], dtype=U))).view(np.int64)
+                    yield as_batch(a=ids[rows], path=np.repeat(name, len(rows)), inst=np.full(len(rows), TILED, dtype=np.int32))
+                paths.groups = []
+                if paths.held > HELD:
+                    i, j = paths.take()
+                    yield distinct_pairs(ids[i], ids[j], inst[i] // paths.branches)
             i, j = paths.take()
             yield distinct_pairs(ids[i], ids[j], inst[i] // paths.branches)
 
@@ -316,10 +359,13 @@ def text_classes(signed: DataFrame) -> DataFrame:
     return once.groupBy("h1", "h2", "words").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), *first)
 
 
-def candidates(classes: DataFrame, threshold: float, firsts: int, limit: int, task_rows: int, block: int) -> DataFrame:
-    """(a, b, hits): pairs of texts that met in a bucket, and in how many runs."""
+def candidates(classes: DataFrame, threshold: float, firsts: int, limit: int, task_rows: int, block: int, groups: list[DataFrame] | None = None) -> DataFrame:
+    """(a, b, hits): pairs of texts that met in a bucket, and in how many runs.
+
+    Given a list of groups, those of this batch (path, a) are added to it, and their pairs aren't listed.
+    """
     todo = classes.select(F.posexplode("paths").alias("inst", "path"), F.col("rep").alias("a"), "sig").withColumn("used", F.expr("shiftleft(1L, inst)"))
-    found, tiled, find = [], [], bucket_batches(threshold, limit, firsts, task_rows)
+    found, tiled, find = [], [], bucket_batches(threshold, limit, firsts, task_rows, grouped=groups is not None)
     while True:  # as often as buckets are sent on, that is levels times
         rows = todo.select("path", "a", "inst", "sig", "used").repartition("path").sortWithinPartitions("path")
         out = materialize(rows.mapInArrow(find, FOUND_TYPES), "candidates")
@@ -329,10 +375,17 @@ def candidates(classes: DataFrame, threshold: float, firsts: int, limit: int, ta
         if not todo.limit(1).count():
             break
     tiles = reduce(DataFrame.union, tiled)
+    if groups is not None:
+        groups.append(tiles.select("path", "a").distinct())
+        return met_pairs(found)
     sides = tiles.groupBy("path").agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     mine = tiles.join(sides, "path").withColumn("block", F.pmod(F.xxhash64("a"), F.col("n")).cast("int"))
     both = mine.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("o")).select("path", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "a", "run", "sig")
     found.append(both.groupBy("path", "i", "j").applyInArrow(tile_pairs(threshold), FOUND_TYPES).select("a", "b", "run"))
+    return met_pairs(found)
+
+
+def met_pairs(found: list[DataFrame]) -> DataFrame:
     met = reduce(DataFrame.union, found).groupBy("a", "b").agg(F.bit_or(F.expr("shiftleft(1L, run)")).alias("runs"))
     return materialize(met.select("a", "b", F.bit_count("runs").cast("int").alias("hits")), "pairs")
 
@@ -357,11 +410,18 @@ def similar_texts(
     key = ["h1", "h2", "words"]
     members = signed.select("doc_id", *key).distinct().join(classes.select(*key, "rep", "weight"), key).select("doc_id", "rep", "weight")
     members = materialize(members, "members")
-    met, batch = None, 0
+    length = classes.groupBy(F.col("rep").alias("a")).agg(F.sum("words").alias("words"))
+    met, batch, groups = None, 0, []
     while True:
-        new = candidates(classes, threshold, firsts, limit, task_rows, block)
+        new = candidates(classes, threshold, firsts, limit, task_rows, block, groups)
         met = new if met is None else met.union(new).groupBy("a", "b").agg(F.sum("hits").cast("int").alias("hits"))
-        out = materialize(verified(known, members, met, threshold, n, pairs), "verified")
+        grouped = materialize(reduce(DataFrame.union, groups), "groups")
+        if grouped.limit(1).count():
+            placed, meet = clumps(grouped, length)
+            out = verified(known, members, outside(met, placed, meet), threshold, n, pairs).union(verified_clumps(known, members, placed, meet, threshold, n, pairs))
+        else:
+            out = verified(known, members, met, threshold, n, pairs)
+        out = materialize(out, "verified")
         batch += 1
         near, once, twice = out.filter("near is not null").agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("near", "once", "twice")]).first()
         if missed(near, once, twice, runs * batch) <= 1 - target_recall:
@@ -371,6 +431,7 @@ def similar_texts(
 
 #: What a tile reports: a document's links, an edge of a spanning forest, how often runs met pairs near the threshold, a pair.
 REPORT = pa.schema([(c, pa.int64()) for c in ("a", "links", "p", "q", "near", "once", "twice", "x", "y")] + [("jaccard", pa.float64())])
+REPORT_TYPES = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in REPORT)
 
 
 def report(**columns) -> pa.Table:
@@ -440,8 +501,123 @@ def verified(known: DataFrame, members: DataFrame, cand: DataFrame, threshold: f
         give_back()
         return pa.concat_tables(parts)
 
-    types = ", ".join(f"{f.name} {'double' if f.type == pa.float64() else 'long'}" for f in REPORT)
-    return tiled.groupBy("cell", "i", "j").cogroup(texts.groupBy("c", "ci", "cj")).applyInArrow(check, types)
+    return tiled.groupBy("cell", "i", "j").cogroup(texts.groupBy("c", "ci", "cj")).applyInArrow(check, REPORT_TYPES)
+
+
+def clumps(groups: DataFrame, length: DataFrame, side: int = 1024, block_words: int = 1_000_000) -> tuple[DataFrame, DataFrame]:
+    """placed(a, clump, block): each text of a group in one clump, by the least text of any of its groups; meet(c, d, nc, nd): clumps
+    of one group, c <= d, and how many blocks they have, of about side texts and block_words words at most.
+
+    All pairs of the texts of two clumps that meet are compared, so all pairs of a group are, and each once.
+    """
+    least = groups.groupBy("path").agg(F.min("a").alias("least"))
+    own = groups.join(least, "path").groupBy("a").agg(F.min("least").alias("clump"))
+    own = materialize(own.join(length, "a"), "clumps")
+    sides = own.groupBy("clump").agg(F.ceil(F.greatest(F.count("*") / side, F.sum("words") / block_words)).cast("int").alias("n"))
+    placed = materialize(own.join(sides, "clump").select("a", "clump", F.pmod(F.xxhash64("a"), F.col("n")).cast("int").alias("block"), "n"), "placed")
+    inside = groups.join(placed, "a").select("path", "clump", "n").distinct()
+    c, d = inside.select("path", F.col("clump").alias("c"), F.col("n").alias("nc")), inside.select("path", F.col("clump").alias("d"), F.col("n").alias("nd"))
+    return placed, materialize(c.join(d, "path").filter("c <= d").select("c", "d", "nc", "nd").distinct(), "meet")
+
+
+def outside(met: DataFrame, placed: DataFrame, meet: DataFrame) -> DataFrame:
+    """The pairs of met that clumps don't have."""
+    a, b = placed.select("a", F.col("clump").alias("ca")), placed.select(F.col("a").alias("b"), F.col("clump").alias("cb"))
+    both = met.join(a, "a", "left").join(b, "b", "left").withColumns({"c": F.least("ca", "cb"), "d": F.greatest("ca", "cb")})
+    both = both.withColumns({c: F.when(F.col("ca").isNotNull() & F.col("cb").isNotNull(), F.col(c)) for c in ("c", "d")})
+    return both.join(meet.select("c", "d"), ["c", "d"], "left_anti").select("a", "b", "hits")
+
+
+def overlaps_between(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each left set with each right one: grams of few sets pair by pair, others by products of incidence matrices."""
+    n, m = len(left), len(right)
+    out = np.zeros((n, m), dtype=np.float32)
+    owned = []
+    every = [np.concatenate(sets) for sets in (left, right)]
+    common = np.intersect1d(*every)
+    if not len(common):
+        return out
+    for sets, g in zip((left, right), every):
+        at = np.searchsorted(common, g)
+        at[at == len(common)] = 0
+        ok = common[at] == g
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])[ok]
+        order = np.argsort(at[ok], kind="stable")
+        count = np.bincount(at[ok], minlength=len(common))
+        owned.append((owner[order], np.cumsum(count) - count, count))
+    (lo, ls, lc), (ro, rs, rc) = owned
+    size = lc * rc
+    thin = np.flatnonzero(size * 64 < n * m)
+    for k in np.split(thin, np.flatnonzero(np.diff(np.cumsum(size[thin]) >> 21)) + 1):
+        of = np.repeat(k, size[k])
+        i = np.arange(len(of)) - np.repeat(np.cumsum(size[k]) - size[k], size[k])
+        pair = lo[ls[of] + i // rc[of]] * np.int64(m) + ro[rs[of] + i % rc[of]]
+        out += np.bincount(pair, minlength=n * m).reshape(n, m)
+    wide = np.flatnonzero(size * 64 >= n * m)
+    for k in range(0, len(wide), 1024):
+        some = wide[k : k + 1024]
+        matrices = []
+        for rows, (owner, start, count) in zip((n, m), owned):
+            col = np.repeat(np.arange(len(some)), count[some])
+            i = np.arange(len(col)) - np.repeat(np.cumsum(count[some]) - count[some], count[some])
+            x = np.zeros((rows, len(some)), dtype=np.float32)
+            x[owner[start[some][col] + i], col] = 1
+            matrices.append(x)
+        out += matrices[0] @ matrices[1].T
+    return out
+
+
+def verified_clumps(known: DataFrame, members: DataFrame, placed: DataFrame, meet: DataFrame, threshold: float, n: int, pairs: bool) -> DataFrame:
+    """Exact similarities of all pairs of clumps that meet, block by block, as rows of REPORT like those of verified; a text is sent once for each block it meets.
+
+    Runs don't count here: nothing is missed.
+    """
+    at, blocks_of = placed.select(F.col("a").alias("doc_id"), "clump", "block"), lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = meet.join(at.withColumnRenamed("clump", "c"), "c").select("c", "d", F.col("block").alias("i"), blocks_of("nd").alias("j"), "doc_id", F.lit(0).alias("side"))
+    right = meet.join(at.withColumnRenamed("clump", "d"), "d").select("c", "d", blocks_of("nc").alias("i"), F.col("block").alias("j"), "doc_id", F.lit(1).alias("side"))
+    wanted = left.filter("c < d or i <= j").union(right.filter("c < d or i < j"))
+    weight = members.filter("doc_id = rep").groupBy("doc_id").agg(F.sum("weight").alias("weight"))
+    texts = wanted.hint("merge").join(weight.hint("merge"), "doc_id").join(known, "doc_id")
+
+    def check(table: pa.Table) -> pa.Table:
+        alone = table.column("c")[0].as_py() == table.column("d")[0].as_py() and table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        sides = []
+        for side in (0,) if alone else (0, 1):
+            mine = table.filter(pa.compute.equal(table.column("side"), side)).sort_by("doc_id")
+            uniq, first = np.unique(mine.column("doc_id").to_numpy(), return_index=True)
+            sides.append((uniq, first, mine.column("weight").to_numpy()[first], gram_sets(mine.column("text"), n)))
+        (a, first_a, weight_a, left), (b, first_b, weight_b, right) = sides[0], sides[-1]
+        if not len(a) or not len(b):
+            return REPORT.empty_table()
+        score = overlaps_between(left, right).astype(np.float64)
+        score /= np.maximum(1.0, np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in right])[None, :] - score)
+        if len(a) < len(left):  # rows that repeat an id: the most similar texts count
+            score = np.maximum.reduceat(score, first_a, axis=0)
+        if len(b) < len(right):
+            score = np.maximum.reduceat(score, first_b, axis=1)
+        if alone:
+            np.fill_diagonal(score, 0)
+        ok = score >= threshold
+        x, y = np.nonzero(np.triu(ok) if alone else ok)
+        if not len(x):
+            return REPORT.empty_table()
+        ids, links, y_at = a, ok @ weight_b, y
+        if not alone:
+            ids, links, y_at = np.concatenate((a, b)), np.concatenate((links, weight_a @ ok)), y + len(a)
+        order = np.argsort(ids)
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids))
+        ids, links = ids[order], links[order]
+        label = forest(len(ids), rank[x], rank[y_at])
+        some, child = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(ids)))
+        parts = [report(a=ids[some], links=links[some].astype(np.int64)), report(p=ids[label[child]], q=ids[child])]
+        if pairs:
+            parts.append(report(x=np.minimum(a[x], b[y]), y=np.maximum(a[x], b[y]), jaccard=score[x, y]))
+        del sides, left, right, score, ok
+        give_back()
+        return pa.concat_tables(parts)
+
+    return texts.groupBy("c", "d", "i", "j").applyInArrow(check, REPORT_TYPES)
 
 
 def linked(texts: Texts, out: DataFrame) -> DataFrame:

@@ -122,6 +122,35 @@ def test_jaccard_join_of_one_large_group(spark):
     assert set(got) == set(want)
 
 
+def test_a_large_group_of_near_copies_is_not_written_as_pairs(spark, monkeypatch):
+    """600 near copies have 179,700 pairs; what is written on the way grows with the texts. Links and classes stay whole."""
+    plain, written = jaccard.materialize, {}
+
+    def counted(df, name):
+        out = plain(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "materialize", counted)
+    rows = [(i, " ".join(fx.words(200, 1)[: 140 + i % 60] + [f"own{i}"] + fx.words(9, 2 + i % 7)), "en", "s", 1) for i in range(600)]
+    rows += [(1000 + i, " ".join(fx.words(150, 100 + i // 2, 10**6) + [f"own{i}"]), "en", "s", 1) for i in range(40)]
+    want = links_by_hand(fx.jaccard_pairs(rows, 0.5))
+    assert sum(n for _, n in want.values()) > 300_000
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(fx.frame(spark, rows)).collect()}
+    assert got == want
+    assert all(written[name] < 100_000 for name in ("candidates", "pairs", "tiles", "groups"))
+
+
+@pytest.mark.parametrize("block_sets", [(7, 5), (200, 180)])
+def test_overlaps_between_equal_set_intersections(block_sets):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    left, right = ([np.unique(rng.zipf(1.3, 80).astype(np.uint64)) for _ in range(k)] for k in block_sets)
+    got = jaccard.overlaps_between(left, [*right, np.empty(0, np.uint64)])
+    assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] + [0] for x in left]
+
+
 def test_a_bucket_of_equal_signatures_goes_to_tiles(spark):
     """Splits can't make it smaller: it must end, and keep each pair."""
     same_start = fx.words(3_000, 1, 10**6)
