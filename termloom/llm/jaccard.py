@@ -332,7 +332,7 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     np.fill_diagonal(out, 0)
     if len(col):
         col = np.cumsum(np.concatenate(([0], np.diff(col) != 0)))
-        step = max(256, (1 << 22) // len(sets))
+        step = min(int(col[-1]) + 1, max(256, (1 << 22) // len(sets)))  # most tiles have few texts, and few grams in common
         for at in range(0, int(col[-1]) + 1, step):
             lo, hi = np.searchsorted(col, [at, at + step])
             m = np.zeros((len(sets), step), dtype=np.float32)

@@ -151,6 +151,21 @@ def test_overlaps_between_equal_set_intersections(block_sets):
     assert got.tolist() == [[len(np.intersect1d(x, y)) for y in right] + [0] for x in left]
 
 
+def test_overlaps_of_few_texts_take_little_room():
+    """Most tiles have two texts; their matrix once had two million columns."""
+    import tracemalloc
+
+    import numpy as np
+
+    sets = [np.arange(500, dtype=np.uint64), np.arange(100, 700, dtype=np.uint64)]
+    tracemalloc.start()
+    try:
+        assert jaccard.overlaps(sets)[0, 1] == 400
+        assert tracemalloc.get_traced_memory()[1] < 1_000_000
+    finally:
+        tracemalloc.stop()
+
+
 def test_a_bucket_of_equal_signatures_goes_to_tiles(spark):
     """Splits can't make it smaller: it must end, and keep each pair."""
     same_start = fx.words(3_000, 1, 10**6)
