@@ -116,10 +116,16 @@ def graph_open(t):
 
 
 def supply_edges(t):
-    out = t("lineitem").select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst")).distinct()
+    keys = t("lineitem").select("l_partkey", "l_suppkey").distinct()
+    out = keys.select(F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("src"), F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("dst"))
     return out.union(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def supply_nodes(edges):
+    """Each node of the supply graph is the source of an edge."""
+    return edges.select(F.col("src").alias("url")).distinct()
+
+
 def ends(edges):
     return edges.select(F.col("src").alias("url")).union(edges.select("dst")).distinct()
 
@@ -171,7 +177,7 @@ def pagerank(t):
 @query("q_pagerank_supply", f"WITH {SUPPLY}, {pagerank_sql()} SELECT url, round(r, 8) AS pagerank FROM r{STEPS}")
 def pagerank_supply(t):
     edges = materialize(supply_edges(t), "supply")
-    return graph.pagerank(ends(edges), edges, steps=STEPS, tol=None).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(supply_nodes(edges), edges, steps=STEPS, tol=None).withColumn("pagerank", F.round("pagerank", 8))
 
 
 #: On the supply graph rank swings between the two sides, and STEPS steps are far from the end. The tolerance is a thousandth of the operator's:
@@ -183,7 +189,7 @@ END = {"steps": 200, "tol": 1e-9}
 def pagerank_supply_converged(t):
     """q_pagerank_supply iterated to convergence, which SQL of a fixed number of steps can't repeat."""
     edges = materialize(supply_edges(t), "supply")
-    return graph.pagerank(ends(edges), edges, **END).withColumn("pagerank", F.round("pagerank", 8))
+    return graph.pagerank(supply_nodes(edges), edges, **END).withColumn("pagerank", F.round("pagerank", 8))
 
 
 @query("q_hits", f"WITH {OPEN}, {hits_sql()} SELECT url, round(a{STEPS}.v, 6) AS authority, round(h_end.v, 6) AS hub FROM a{STEPS} JOIN h_end USING (url)")
@@ -201,9 +207,10 @@ SELECT o.ra AS k, round(100.0::DOUBLE * sum(coalesce(n.n, 0)) OVER (ORDER BY o.r
 )
 def rank_overlap(t):
     edges = materialize(supply_edges(t), "supply")
-    nodes = materialize(ends(edges), "nodes")
-    a = graph.pagerank(nodes, edges, steps=STEPS, tol=None)
-    scored = materialize(a.join(graph.hits(nodes, edges, steps=STEPS, tol=None), "url"), "scored")
+    g = graph.Packed(supply_nodes(edges), edges)
+    a = graph.pagerank(g.nodes, edges, steps=STEPS, tol=None, packed=g)
+    scored = materialize(a.join(graph.hits(g.nodes, edges, steps=STEPS, tol=None, packed=g), "url"), "scored")
+    g.release()
     return graph.rank_overlap(scored, "pagerank", "authority")
 
 
@@ -211,9 +218,10 @@ def rank_overlap(t):
 def rank_overlap_converged(t):
     """q_rank_overlap of ranks iterated to convergence, ordered by twelve places of them."""
     edges = materialize(supply_edges(t), "supply")
-    nodes = materialize(ends(edges), "nodes")
-    scored = graph.pagerank(nodes, edges, **END).join(graph.hits(nodes, edges), "url")
-    return graph.rank_overlap(materialize(scored, "scored"), "pagerank", "authority")
+    g = graph.Packed(supply_nodes(edges), edges)
+    scored = materialize(graph.pagerank(g.nodes, edges, **END, packed=g).join(graph.hits(g.nodes, edges, packed=g), "url"), "scored")
+    g.release()
+    return graph.rank_overlap(scored, "pagerank", "authority")
 
 
 # Crawls of the snapshot from all its pages

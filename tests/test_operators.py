@@ -341,6 +341,25 @@ def test_pagerank_and_hits(spark):
     assert {r["authority"] for r in graph.hits(nodes, edges.limit(0)).collect()} == {0}
 
 
+def test_sums_over_neighbours_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "SPAN", 4)
+    monkeypatch.setattr(graph, "CHUNK", 8)
+    rng = random.Random(3)
+    rows = [(f"n{rng.randrange(30)}", f"n{rng.randrange(33)}") for _ in range(120)]  # some twice, some to nodes that aren't there
+    g = graph.Packed(spark.createDataFrame([(f"n{i}",) for i in range(30)], "url string"), spark.createDataFrame(rows, "src string, dst string"))
+    ids = {r["url"]: r["id"] for r in g.nodes.collect()}
+    assert sorted(ids.values()) == list(range(30))
+    into, out, vector = np.zeros(30), np.zeros(30), np.arange(30.0) ** 2
+    for a, b in set(rows):
+        if b in ids:
+            into[ids[b]] += vector[ids[a]]
+            out[ids[a]] += vector[ids[b]]
+    assert np.allclose(g.sums(vector, "d"), into) and np.allclose(g.sums(vector, "s"), out)
+    degree = Counter(a for a, _ in set(rows))
+    assert all(g.degrees()[ids[x]] == degree[x] for x in ids)
+    assert "Exchange" not in g.chunks("d")._jdf.queryExecution().toString()  # a step shuffles nothing
+
+
 def test_supply_ranks_have_converged(spark, tmp_path):
     rows = [(p, s) for p in range(12) for s in range(3) if (p + s) % 3 < 2 and (p, s) != (1, 0)]
     spark.createDataFrame(rows, "l_partkey long, l_suppkey long").write.parquet(f"file://{tmp_path}/lineitem.parquet")
