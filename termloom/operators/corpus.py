@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,15 +149,49 @@ def language_texts(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", tx.letters_only(F.col("text")).alias("s"))
 
 
-def _letters(s: Column) -> Column:
-    return F.filter(F.split(s, ""), lambda x: x != "")
+#: Letters that are counted at once in a task.
+LETTERS_AT_ONCE = 1 << 20
+_CODES = np.full(max(map(ord, tx.ALPHABET)) + 1, 0)
+_CODES[[ord(c) for c in tx.ALPHABET]] = np.arange(len(tx.ALPHABET))
 
 
-def _pairs(s: Column) -> Column:
-    """Neighbouring letters, in one pass over the letters' array."""
-    letters = _letters(s)
-    n = F.greatest(F.size(letters) - 1, F.lit(0))
-    return F.zip_with(F.slice(letters, 1, n), F.slice(letters, 2, n), lambda a, b: F.concat(a, b))
+def _grams(batches, order: int):
+    """For runs of rows of (.., s): the rows, codes of all their letters (order 1) or neighbouring letters (2), and how many each row has."""
+    for batch in batches:
+        size = pc.fill_null(pc.utf8_length(batch.column("s")), 0).to_numpy()
+        run = np.concatenate(([0], np.cumsum(size)))[:-1] // LETTERS_AT_ONCE
+        cuts = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(size)]):
+            rows, n = batch.slice(i, j - i), size[i:j]
+            codes = _CODES[np.frombuffer("".join(x or "" for x in rows.column("s").to_pylist()).encode("utf-32-le"), np.uint32)]
+            if order == 2:
+                first = np.ones(len(codes), dtype=bool)
+                first[np.cumsum(n)[n > 0] - 1] = False  # the last letter of a text precedes nothing
+                first = np.flatnonzero(first)
+                codes, n = codes[first] * len(tx.ALPHABET) + codes[first + 1], np.maximum(n - 1, 0)
+            yield rows, codes, n
+
+
+def _gram_counts(train: DataFrame, order: int) -> DataFrame:
+    """(lang, g, n): counts of letters or neighbouring letters by their codes; a task sends one row for each that it met."""
+
+    def run(batches):
+        held = {}
+        for rows, codes, n in _grams(batches, order):
+            langs = rows.column("lang").to_pylist()
+            for lang in set(langs):
+                mine = np.repeat(np.array([x == lang for x in langs]), n)
+                held[lang] = held.get(lang, 0) + np.bincount(codes[mine], minlength=len(tx.ALPHABET) ** order)
+        for lang, counts in held.items():
+            g = np.flatnonzero(counts)
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(g), pa.string()), "g": pa.array(g, pa.int64()), "n": pa.array(counts[g], pa.int64())})
+
+    counts = train.select("lang", "s").mapInArrow(run, "lang string, g long, n long")
+    return counts.groupBy("lang", "g").agg(F.sum("n").alias("n"))
+
+
+def _letter(code: Column) -> Column:
+    return F.substring(F.lit(tx.ALPHABET), (code + 1).cast("int"), F.lit(1))
 
 
 def _alphabet(df: DataFrame) -> DataFrame:
@@ -163,7 +200,7 @@ def _alphabet(df: DataFrame) -> DataFrame:
 
 def unigram_model(train: DataFrame) -> DataFrame:
     """(lang, c, p): Laplace-smoothed probabilities of all letters of the alphabet."""
-    got = train.select("lang", F.explode(_letters(F.col("s"))).alias("c")).groupBy("lang", "c").agg(F.count("*").alias("n"))
+    got = materialize(_gram_counts(train, 1).select("lang", _letter(F.col("g")).alias("c"), "n"), "letters")
     grid = train.select("lang").distinct().crossJoin(F.broadcast(_alphabet(train)))
     total = got.groupBy("lang").agg(F.sum("n").alias("t"))
     size = len(tx.ALPHABET)
@@ -172,11 +209,12 @@ def unigram_model(train: DataFrame) -> DataFrame:
 
 def bigram_model(train: DataFrame) -> DataFrame:
     """(lang, x, y, p): probabilities of y after x; the last letter of a text precedes nothing."""
-    got = train.select("lang", F.explode(_pairs(F.col("s"))).alias("b")).groupBy("lang", F.substring("b", 1, 1).alias("x"), F.substring("b", 2, 1).alias("y")).agg(F.count("*").alias("n"))
+    size = len(tx.ALPHABET)
+    got = _gram_counts(train, 2).select("lang", _letter(F.floor(F.col("g") / size)).alias("x"), _letter(F.col("g") % size).alias("y"), "n")
+    got = materialize(got, "pairs")
     letters = _alphabet(train)
     grid = train.select("lang").distinct().crossJoin(F.broadcast(letters.withColumnRenamed("c", "x"))).crossJoin(F.broadcast(letters.withColumnRenamed("c", "y")))
     rows = got.groupBy("lang", "x").agg(F.sum("n").alias("t"))
-    size = len(tx.ALPHABET)
     return grid.join(got, ["lang", "x", "y"], "left").join(rows, ["lang", "x"], "left").select("lang", "x", "y", ((F.coalesce("n", F.lit(0)) + 1) / (F.coalesce("t", F.lit(0)) + size)).alias("p"))
 
 
@@ -185,23 +223,32 @@ LANGS = ("en", "fr", "es", "de")
 
 def predict_by_letters(test: DataFrame, model: DataFrame) -> DataFrame:
     """(doc_id, lang, predicted, score): the language with the largest sum of logs over single letters; ties in the order of LANGS."""
-    counts = test.select("doc_id", "lang", F.explode(_letters(F.col("s"))).alias("c")).groupBy("doc_id", "lang", "c").agg(F.count("*").alias("n"))
-    logs = model.select(F.col("lang").alias("guess"), "c", F.log("p").alias("lp"))
-    return _likeliest(counts.join(F.broadcast(logs), "c"))  # a model has 49 letters a language
-
-
-def _likeliest(scored: DataFrame) -> DataFrame:
-    scored = scored.groupBy("doc_id", "lang", "guess").agg(F.sum(F.col("n") * F.col("lp")).alias("score"))
-    order = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("guess"))
-    w = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), order)
-    return scored.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "lang", F.col("guess").alias("predicted"), F.round("score", 4).alias("score"))
+    return _likeliest(test, model.select("lang", F.col("c").alias("gram"), F.log("p").alias("lp")), 1)
 
 
 def predict_language(test: DataFrame, model: DataFrame) -> DataFrame:
-    """(doc_id, lang, predicted, score): the language with the largest sum of logs over bigrams; ties in the order of LANGS.
-
-    Counts of a document's bigrams meet the model, which has a fixed number of rows, in a broadcast join.
-    """
-    pairs = test.select("doc_id", "lang", F.explode(_pairs(F.col("s"))).alias("b")).groupBy("doc_id", "lang", "b").agg(F.count("*").alias("n"))
-    logs = model.select(F.col("lang").alias("guess"), F.concat("x", "y").alias("b"), F.log("p").alias("lp"))
-    return _likeliest(pairs.join(F.broadcast(logs), "b"))
+    """(doc_id, lang, predicted, score): the language with the largest sum of logs over bigrams; ties in the order of LANGS."""
+    return _likeliest(test, model.select("lang", F.concat("x", "y").alias("gram"), F.log("p").alias("lp")), 2)
+
+
+def _likeliest(test: DataFrame, logs: DataFrame, order: int) -> DataFrame:
+    """Texts are scored where they are read; the model logs(lang, gram, lp) has a fixed number of rows a language and is sent to all tasks."""
+    place, tables = {c: i for i, c in enumerate(tx.ALPHABET)}, {}
+    for lang, gram, lp in logs.collect():
+        tables.setdefault(lang, np.zeros(len(place) ** order))[sum(place[c] * len(place) ** k for k, c in enumerate(reversed(gram)))] = lp
+
+    def run(batches):
+        for rows, codes, n in _grams(batches, order):
+            has = np.flatnonzero(n)
+            if len(has):
+                own, starts = rows.take(pa.array(has)), np.concatenate(([0], np.cumsum(n[has])))[:-1]
+                for guess, table in tables.items():
+                    score = pa.array(np.add.reduceat(table[codes], starts))
+                    yield pa.RecordBatch.from_arrays([own.column("doc_id"), own.column("lang"), pa.array([guess] * len(has), pa.string()), score], names=["doc_id", "lang", "guess", "score"])
+
+    kind = test.schema["doc_id"].dataType.simpleString()
+    scored = test.select("doc_id", "lang", "s").mapInArrow(run, f"doc_id {kind}, lang string, guess string, score double")
+    scored = scored.groupBy("doc_id", "lang", "guess").agg(F.sum("score").alias("score"))
+    best = F.array_position(F.array(*[F.lit(x) for x in LANGS]), F.col("guess"))
+    w = Window.partitionBy("doc_id").orderBy(F.round("score", 6).desc(), best)
+    return scored.withColumn("k", F.row_number().over(w)).filter("k = 1").select("doc_id", "lang", F.col("guess").alias("predicted"), F.round("score", 4).alias("score"))

@@ -291,6 +291,25 @@ def test_language_identification_sums_to_one_and_finds_languages(spark):
     assert {r["doc_id"]: r["predicted"] for r in corpus.predict_language(texts, corpus.bigram_model(texts)).collect()} == {1: "en", 2: "de"}
 
 
+def test_letters_are_counted_without_a_row_each(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "LETTERS_AT_ONCE", 5)
+    rows = [(1, "en", "abab"), (2, "en", "a"), (3, "en", ""), (4, "es", "ñzéé"[1:]), (5, "es", None), (6, None, "ab"), (7, "en", "ba")]
+    texts = spark.createDataFrame(rows, "doc_id long, lang string, s string").coalesce(1)
+    pairs = Counter((lang, s[i : i + 2]) for _, lang, s in rows for i in range(len(s or "") - 1))
+    letters = tx.ALPHABET
+    got = corpus._gram_counts(texts, 2)
+    assert "Generate" not in got._jdf.queryExecution().toString()
+    assert {(r["lang"], letters[r["g"] // 49] + letters[r["g"] % 49]): r["n"] for r in got.collect()} == pairs
+    model = {(r["lang"], r["x"] + r["y"]): r["p"] for r in corpus.bigram_model(texts).collect()}
+    after = Counter()
+    for (lang, b), n in pairs.items():
+        after[lang, b[0]] += n
+    assert all(math.isclose(p, 1 / 49 if lang is None else (pairs[lang, b] + 1) / (after[lang, b[0]] + 49)) for (lang, b), p in model.items())
+    best = {r["doc_id"]: r["predicted"] for r in corpus.predict_language(texts.filter("lang is not null"), corpus.bigram_model(texts.filter("lang is not null"))).collect()}
+    score = lambda s, g: sum(math.log(model[g, s[i : i + 2]]) for i in range(len(s) - 1))
+    assert best == {d: max(("en", "es"), key=lambda g: score(s, g)) for d, lang, s in rows if lang and len(s or "") > 1}
+
+
 def test_urls(spark):
     u = " https://User@WWW.Example.com:80/a//b.php/?#x "
     assert one(spark, urls.normal_url, u) == "https://User@WWW.Example.com:80/a//b.php/?"
