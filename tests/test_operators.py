@@ -61,6 +61,12 @@ def test_typed_tokens_of_documents(spark):
     assert all(Counter((t["ty"], t["tok"]) for t in r["x"]) == typed_by_hand(r["text"]) for r in docs)
 
 
+def test_a_type_is_searched_once(spark):
+    docs = spark.createDataFrame([(1, "x")], "doc_id long, text string")
+    plan = corpus.typed_terms(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("{1,4}") == 1  # a part of the pattern of abbreviations
+
+
 def test_stemmers():
     porter = {"caresses": "caress", "ponies": "poni", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat",
               "vietnamization": "vietnam", "electrical": "electr", "adoption": "adopt", "controll": "control", "roll": "roll", "cease": "ceas", "sky": "sky"}
