@@ -75,22 +75,39 @@ def decode_gamma(data: bytes, count: int) -> list[int]:
     return out
 
 
+def _flat(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a column of lists, and the bounds of each list."""
+    lists = batch.column(name)
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
+
+
 def encode_blocks(value: str):
-    """A mapInArrow function over rows (term, blk, carry, p: list of doc_id, gap, tf): the values named, and the frequencies, as binary."""
+    """A mapInArrow function over rows (term, blk, carry, docs, tfs), no list empty: doc_ids or their gaps (value: doc_id, gap), and the frequencies, as binary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("p")
-            flat, bounds = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy())))
-            numbers = lambda c: flat.field(c).to_numpy(zero_copy_only=False)
+            (values, bounds), (tfs, _) = _flat(batch, "docs"), _flat(batch, "tfs")
+            if value == "gap" and len(values):
+                gaps = np.diff(values, prepend=0)
+                gaps[bounds[:-1]] = values[bounds[:-1]] - batch.column("carry").to_numpy()
+                values = gaps
             yield pa.RecordBatch.from_arrays(
-                [batch.column("term"), batch.column("blk"), pa.array(np.diff(bounds)), batch.column("carry"), encode_vbyte(numbers(value), bounds), encode_gamma(numbers("tf"), bounds)],
+                [batch.column("term"), batch.column("blk"), pa.array(np.diff(bounds)), batch.column("carry"), encode_vbyte(values, bounds), encode_gamma(tfs, bounds)],
                 names=["term", "blk", "n", "carry", "vbyte", "gamma"],
             )
 
     return run
 
 
+def running_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (term, before, gaps) the running sums of each list, from before on, as (term, docs)."""
+    for batch in batches:
+        gaps, bounds = _flat(batch, "gaps")
+        sums = np.concatenate(([0], np.cumsum(gaps)))
+        docs = sums[1:] + np.repeat(batch.column("before").to_numpy() - sums[bounds[:-1]], np.diff(bounds))
+        yield pa.RecordBatch.from_arrays([batch.column("term"), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(docs, pa.int64()))], names=["term", "docs"])
+
+
 def decode_blocks(gaps: bool):
     """A mapInPandas function from encode_blocks back to (term, doc_id, tf)."""
 

@@ -50,24 +50,49 @@ def placed(tf: DataFrame, width: int = BLOCK) -> DataFrame:
     return rows.join(sizes, ["term", "blk"]).withColumn("k", (F.row_number().over(here) - 1).cast("bigint"))
 
 
+def _lists(tf: DataFrame, width: int) -> DataFrame:
+    """(term, blk, docs, tfs), as in a stored index."""
+    return posting_blocks(tf, width).select("term", "blk", F.transform("postings", lambda p: p["doc_id"]).alias("docs"), F.transform("postings", lambda p: p["tf"]).alias("tfs"))
+
+
+def carried(blocks: DataFrame) -> DataFrame:
+    """blocks(term, blk, docs, ..) with carry, the last doc_id of the term's block before, or 0: a block stays a row, and of other blocks only that number is sent."""
+    last = blocks.select("term", "blk", F.element_at("docs", -1).alias("last"))
+    carry = last.select("term", "blk", F.lag("last").over(Window.partitionBy("term").orderBy("blk")).alias("carry")).filter("carry is not null")
+    return blocks.join(carry, ["term", "blk"], "left").withColumn("carry", F.coalesce("carry", F.lit(0)))
+
+
+def gap_blocks(blocks: DataFrame) -> DataFrame:
+    """blocks(term, blk, docs, ..) with gaps: the first doc_id of a term, then differences, also from block to block."""
+    before = F.concat(F.array("carry"), F.slice("docs", 1, F.size("docs") - 1))
+    return carried(blocks).withColumn("gaps", F.zip_with("docs", before, lambda d, b: d - b))
+
+
+def gap_rows(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id, tf, gap) of blocks(term, blk, docs, tfs)."""
+    # outer, since else the lists would be made a second time for a filter; they are never empty
+    rows = gap_blocks(blocks.select("term", "blk", "docs", "tfs")).select("term", F.explode_outer(F.arrays_zip("docs", "tfs", "gaps")).alias("p"))
+    return rows.select("term", F.col("p.docs").alias("doc_id"), F.col("p.tfs").cast("bigint").alias("tf"), F.col("p.gaps").alias("gap"))
+
+
 def gaps(tf: DataFrame, width: int = BLOCK) -> DataFrame:
     """(term, doc_id, tf, gap): the first doc_id, then differences, also from block to block."""
-    return _gapped(tf, width).select("term", "doc_id", "tf", "gap")
+    return gap_rows(_lists(tf, width))
 
 
-def _gapped(tf: DataFrame, width: int) -> DataFrame:
-    prev = F.lag("doc_id").over(Window.partitionBy("term", "blk").orderBy("doc_id"))
-    return placed(tf, width).withColumn("gap", F.col("doc_id") - F.coalesce(prev, F.col("carry"), F.lit(0)))
+def gap_rows_inverse(blocks: DataFrame) -> DataFrame:
+    """(term, doc_id) of blocks(term, blk, gaps): running sums over blocks and within them."""
+    sums = blocks.select("term", "blk", F.aggregate("gaps", F.lit(0).cast("bigint"), lambda s, g: s + g).alias("s"))
+    before = F.sum("s").over(Window.partitionBy("term").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
+    sums = sums.select("term", "blk", before.alias("before")).filter("before is not null")
+    rows = blocks.select("term", "blk", "gaps").join(sums, ["term", "blk"], "left").select("term", F.coalesce("before", F.lit(0)).alias("before"), "gaps")
+    return rows.mapInArrow(codecs.running_lists, "term string, docs array<long>").select("term", F.explode("docs").alias("doc_id"))
 
 
 def gaps_inverse(gapped: DataFrame, width: int = BLOCK) -> DataFrame:
     """doc_ids again, as running sums over blocks and within them; the order is that of doc_id, which a stored list has by itself."""
-    rows = gapped.select("term", _block(width), "doc_id", "gap")
-    sums = rows.groupBy("term", "blk").agg(F.sum("gap").alias("s"))
-    before = F.sum("s").over(Window.partitionBy("term").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1))
-    sums = sums.select("term", "blk", F.coalesce(before, F.lit(0)).alias("before"))
-    w = Window.partitionBy("term", "blk").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.join(sums, ["term", "blk"]).select("term", (F.col("before") + F.sum("gap").over(w)).alias("doc_id"))
+    lists = gapped.select("term", _block(width), "doc_id", "gap").groupBy("term", "blk").agg(F.array_sort(F.collect_list(F.struct("doc_id", "gap"))).alias("p"))
+    return gap_rows_inverse(lists.select("term", "blk", F.transform("p", lambda p: p["gap"]).alias("gaps")))
 
 
 def skip_list(tf: DataFrame, width: int = BLOCK) -> DataFrame:
@@ -192,9 +217,13 @@ def compressed(tf: DataFrame, value: str = "gap", width: int = BLOCK) -> DataFra
 
     carry is what the first gap is counted from, so that a block can be read without those before.
     """
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "gap", "tf")))
-    lists = _gapped(tf, width).groupBy("term", "blk").agg(F.coalesce(F.max("carry"), F.lit(0)).alias("carry"), rows.alias("p"))
-    return lists.mapInArrow(codecs.encode_blocks(value), codecs.BLOCKS)
+    return compressed_blocks(_lists(tf, width), value)
+
+
+def compressed_blocks(blocks: DataFrame, value: str = "gap") -> DataFrame:
+    """compressed() of blocks(term, blk, docs, tfs)."""
+    lists = carried(blocks.select("term", "blk", "docs", F.transform("tfs", lambda x: x.cast("bigint")).alias("tfs")))
+    return lists.select("term", "blk", "carry", "docs", "tfs").mapInArrow(codecs.encode_blocks(value), codecs.BLOCKS)
 
 
 def write_compressed(tf: DataFrame, path: str, gaps: bool = True, width: int = BLOCK) -> None:
@@ -219,11 +248,12 @@ def read_compressed(spark: SparkSession, path: str, terms: list[str] | None = No
 
 def compress_sizes(tf: DataFrame, width: int = BLOCK) -> DataFrame:
     """Bytes of both streams, and their share of eight a posting."""
-    bits = lambda c: F.length(F.bin(c))
-    per = _gapped(tf, width).groupBy("term", "blk").agg(
-        F.sum(F.ceil(bits(F.col("gap")) / 7)).alias("v"), F.ceil(F.sum(2 * bits(F.greatest(F.col("tf"), F.lit(1))) - 1) / 8).alias("g"), F.count("*").alias("n")
-    )
-    out = per.agg(F.sum("v").alias("vbyte_bytes"), F.sum("g").alias("gamma_bytes"), F.sum("n").alias("postings"))
+    return sizes_of(compressed(tf, width=width))
+
+
+def sizes_of(blocks: DataFrame) -> DataFrame:
+    """compress_sizes() of compressed blocks."""
+    out = blocks.agg(F.sum(F.octet_length("vbyte")).alias("vbyte_bytes"), F.sum(F.octet_length("gamma")).alias("gamma_bytes"), F.sum("n").alias("postings"))
     return out.withColumn("ratio", F.round((F.col("vbyte_bytes") + F.col("gamma_bytes")) / (8 * F.col("postings")), 6))
 
 

@@ -90,12 +90,12 @@ GAPS = f"{TF}, gaps AS (SELECT term, doc_id, tf, doc_id - coalesce(lag(doc_id) O
 
 @query("q_dgaps", f"WITH {GAPS} SELECT term, doc_id, tf, gap FROM gaps")
 def dgaps(t):
-    return index.gaps(tf_of(t))
+    return index.gap_rows(t.index().blocks)
 
 
 @query("q_dgaps_inverse", f"WITH {TF} SELECT term, doc_id FROM tf")
 def dgaps_inverse(t):
-    return index.gaps_inverse(index.gaps(tf_of(t)))
+    return index.gap_rows_inverse(index.gap_blocks(t.index().blocks.select("term", "blk", "docs")).select("term", "blk", "gaps"))
 
 
 VBYTE = """array_to_string(list_transform(range(greatest(1, CAST(ceil(length(format('{:b}', gap)) / 7.0) AS BIGINT))),
@@ -104,7 +104,7 @@ VBYTE = """array_to_string(list_transform(range(greatest(1, CAST(ceil(length(for
 
 @query("q_vbyte", f"WITH {GAPS} SELECT term, {BLK} AS blk, upper(string_agg({VBYTE}, '' ORDER BY doc_id)) AS vbyte FROM gaps GROUP BY ALL")
 def vbyte(t):
-    return index.compressed(tf_of(t)).select("term", "blk", F.hex("vbyte").alias("vbyte"))
+    return index.compressed_blocks(t.index().blocks).select("term", "blk", F.hex("vbyte").alias("vbyte"))
 
 
 @query(
@@ -116,7 +116,7 @@ def gamma(t):
     """The padded bits; hexadecimal digits are turned back into them."""
     digits = F.split(F.hex("gamma"), "")
     bits = F.array_join(F.transform(F.filter(digits, lambda x: x != ""), lambda x: F.lpad(F.conv(x, 16, 2), 4, "0")), "")
-    return index.compressed(tf_of(t)).select("term", "blk", bits.alias("gamma"))
+    return index.compressed_blocks(t.index().blocks).select("term", "blk", bits.alias("gamma"))
 
 
 @query(
@@ -125,13 +125,13 @@ def gamma(t):
 SELECT CAST(sum(v) AS BIGINT) AS vbyte_bytes, CAST(sum(g) AS BIGINT) AS gamma_bytes, CAST(sum(n) AS BIGINT) AS postings, round((sum(v) + sum(g))::DOUBLE / (8 * sum(n)), 6) AS ratio FROM per""",
 )
 def compress_sizes(t):
-    return index.compress_sizes(tf_of(t))
+    return index.sizes_of(index.compressed_blocks(t.index().blocks))
 
 
 @query("q_codec_roundtrip", f"WITH {TF} SELECT term, doc_id, tf FROM tf")
 def codec_roundtrip(t):
     """Postings after compression and decompression: equal to those before."""
-    return index.decompress(index.compressed(tf_of(t)))
+    return index.decompress(index.compressed_blocks(t.index().blocks))
 
 
 # Boolean queries: a log of each topic's first two and first three distinct valid terms

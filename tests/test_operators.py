@@ -135,6 +135,18 @@ def test_blocks_carry_from_one_to_the_next(spark, width):
     assert all(r["df"] == len(r["postings"]) and r["cf"] == sum(p["tf"] for p in r["postings"]) and all(p["doc_id"] // width == r["blk"] for p in r["postings"]) for r in blocks)
 
 
+def test_lists_of_gaps_stay_rows_of_blocks(spark):
+    docs = {"a": [0, 1, 5, 6, 14, 30], "b": [13], "c": [2, 21, 22]}
+    tf = spark.createDataFrame([(t, d, d % 3 + 1) for t, ds in docs.items() for d in ds], "term string, doc_id long, tf long")
+    blocks = index.gap_blocks(index._lists(tf, 7))
+    assert {(r["term"], r["blk"]): list(r["gaps"]) for r in blocks.collect()} == {
+        ("a", 0): [0, 1, 4, 1], ("a", 2): [8], ("a", 4): [16], ("b", 1): [13], ("c", 0): [2], ("c", 3): [19, 1],
+    }
+    back = index.gap_rows_inverse(blocks.select("term", "blk", "gaps"))
+    assert back._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 1  # postings become rows at the end
+    assert sorted(tuple(r) for r in back.collect()) == sorted((t, d) for t, ds in docs.items() for d in ds)
+
+
 def test_intersection_by_skips(spark):
     lists = postings_by_hand()
     ids = {t: [d for d, _ in ps] for t, ps in lists.items()}
