@@ -109,10 +109,52 @@ def conjunction(query_terms: DataFrame, tf: DataFrame) -> DataFrame:
     return query_terms.join(tf.select("term", "doc_id"), "term").groupBy("qid", "doc_id").agg(F.count("*").alias("n")).join(need, "qid").filter("n = need").select("qid", "doc_id")
 
 
+def lists(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """query_terms(qid, term, ..) with the docs of blocks(term, blk, docs) that hold the term: a row a block, not a posting. Queries are broadcast."""
+    return blocks.select("term", "blk", "docs").join(F.broadcast(query_terms), "term")
+
+
+def rows_of(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, blk, doc_id, ..): a row a posting of a query's term. All of a query's rows of a block are in one task, so that grouping by them sends nothing more."""
+    return lists(query_terms, blocks).repartition("qid", "blk").select(*query_terms.columns, "blk", F.explode("docs").alias("doc_id"))
+
+
+def _common(lists: Column) -> Column:
+    return F.aggregate(F.slice(lists, 2, F.size(lists)), lists[0], lambda a, x: F.array_intersect(a, x))
+
+
+def common_sizes(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, docs): in how many documents all terms of a query meet, by intersection of sorted lists block by block; of queries that have a posting at all."""
+    need = query_terms.groupBy("qid").agg(F.count("*").alias("need"))
+    met = lists(query_terms.join(need, "qid"), blocks).groupBy("qid", "need", "blk").agg(F.collect_list("docs").alias("ls"))
+    size = F.when(F.size("ls") == F.col("need"), F.size(_common(F.col("ls")))).otherwise(0)
+    return met.groupBy("qid").agg(F.sum(size).cast("bigint").alias("docs"))
+
+
+def conjunction_of_blocks(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents that have all terms of a query (qid, term), counted block by block."""
+    need = query_terms.groupBy("qid").agg(F.count("*").alias("need"))
+    return rows_of(query_terms.join(need, "qid"), blocks).groupBy("qid", "blk", "doc_id", "need").agg(F.count("*").alias("n")).filter("n = need").select("qid", "doc_id")
+
+
+def difference(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents with the first term of a query (qid, i, term) and not with the second."""
+    side = lambda i: F.flatten(F.collect_list(F.when(F.col("i") == i, F.col("docs"))))
+    met = lists(query_terms, blocks).groupBy("qid", "blk").agg(side(1).alias("a"), side(2).alias("b"))
+    return met.select("qid", F.explode_outer(F.array_except("a", "b")).alias("doc_id")).filter("doc_id is not null")
+
+
+def union_of_blocks(query_terms: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(qid, doc_id) of documents with a term of a query (qid, term)."""
+    met = lists(query_terms, blocks).groupBy("qid", "blk").agg(F.array_distinct(F.flatten(F.collect_list("docs"))).alias("docs"))
+    return met.select("qid", F.explode("docs").alias("doc_id"))
+
+
 def patterns(query_terms: DataFrame, tf: DataFrame) -> DataFrame:
-    """(qid, pattern, doc_id): three templates each for queries of two and of three terms (qid, i, term), over a table of queries."""
+    """(qid, pattern, doc_id): three templates each for queries of two and of three terms (qid, i, term), over a table of queries. tf: postings, or blocks of them."""
     size = query_terms.groupBy("qid").agg(F.count("*").alias("size"))
-    held = query_terms.join(tf.select("term", "doc_id"), "term").groupBy("qid", "doc_id").agg(
+    rows, at = (rows_of(query_terms, tf), ["qid", "blk", "doc_id"]) if "docs" in tf.columns else (query_terms.join(tf.select("term", "doc_id"), "term"), ["qid", "doc_id"])
+    held = rows.groupBy(*at).agg(
         *[(F.max(F.when(F.col("i") == i, 1).otherwise(0)) == 1).alias(f"t{i}") for i in (1, 2, 3)]
     )
     a, b, c = F.col("t1"), F.col("t2"), F.col("t3")

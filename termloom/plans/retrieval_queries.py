@@ -152,7 +152,7 @@ def query_log(t):
 
 def conjunctions(t, k: int):
     log = query_log(t).filter(F.col("k") == k)
-    return boolean.conjunction(log.select("qid", "term"), t.index().postings(log))
+    return boolean.conjunction_of_blocks(log.select("qid", "term"), t.index().matching(log))
 
 
 @query("q_bool_and2", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2 AND a AND b")
@@ -168,15 +168,13 @@ def bool_and3(t):
 @query("q_bool_or", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2")
 def bool_or(t):
     log = query_log(t).filter("k = 2")
-    return log.join(t.index().postings(log), "term").select("qid", "doc_id").distinct()
+    return boolean.union_of_blocks(log.select("qid", "term"), t.index().matching(log))
 
 
 @query("q_bool_andnot", f"WITH {SETS} SELECT qid, doc_id FROM held WHERE k = 2 AND a AND NOT b")
 def bool_andnot(t):
     log = query_log(t).filter("k = 2")
-    tf = t.index().postings(log).select("term", "doc_id")
-    side = lambda i: log.filter(F.col("i") == i).join(tf, "term").select("qid", "doc_id")
-    return side(1).join(side(2), ["qid", "doc_id"], "left_anti")
+    return boolean.difference(log.select("qid", "i", "term"), t.index().matching(log))
 
 
 NOT_TERM = "thanedble"
@@ -221,17 +219,13 @@ _PATTERNS = {
 )
 def bool_patterns(t):
     log = query_log(t)
-    return boolean.patterns(log.select("qid", "i", "term"), t.index().postings(log))
+    return boolean.patterns(log.select("qid", "i", "term"), t.index().matching(log))
 
 
 def two_ways(t, k: int):
-    """Sizes of the conjunctions by intersection of sorted lists and by counting documents."""
+    """Sizes of the conjunctions by intersection of sorted lists and by counting documents, both block by block."""
     log = query_log(t).filter(F.col("k") == k)
-    tf = t.index().postings(log)
-    lists = log.join(tf, "term").groupBy("qid", "i").agg(F.array_sort(F.collect_list("doc_id")).alias("l"))
-    merged = lists.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct(F.size("l").alias("n"), "l"))).alias("ls"))
-    met = F.aggregate(F.slice("ls", 2, k), F.col("ls")[0]["l"], lambda a, x: F.array_intersect(a, x["l"]))
-    by_list = merged.select("qid", F.when(F.size("ls") == k, F.size(met)).otherwise(0).cast("bigint").alias("by_list"))
+    by_list = boolean.common_sizes(log.select("qid", "term"), t.index().matching(log)).withColumnRenamed("docs", "by_list")
     by_count = conjunctions(t, k).groupBy("qid").agg(F.count("*").alias("by_count"))
     return by_list.join(by_count, "qid", "left").select("qid", "by_list", F.coalesce("by_count", F.lit(0)).alias("by_count"))
 

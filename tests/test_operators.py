@@ -272,6 +272,23 @@ def test_boolean(spark, query, want):
     assert {r["doc_id"] for r in boolean.search({"q": query}, tf, docs).collect()} == want
 
 
+def test_queries_by_blocks(spark):
+    rng = random.Random(5)
+    docs = {t: set(rng.sample(range(40), n)) for t, n in (("a", 25), ("b", 18), ("c", 30), ("d", 1))}
+    tf = spark.createDataFrame([(t, d, 1) for t, ds in docs.items() for d in ds], "term string, doc_id long, tf long")
+    queries = {"q": "ab", "r": "cab", "s": "dx", "t": "xy", "u": "ad"}
+    terms = spark.createDataFrame([(q, i + 1, t) for q, ts in queries.items() for i, t in enumerate(ts)], "qid string, i int, term string")
+    blocks = index._lists(tf, 7).select("term", "blk", "docs")
+    sets = {q: [docs.get(t, set()) for t in ts] for q, ts in queries.items()}
+    every = {(q, d) for q, s in sets.items() for d in set.intersection(*s)}
+    pairs = lambda df: sorted((r["qid"], r["doc_id"]) for r in df.collect())
+    assert pairs(boolean.conjunction_of_blocks(terms.select("qid", "term"), blocks)) == sorted(every)
+    assert pairs(boolean.difference(terms, blocks)) == sorted((q, d) for q, s in sets.items() for d in s[0] - s[1])
+    assert pairs(boolean.union_of_blocks(terms.select("qid", "term"), blocks)) == sorted((q, d) for q, s in sets.items() for d in set.union(*s))
+    sizes = {r["qid"]: r["docs"] for r in boolean.common_sizes(terms.select("qid", "term"), blocks).collect()}
+    assert sizes == {q: len(set.intersection(*s)) for q, s in sets.items() if set.union(*s)}
+
+
 def test_evaluation_by_hand(spark):
     run = spark.createDataFrame([("m", "q1", 0, 10), ("m", "q1", 1, 11), ("m", "q1", 2, 12), ("m", "q2", 0, 10)], "model string, qid string, rank long, doc_id long")
     qrels = spark.createDataFrame([("q1", 10, 1), ("q1", 12, 1), ("q1", 99, 1), ("q1", 11, 0)], "qid string, doc_id long, label int")
