@@ -50,17 +50,22 @@ def containing(docs: DataFrame, topics: DataFrame, run: int = 4) -> DataFrame:
     """(qid, doc_id) of docs(doc_id, text) that contain the text of topics(qid, text), character by character.
 
     The words within a topic, without its first and last, which may be parts of longer ones, stand in each such document: the first run of
-    them is a key, and documents meet topics by the keys of all their runs of words; only what meets is compared. Topics of fewer words are
+    them is a key, and documents meet topics by the keys of their runs of words that begin like one; only what meets is compared. Topics of fewer words are
     held against all documents; they are broadcast, as a set of queries.
     """
     words = lambda c: F.split(c, r"\s+")
     keyed = topics.select("qid", F.col("text").alias("passage"), F.slice(words("text"), 2, run).alias("w"), (F.size(words("text")) >= run + 2).alias("long"))
     key = lambda w: F.xxhash64(F.array_join(w, " "))
     known = docs.select("doc_id", "text")
-    runs = F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: key(F.slice("w", i, run)))
-    starts = known.select("doc_id", words("text").alias("w")).filter(F.size("w") >= run).select("doc_id", F.explode(F.array_distinct(runs)).alias("key"))
-    met = starts.join(keyed.filter("long").select("qid", key("w").alias("key")), "key").select("qid", "doc_id").distinct()
-    texts = known.join(met, "doc_id").join(keyed.select("qid", "passage"), "qid")
+    long = keyed.filter("long").select("qid", "passage", key("w").alias("key"))
+    asked = [r["key"] for r in long.select("key").distinct().collect()]
+    firsts = [r["f"] for r in keyed.filter("long").select(F.col("w")[0].alias("f")).distinct().collect()]
+    places = F.filter(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.element_at("w", i).isin(firsts))
+    runs = F.transform(places, lambda i: key(F.slice("w", i, run)))
+    # only keys of topics leave a document's task, with its text; outer, since else the keys would be made a second time for a filter
+    keys = F.filter(F.array_distinct(runs), lambda x: x.isin(asked))
+    starts = known.select("doc_id", "text", words("text").alias("w")).filter(F.size("w") >= run).select("doc_id", "text", F.explode_outer(keys).alias("key"))
+    texts = starts.join(F.broadcast(long), "key")
     short = known.join(F.broadcast(keyed.filter("not long").select("qid", "passage")), F.expr("contains(text, passage)"))
     return texts.filter(F.expr("contains(text, passage)")).select("qid", "doc_id").union(short.select("qid", "doc_id")).distinct()
 

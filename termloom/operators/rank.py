@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,24 +74,26 @@ def statistics(terms: DataFrame, docs: DataFrame) -> DataFrame:
     return terms.agg(F.sum("cf").alias("total")).crossJoin(docs.agg(F.count("*").alias("n"))).select("n", "total", (F.col("total") / F.col("n")).alias("avdl"))
 
 
-def tfidf(c) -> Column:
+def tfidf(c, log2=F.log2) -> Column:
     k1, b = 1.2, 0.75
-    return c("qtf") * k1 * c("tf") / (c("tf") + k1 * (1 - b + b * c("dl") / c("avdl"))) * F.log2(c("n") / c("df") + 1)
+    return c("qtf") * k1 * c("tf") / (c("tf") + k1 * (1 - b + b * c("dl") / c("avdl"))) * log2(c("n") / c("df") + 1)
 
 
-def bm25(c) -> Column:
+def bm25(c, log2=F.log2) -> Column:
     k1, b, k3 = 1.2, 0.75, 8.0
-    return c("tf") * (k3 + 1) * c("qtf") / ((k3 + c("qtf")) * (k1 * (1 - b + b * c("dl") / c("avdl")) + c("tf"))) * F.log2((c("n") - c("df") + 0.5) / (c("df") + 0.5))
+    return c("tf") * (k3 + 1) * c("qtf") / ((k3 + c("qtf")) * (k1 * (1 - b + b * c("dl") / c("avdl")) + c("tf"))) * log2((c("n") - c("df") + 0.5) / (c("df") + 0.5))
 
 
-def jelinek_mercer(c, lam: float = 0.9) -> Column:
-    return F.log2(1 + lam * c("tf") * c("total") / ((1 - lam) * c("cf") * c("dl")))
+def jelinek_mercer(c, lam: float = 0.9, log2=F.log2) -> Column:
+    return log2(1 + lam * c("tf") * c("total") / ((1 - lam) * c("cf") * c("dl")))
 
 
-def dirichlet(c, mu: float = 2000.0) -> Column:
-    return F.log2(1 + c("tf") * c("total") / (mu * c("cf"))) + F.log2(mu / (c("dl") + mu))
+def dirichlet(c, mu: float = 2000.0, log2=F.log2) -> Column:
+    return log2(1 + c("tf") * c("total") / (mu * c("cf"))) + log2(mu / (c("dl") + mu))
 
 
+#: Documents that a task scores at once; of each it keeps what may be among the first k of a query and model.
+SHARE = 1 << 15
 MODELS = {"tfidf": tfidf, "bm25": bm25, "jm": jelinek_mercer, "dirichlet": dirichlet}
 
 
@@ -98,11 +102,65 @@ def retrieve(
 ) -> DataFrame:
     """(model, qid, rank, doc_id, score) for weighting models that share one pass over the matching postings.
 
+    Postings and lengths meet once, by shares of the documents; a share is scored for all queries, whose terms are a table that is sent to all tasks.
+    A row for each query, model and document would be most of all pairs of them.
+
     A stored index supplies terms(term, df, cf) and lengths(doc_id, dl), and tf then holds the queries' postings alone; else both are counted from tf.
     """
     terms = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")) if terms is None else terms.select("term", "df", "cf")
     dl = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl")) if lengths is None else lengths.select("doc_id", "dl")
-    hits = tf.join(q, "term").join(terms, "term").join(dl, "doc_id").crossJoin(F.broadcast(statistics(terms, docs)))
-    sums = hits.groupBy("qid", "doc_id").agg(*[F.sum(MODELS[m](F.col)).alias(m) for m in models])
-    long = sums.select("qid", "doc_id", F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("score")) for m in models])).alias("s"))
-    return top(long.select("qid", "doc_id", "s.model", "s.score"), k, by=("model", "qid")).select("model", "qid", "rank", "doc_id", F.round("score", 6).alias("score"))
+    coll = statistics(terms, docs).first()
+    asked = q.join(terms, "term").select("qid", "term", "qtf", "df", "cf").collect()
+    number = {x: i for i, x in enumerate(sorted({r["term"] for r in asked}))}
+    by_query: dict = {}
+    for r in asked:
+        by_query.setdefault(r["qid"], []).append((number[r["term"]], {"qtf": r["qtf"], "df": r["df"], "cf": r["cf"]}))
+    named, place = list(by_query), {"n": coll["n"], "total": coll["total"], "avdl": coll["avdl"]}
+    lists = [sorted(x, key=lambda p: p[0]) for x in by_query.values()]
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, -(-coll["n"] // SHARE)))).alias("part")
+    kind, qkind = tf.schema["doc_id"].dataType.simpleString(), q.schema["qid"].dataType.simpleString()
+
+    def run(postings: pa.Table, sizes: pa.Table) -> pa.Table:
+        ids, first = np.unique(sizes["doc_id"].to_numpy(), return_index=True)
+        dl = sizes["dl"].to_numpy()[first]
+        held = {}
+        if len(ids) and postings.num_rows:
+            at = np.searchsorted(ids, doc := postings["doc_id"].to_numpy())
+            known = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == doc)
+            t = postings["t"].to_numpy()[known]
+            order = known[np.argsort(t, kind="stable")]
+            t, at, tfs = postings["t"].to_numpy()[order], at[order], postings["tf"].to_numpy()[order]
+            cuts = np.flatnonzero(np.diff(t, prepend=-1))
+            held = {int(t[i]): (at[i:j], {"tf": tfs[i:j], "dl": dl[at[i:j]]}) for i, j in zip(cuts, [*cuts[1:], len(t)])}
+        out = {c: [] for c in ("m", "q", "at", "score")}
+        for i, terms_of in enumerate(lists):
+            mine = [(held[t], c) for t, c in terms_of if t in held]
+            if not mine:
+                continue
+            met = np.zeros(len(ids), dtype=bool)
+            for (where, _), _ in mine:
+                met[where] = True
+            met = np.flatnonzero(met)
+            for m, model in enumerate(models):
+                score = np.zeros(len(ids))
+                for (where, x), c in mine:
+                    score[where] += MODELS[model]((place | c | x).__getitem__, log2=np.log2)
+                found, best = score[met], met
+                if len(met) > k:  # whatever may be among the first k once scores are rounded
+                    enough = found >= np.partition(found, -k)[-k] - 1e-5
+                    found, best = found[enough], met[enough]
+                for c, x in (("m", np.full(len(best), m, np.int32)), ("q", np.full(len(best), i, np.int32)), ("at", best), ("score", found)):
+                    out[c].append(x)
+        m, i, at, score = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out.values())
+        rows = [pa.array(models).take(pa.array(m, pa.int32())), pa.array(named, postings.schema.field("qid").type).take(pa.array(i, pa.int32())), pa.array(ids[at], postings.schema.field("doc_id").type), pa.array(score, pa.float64())]
+        return pa.Table.from_arrays(rows, names=["model", "qid", "doc_id", "score"])
+
+    spark = tf.sparkSession
+    if not number:
+        best = spark.createDataFrame([], f"model string, qid {qkind}, doc_id {kind}, score double")
+    else:
+        terms_of = F.broadcast(spark.createDataFrame(list(number.items()), "term string, t int"))
+        matching = tf.join(terms_of, "term").filter("doc_id is not null").select(part, "doc_id", "t", "tf", F.lit(None).cast(qkind).alias("qid"))
+        sizes = dl.filter("doc_id is not null").select(part, "doc_id", "dl")
+        best = matching.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(run, f"model string, qid {qkind}, doc_id {kind}, score double")
+    return top(best, k, by=("model", "qid")).select("model", "qid", "rank", "doc_id", F.round("score", 6).alias("score"))

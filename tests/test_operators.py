@@ -11,10 +11,13 @@ from pyspark.sql import functions as F
 from termloom.functions import codecs, stem, urls
 from termloom.functions import text as tx
 from termloom.operators import boolean, corpus, evaluate, graph, index, rank, ranks
-from termloom.plans.queries import QUERIES
+from termloom.plans.queries import QUERIES, SQL
+from termloom.plans.registry import Tables
+from termloom.plans.retrieval_queries import retrieved
 from termloom.sources import collections as src
 from termloom.sources import sinks
 from termloom.streaming import index_stream
+from tests.parity import check
 
 
 def one(spark, f, text):
@@ -216,6 +219,13 @@ def test_equal_scores_go_by_document(spark):
     assert [r["doc_id"] for r in rank.top(df, 4).orderBy("rank").collect()] == [2, 3, 5, 9]
 
 
+def test_rankings_by_shares_of_documents(spark, monkeypatch):
+    monkeypatch.setattr(rank, "SHARE", 16)  # many shares, each of which keeps more than it has of the first 50
+    check(spark, QUERIES["q_rank_union"], SQL["q_rank_union"])
+    monkeypatch.setattr(rank, "SHARE", 100)
+    check(spark, lambda s, d: retrieved(Tables(s, d), ("bm25",), 5), SQL["q_rank_bm25"].replace("rank < 50", "rank < 5"))
+
+
 def test_numbers_of_rows_with_many_ties(spark):
     rows = [(0.0 if i % 3 else float(i % 5), f"u{i:04d}") for i in range(900)]
     df = spark.createDataFrame(rows, "v double, url string")
