@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -97,15 +99,49 @@ def zipf_prune(ranked: DataFrame, stop=STOP, shares=(0.1, 0.2, 0.3)) -> DataFram
     return out.withColumn("pct_stop", F.when(F.col("k") > 0, F.round(100 * F.col("stop_in_top") / F.col("k"), 6)))
 
 
+def heaps_documents(docs: DataFrame) -> DataFrame:
+    """(n0, m, v0, new) of each document, in the order of doc_id: tokens before it and its own, distinct terms before it, and where it has a term that none before has.
+
+    The curve has a point for each token; only a number for each distinct term, and for each document, is sent.
+    """
+    words = F.filter(tx.tokens_words(F.col("text")), lambda x: F.length(x).between(2, 30))
+    first = docs.select("doc_id", F.posexplode(words).alias("pos", "term")).groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f"))
+    new = first.groupBy(F.col("f.doc_id").alias("doc_id")).agg(F.array_sort(F.collect_list("f.pos")).alias("new"))
+    sizes = docs.select("doc_id", F.coalesce(F.size(words), F.lit(0)).cast("bigint").alias("m")).groupBy("doc_id").agg(F.sum("m").alias("m"))
+    rows = materialize(sizes.join(new, "doc_id", "left").select("doc_id", "m", F.coalesce("new", F.array().cast("array<int>")).alias("new")), "documents")
+    counts = rows.select("doc_id", "m", F.size("new").cast("bigint").alias("k"))
+    n = ranks.running(counts, "m", "doc_id", ["doc_id"], "n").select("doc_id", (F.col("n") - F.col("m")).alias("n0"))
+    v = ranks.running(counts, "k", "doc_id", ["doc_id"], "v").select("doc_id", (F.col("v") - F.col("k")).alias("v0"))
+    return rows.join(n, "doc_id").join(v, "doc_id").select("n0", "m", "v0", "new")
+
+
+#: Points of the curve that a task makes at once.
+POINTS_AT_ONCE = 1 << 20
+
+
+def _points(batches):
+    """n and v of runs of rows of heaps_documents()."""
+    for batch in batches:
+        n0, m, v0 = (batch.column(c).to_numpy() for c in ("n0", "m", "v0"))
+        run = np.concatenate(([0], np.cumsum(m)))[:-1] // POINTS_AT_ONCE
+        cuts = np.flatnonzero(np.diff(run, prepend=-1)).tolist()
+        for i, j in zip(cuts, [*cuts[1:], len(m)]):
+            size, lists = m[i:j], batch.column("new").slice(i, j - i)
+            starts = np.concatenate(([0], np.cumsum(size)))
+            fresh = np.zeros(starts[-1] + 1, dtype=np.int64)
+            fresh[np.repeat(starts[:-1], lists.value_lengths().to_numpy()) + lists.flatten().to_numpy() + 1] = 1
+            fresh = np.cumsum(fresh)
+            yield np.arange(1, starts[-1] + 1) + np.repeat(n0[i:j] - starts[:-1], size), fresh[1:] + np.repeat(v0[i:j] - fresh[starts[:-1]], size)
+
+
 def heaps_curve(docs: DataFrame) -> DataFrame:
     """(n, v): distinct terms among the first n valid tokens, in the order of doc_id and position."""
-    tok = valid(tokens(docs), 2, 30, ())
-    first = tok.groupBy("term").agg(F.min(F.struct("doc_id", "pos")).alias("f")).select(F.col("f.doc_id").alias("doc_id"), F.col("f.pos").alias("pos"), F.lit(1).cast("bigint").alias("new"))
-    marked = tok.select("doc_id", "pos").join(first, ["doc_id", "pos"], "left").select("doc_id", "pos", F.coalesce("new", F.lit(0)).cast("bigint").alias("new"), F.lit(1).cast("bigint").alias("one"))
-    both = marked.withColumn("pair", F.col("one") * (1 << 32) + F.col("new"))
-    # both sums at once: tokens in the high half, new terms in the low
-    done = ranks.running(both, "pair", "doc_id", ["pos"], "total")
-    return done.select(F.shiftright("total", 32).alias("n"), F.col("total").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+
+    def run(batches):
+        for n, v in _points(batches):
+            yield pa.RecordBatch.from_pydict({"n": pa.array(n, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return heaps_documents(docs).mapInArrow(run, "n long, v long")
 
 
 def heaps_fit_loglog(curve: DataFrame) -> DataFrame:
@@ -113,24 +149,50 @@ def heaps_fit_loglog(curve: DataFrame) -> DataFrame:
     return curve.agg(F.round(F.exp(F.regr_intercept(y, x)), 4).alias("k"), F.round(F.regr_slope(y, x), 6).alias("beta"), F.round(F.regr_r2(y, x), 6).alias("r2"))
 
 
-def heaps_fit(curve: DataFrame, k: float = 50.0, beta: float = 0.5, steps: int = 30) -> DataFrame:
-    """Least squares of V = k n^beta by Gauss-Newton; each step is one aggregate of five sums."""
-    spark, curve = curve.sparkSession, materialize(curve.select("n", "v"), "curve")
+def heaps_fit(documents: DataFrame, k: float = 50.0, beta: float = 0.5, steps: int = 30) -> DataFrame:
+    """Least squares of V = k n^beta over the curve of heaps_documents() by Gauss-Newton; each step is one pass of five sums, over points that are made in passing."""
+    spark, documents = documents.sparkSession, materialize(documents, "curve")
+
+    def sums(of) -> list[float]:
+        """Sums over the curve of the arrays that a function makes of n and v; the first is the number of points."""
+
+        def run(batches):
+            total = 0
+            for n, v in _points(batches):
+                n, v = n.astype(float), v.astype(float)
+                total = total + np.array([len(n), *[x.sum() for x in of(n, v)]])
+            if np.ndim(total):
+                yield pa.RecordBatch.from_pydict({"s": pa.array([total.tolist()], pa.list_(pa.float64()))})
+
+        got = [r["s"] for r in documents.mapInArrow(run, "s array<double>").collect()]
+        return [math.fsum(x) for x in zip(*got)]
+
+    def gauss_newton(k, beta):
+        def of(n, v):
+            p, log = n**beta, np.log(n)
+            g, r = p * k * log, v - p * k
+            return p * p, p * g, g * g, p * r, g * r
+
+        return sums(of)
+
     for _ in range(steps):
-        p = F.pow(F.col("n").cast("double"), F.lit(beta))
-        g, r = p * k * F.log("n"), F.col("v") - p * k
-        a, b, d, e, f = curve.agg(F.sum(p * p), F.sum(p * g), F.sum(g * g), F.sum(p * r), F.sum(g * r)).first()
-        det = a * d - b * b if None not in (a, b, d) else 0
+        found = gauss_newton(k, beta)
+        if not found or not found[0]:
+            break
+        _, a, b, d, e, f = found
+        det = a * d - b * b
         if not det:
             break
         dk, db = (d * e - b * f) / det, (a * f - b * e) / det
         k, beta = k + dk, beta + db
         if abs(dk) < 1e-9 * abs(k) and abs(db) < 1e-12:
             break
-    mean = curve.agg(F.avg("v")).first()[0]
-    res = F.sum(F.pow(F.col("v") - k * F.pow(F.col("n").cast("double"), F.lit(beta)), 2)) / F.sum(F.pow(F.col("v") - F.lit(mean), 2))
-    r2 = curve.agg((1 - res).alias("r2")).first()[0]
-    release(curve)
+    whole, r2 = sums(lambda n, v: (v,)), None
+    if whole and whole[0]:
+        mean = whole[1] / whole[0]
+        _, res, spread = sums(lambda n, v: ((v - k * n**beta) ** 2, (v - mean) ** 2))
+        r2 = 1 - res / spread if spread else None
+    release(documents)
     return spark.createDataFrame([(float(k), float(beta), r2)], "k double, beta double, r2 double").select(*[F.round(c, 6).alias(c) for c in ("k", "beta", "r2")])
 
 

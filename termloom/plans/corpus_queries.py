@@ -194,7 +194,7 @@ def heaps_fit_loglog(t):
 
 @query("q_heaps_fit")
 def heaps_fit(t):
-    return corpus.heaps_fit(materialize(heaps_curve(t), "heaps"))
+    return corpus.heaps_fit(corpus.heaps_documents(t("documents")))
 
 
 @query(

@@ -613,3 +613,14 @@ def test_stream_of_documents(spark, tmp_path):
     index_stream.append_postings(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/ck").awaitTermination(60)
     got = spark.read.parquet(f"file://{tmp_path}/out").groupBy("term").agg(F.count("*").alias("df")).collect()
     assert {r["term"]: r["df"] for r in got} == {"cats": 2, "run": 1, "sleep": 1}
+
+
+def test_points_of_the_curve_are_made_in_passing(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "POINTS_AT_ONCE", 3)
+    texts = {3: "aa bb x aa cc", 1: "bb dd", 2: "", 7: None, 5: "aa bb", 9: "ee aa ff ff"}
+    table = corpus.heaps_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).coalesce(1)
+    assert sorted((r["n0"], r["m"], r["v0"], tuple(r["new"])) for r in table.collect()) == [
+        (0, 2, 0, (0, 1)), (2, 0, 2, ()), (2, 4, 2, (0, 3)), (6, 2, 4, ()), (8, 0, 4, ()), (8, 4, 4, (0, 2)),
+    ]
+    curve = corpus.heaps_curve(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(tuple(r) for r in curve.collect()) == list(zip(range(1, 13), [1, 2, 3, 3, 3, 4, 4, 4, 5, 5, 6, 6]))
