@@ -161,6 +161,7 @@ def retrieve(
     else:
         terms_of = F.broadcast(spark.createDataFrame(list(number.items()), "term string, t int"))
         matching = tf.join(terms_of, "term").filter("doc_id is not null").select(part, "doc_id", "t", "tf", F.lit(None).cast(qkind).alias("qid"))
-        sizes = dl.filter("doc_id is not null").select(part, "doc_id", "dl")
+        # another name for doc_id within the plan, as lengths that are counted from tf share its column
+        sizes = dl.filter("doc_id is not null").select(part, F.col("doc_id").alias("doc_id"), "dl")
         best = matching.groupBy("part").cogroup(sizes.groupBy("part")).applyInArrow(run, f"model string, qid {qkind}, doc_id {kind}, score double")
     return top(best, k, by=("model", "qid")).select("model", "qid", "rank", "doc_id", F.round("score", 6).alias("score"))
